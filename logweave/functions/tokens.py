@@ -136,7 +136,7 @@ def _quote(c: Column) -> Column:
 def describes(t1: Column, t2: Column) -> Column:
     """t1 split at wildcards, joined by ``.*?``, fully matches t2 (DOTALL)."""
     body = F.replace(_quote(t1), F.lit(WILDCARD), F.lit(r"\E.*?\Q"))
-    pat = F.concat(F.lit(r"(?s)^\Q"), body, F.lit(r"\E$"))
+    pat = F.concat(F.lit(r"(?s)^\Q"), body, F.lit(r"\E\z"))
     return F.regexp_like(t2, pat)
 
 
@@ -251,7 +251,8 @@ def punct_tokens(template: Column) -> Column:
     parts = F.filter(parts, lambda x: x != "")
     parts = F.transform(parts, lambda x: F.when(x.contains(WILDCARD), F.lit(WILDCARD))
                         .otherwise(F.regexp_replace(x, drop_cls, "")))
-    parts = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")),
+                     lambda x: x != "")
     return F.filter(parts, lambda x, i: ~((x == WILDCARD) & (i > 0) &
                                           (F.coalesce(F.get(parts, i - 1), F.lit("")) == WILDCARD)))
 

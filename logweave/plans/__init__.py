@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_MODULES = ["q_sources"]
+_MODULES = ["q_sources", "q_tokens"]
 
 
 def all_queries():

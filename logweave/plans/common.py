@@ -31,5 +31,5 @@ def ascii_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_id, value, template): whole text lines through the mask chain."""
     t = ascii_text_lines(spark, sf_dir)
-    return t.select("line_id", "value",
+    return t.select("doc_id", "pos", "line_id", "value",
                     F.array_join(tokenize(mask_types(F.col("value"))), " ").alias("template"))
