@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_MODULES = ["q_sources", "q_tokens"]
+_MODULES = ["q_sources", "q_tokens", "q_correct"]
 
 
 def all_queries():

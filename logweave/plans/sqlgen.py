@@ -93,6 +93,11 @@ def fixpoint_program_sql(base: str, key: str, expr_col: str, steps: list[tuple])
         if st[0] == "map":
             t_cases.append(f"WHEN {i} THEN {st[1]}")
             s_cases.append(f"WHEN {i} THEN {i + 1}")
+        elif st[0] == "rxloop":  # while re.search(a, t): t = re.sub(a, b, t)
+            _, a, b = st
+            t_cases.append(f"WHEN {i} THEN regexp_replace(t, {q(a)}, {q(b)}, 'g')")
+            s_cases.append(f"WHEN {i} THEN CASE WHEN regexp_matches(regexp_replace(t, {q(a)}, {q(b)}, 'g'), {q(a)}) "
+                           f"THEN {i} ELSE {i + 1} END")
         else:
             _, a, b = st
             t_cases.append(f"WHEN {i} THEN replace(t, {q(a)}, {q(b)})")
