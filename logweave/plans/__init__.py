@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_MODULES = ["q_sources", "q_tokens", "q_correct"]
+_MODULES = ["q_sources", "q_tokens", "q_correct", "q_ngram"]
 
 
 def all_queries():
@@ -16,4 +16,4 @@ def all_queries():
     return QUERIES, ORACLES
 
 
-all_queries.FLAGSHIP = "event_table"
+all_queries.FLAGSHIP = "ngram_event_table"
