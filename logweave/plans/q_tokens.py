@@ -71,8 +71,8 @@ def sql_possim(a: str, b: str, variant: str) -> tuple[str, str]:
 
 
 def sql_threshold(n: str) -> str:
-    whens = " ".join(f"WHEN {k} THEN {v!r}" for k, v in T.DYNAMIC_THRESHOLDS.items())
-    return f"CASE {n} {whens} ELSE {T.DYNAMIC_THRESHOLD_OTHERS!r} END"
+    whens = " ".join(f"WHEN {k} THEN CAST({v!r} AS DOUBLE)" for k, v in T.DYNAMIC_THRESHOLDS.items())
+    return f"CASE {n} {whens} ELSE CAST({T.DYNAMIC_THRESHOLD_OTHERS!r} AS DOUBLE) END"
 
 
 # --- queries ------------------------------------------------------------------

@@ -21,12 +21,12 @@ from logweave.sources.tables import TABLES  # noqa: E402
 
 
 def norm(v):
-    if v is None:
+    if v is None or v is getattr(__import__("pandas"), "NA", None):
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return int(v) if v == int(v) and abs(v) < 2**53 else round(v, 6)
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
