@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_MODULES = ["q_sources", "q_tokens", "q_correct", "q_ngram", "q_metrics", "q_match", "q_mine", "q_stats"]
+_MODULES = ["q_sources", "q_tokens", "q_correct", "q_ngram", "q_metrics", "q_match", "q_mine", "q_stats", "q_io"]
 
 
 def all_queries():

@@ -104,7 +104,8 @@ def q_mask_detect(spark, sf):
     return d.select("line_id", F.array_join("matched_types", ",").alias("matched_types"))
 
 
-def _estimate_sql() -> str:
+def _estimate_sql(ctes=None, source: str = "text_ascii", col: str = "value") -> str:
+    ctes = (TL, TLA) if ctes is None else ctes
     steps = []
     for i, t in enumerate(M.MASK_ORDER):
         src = "value" if i == 0 else f"s{i - 1}"
@@ -117,12 +118,12 @@ def _estimate_sql() -> str:
     for i, t in enumerate(M.MASK_ORDER):
         src = "value" if i == 0 else f"p{i - 1}"
         chain.append(f"pc{i} AS (SELECT *, CASE WHEN has_{t} THEN {S.rx_replace(src, M.MASK_PATTERNS[t], '<*>')} "
-                     f"ELSE {src} END AS p{i} FROM {'text_ascii CROSS JOIN seen' if i == 0 else f'pc{i - 1}'})")
+                     f"ELSE {src} END AS p{i} FROM {'src_lines CROSS JOIN seen' if i == 0 else f'pc{i - 1}'})")
     pruned = S.rx_replace("p13", M.WILDCARD_RUN, "<*>")
     full = S.mask_chain_sql("value")
-    return S.with_(TL, TLA, "head AS (SELECT line_id, value FROM text_ascii ORDER BY line_id LIMIT 2000)",
+    return S.with_(*ctes, f"head AS (SELECT line_id, {col} AS value FROM {source} ORDER BY line_id LIMIT 2000)",
                    *steps, f"seen AS (SELECT {seen}, max(line_id) AS cut, count(*) AS n FROM st13)",
-                   *chain) + f"""
+                   f"src_lines AS (SELECT line_id, {col} AS value FROM {source})", *chain) + f"""
 SELECT line_id, CASE WHEN n < 2000 OR line_id <= cut THEN {full} ELSE {pruned} END AS masked
 FROM pc13"""
 
