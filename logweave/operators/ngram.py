@@ -96,35 +96,53 @@ def score_positions(exploded: DataFrame, fbi: DataFrame, ftri: DataFrame) -> Dat
     return e.withColumn("f_bi", F.coalesce("f_bi", F.lit(0.0))).withColumn("f_tri", F.coalesce("f_tri", F.lit(0.0)))
 
 
-def fold_dynamic(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Per message: flags string ('0' static / '1' dynamic per position) and the used ratios."""
-    per_msg = scored.groupBy("msg_key").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "f_bi", "f_tri"))).alias("fs"))
+def dynamic_flags(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD, key: str = "msg_key") -> DataFrame:
+    """Per (message, position ≥ 1): ``dyn`` flag and the ratio actually used ``f``.
+
+    Position i's flag is a function of the flag at i-2: a constant (i = 1, or
+    both ratios on the same side of the threshold), the identity (bigram ratio
+    dynamic, trigram static) or a negation.  So flag[i] = the last constant of
+    its parity chain XOR the parity of the negations since — two running
+    window aggregates per (message, parity), linear in the line length.
+    """
     thr = F.lit(float(threshold))
-    init = F.struct(F.lit("0").alias("flags"), F.array().cast("array<double>").alias("used"))
-
-    def step(acc, x):
-        d2 = F.substring(acc["flags"], x["pos"] - 1, 1) == "1"       # flag at pos-2 (1-based substring)
-        f = F.when(x["pos"] == 1, x["f_bi"]).when(d2, x["f_bi"]).otherwise(x["f_tri"])
-        flag = F.when(f <= thr, F.lit("1")).otherwise(F.lit("0"))
-        return F.struct(F.concat(acc["flags"], flag).alias("flags"),
-                        F.concat(acc["used"], F.array(f)).alias("used"))
-
-    folded = F.aggregate("fs", init, step)
-    return per_msg.select("msg_key", folded["flags"].alias("flags"), folded["used"].alias("f_used"))
+    bd, td = F.col("f_bi") <= thr, F.col("f_tri") <= thr
+    g = scored.select(key, "pos", "f_bi", "f_tri", (F.col("pos") % 2).alias("par"),
+                      ((F.col("pos") == 1) | (bd == td)).alias("is_const"), bd.alias("cval"),
+                      ((F.col("pos") > 1) & ~bd & td).cast("int").alias("is_not"))
+    w = Window.partitionBy(key, "par").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumn("cum_not", F.sum("is_not").over(w))
+    # position 0 (static) is the chain head of the even positions
+    base = F.last(F.when(F.col("is_const"), F.col("cval")), ignorenulls=True).over(w)
+    base_not = F.last(F.when(F.col("is_const"), F.col("cum_not")), ignorenulls=True).over(w)
+    g = g.withColumn("base", F.coalesce(base, F.lit(False))) \
+         .withColumn("base_not", F.coalesce(base_not, F.lit(0)))
+    g = g.withColumn("dyn", F.col("base") != (((F.col("cum_not") - F.col("base_not")) % 2) == 1))
+    prev = F.lag("dyn", 1).over(Window.partitionBy(key, "par").orderBy("pos"))
+    used = F.when(F.col("pos") == 1, F.col("f_bi")).when(prev, F.col("f_bi")).otherwise(F.col("f_tri"))
+    return g.select(key, "pos", "dyn", used.alias("f"))
+
+
+def fold_dynamic(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD, key: str = "msg_key") -> DataFrame:
+    """Per message: flags string ('0' static / '1' dynamic per position, position 0 first)."""
+    d = dynamic_flags(scored, threshold, key)
+    per = d.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "dyn"))).alias("fs"))
+    flags = F.concat(F.lit("0"), F.array_join(F.transform("fs", lambda x: F.when(x["dyn"], "1").otherwise("0")), ""))
+    return per.select(key, flags.alias("flags"))
 
 
 def ngram_parse(df: DataFrame, content: str = "Content", threshold: float = DEFAULT_THRESHOLD,
                 user_masks=(), order_col: str = "line_id", dictionary_filter: Column | None = None,
                 keep: tuple[str, ...] = (), masker=None) -> tuple[DataFrame, DataFrame]:
     """Returns (lines(line_id, keep..., tokens, event_template, n_dynamic, n_static),
-    messages(msg_key, tokens, mult, first_line_id, flags, f_used, event_template))."""
+    messages(msg_key, tokens, mult, first_line_id, flags, event_template))."""
     tok = ngram_tokens(df, content, user_masks, masker=masker)
     msgs = messages(tok, "tokens", order_col, dictionary_filter)
     ex = exploded_grams(msgs)
     uni, bi, tri = gram_counts(ex)
     fbi, ftri = gram_ratios(uni, bi, tri)
-    flags = fold_dynamic(score_positions(ex, fbi, ftri), threshold)
+    scored = score_positions(ex, fbi, ftri)
+    flags = fold_dynamic(scored, threshold)
     m = msgs.join(flags, "msg_key", "left").withColumn("flags", F.coalesce("flags", F.lit("0")))
     # one-token messages have no scored position: flags '0'
     templ = F.array_join(F.transform("tokens", lambda t, i: F.when(F.substring("flags", i + 1, 1) == "1",
@@ -137,10 +155,18 @@ def ngram_parse(df: DataFrame, content: str = "Content", threshold: float = DEFA
     return lines, m
 
 
-def entropy_histogram(msgs: DataFrame) -> DataFrame:
+def scored_messages(df: DataFrame, content: str = "Content", user_masks=(), masker=None) -> tuple[DataFrame, DataFrame]:
+    """(messages, scored positions) — the inputs of the entropy histogram."""
+    msgs = messages(ngram_tokens(df, content, user_masks, masker=masker))
+    ex = exploded_grams(msgs)
+    fbi, ftri = gram_ratios(*gram_counts(ex))
+    return msgs, score_positions(ex, fbi, ftri)
+
+
+def entropy_histogram(scored: DataFrame, msgs: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """How often each ratio value was used (per line, so weighted by multiplicity)."""
-    e = msgs.select("mult", F.explode("f_used").alias("f"))
-    return e.groupBy(F.round("f", 6).alias("f")).agg(F.sum("mult").alias("count"))
+    d = dynamic_flags(scored, threshold).join(msgs.select("msg_key", "mult"), "msg_key")
+    return d.groupBy(F.round("f", 6).alias("f")).agg(F.sum("mult").alias("count"))
 
 
 def count_of_counts(counts: DataFrame, count_col: str) -> DataFrame:

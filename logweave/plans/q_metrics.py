@@ -14,6 +14,7 @@ from logweave.plans.common import masked_log, split_log
 from logweave.plans.q_ngram import GRAMS, LOG_TOK, SCORE, _flags_ctes
 from logweave.plans.q_tokens import sql_is_abstract
 from logweave.plans.registry import register
+from logweave.session import cut_lineage
 
 G = ["dataset"]
 
@@ -31,7 +32,8 @@ def parses(spark, sf):
 
 
 def contingency(spark, sf):
-    return A.contingency(parses(spark, sf), G)
+    # small (distinct truth × parsed pairs) and read by every metric branch: computed once
+    return cut_lineage(A.contingency(parses(spark, sf), G))
 
 
 BASE = (*LOG_TOK, *GRAMS, *SCORE, *_flags_ctes(), S.masked_log_cte(),

@@ -131,8 +131,8 @@ def q_static_dynamic(spark, sf):
                                   "FROM fl WHERE pos >= 1)") + """
 SELECT round(f, 6) AS f, count(*) AS count FROM fu GROUP BY ALL""")
 def q_entropy(spark, sf):
-    _, msgs = _text_parse(spark, sf)
-    return N.entropy_histogram(msgs)
+    msgs, scored = N.scored_messages(ascii_text_lines(spark, sf), "value", masker=lambda c: mask_types(c))
+    return N.entropy_histogram(scored, msgs)
 
 
 @register("dict_summary", S.with_(*TEXT_TOK, *GRAMS) + """

@@ -46,8 +46,19 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def ensure_parallel(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin spread a scan that yields fewer splits than the cluster can run.
+
+    A large input already arrives in many file splits and is left alone (no
+    shuffle); a small single-split file would otherwise put all of the regex
+    work that follows into one task.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism * factor
+    return df.repartition(want) if df.rdd.getNumPartitions() < want // factor else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    return ensure_parallel(spark.read.parquet(table_path(sf_dir, name)))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
