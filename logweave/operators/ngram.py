@@ -102,23 +102,31 @@ def dynamic_flags(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD, key:
     Position i's flag is a function of the flag at i-2: a constant (i = 1, or
     both ratios on the same side of the threshold), the identity (bigram ratio
     dynamic, trigram static) or a negation.  So flag[i] = the last constant of
-    its parity chain XOR the parity of the negations since — two running
-    window aggregates per (message, parity), linear in the line length.
+    its parity chain XOR the parity of the negations since — running window
+    aggregates over ONE window partition per message (both parity chains are
+    kept apart by the expressions), linear in the line length; the per-message
+    aggregate that follows reuses that partitioning (no extra shuffle).
     """
     thr = F.lit(float(threshold))
     bd, td = F.col("f_bi") <= thr, F.col("f_tri") <= thr
     g = scored.select(key, "pos", "f_bi", "f_tri", (F.col("pos") % 2).alias("par"),
                       ((F.col("pos") == 1) | (bd == td)).alias("is_const"), bd.alias("cval"),
                       ((F.col("pos") > 1) & ~bd & td).cast("int").alias("is_not"))
-    w = Window.partitionBy(key, "par").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("cum_not", F.sum("is_not").over(w))
-    # position 0 (static) is the chain head of the even positions
-    base = F.last(F.when(F.col("is_const"), F.col("cval")), ignorenulls=True).over(w)
-    base_not = F.last(F.when(F.col("is_const"), F.col("cum_not")), ignorenulls=True).over(w)
-    g = g.withColumn("base", F.coalesce(base, F.lit(False))) \
-         .withColumn("base_not", F.coalesce(base_not, F.lit(0)))
-    g = g.withColumn("dyn", F.col("base") != (((F.col("cum_not") - F.col("base_not")) % 2) == 1))
-    prev = F.lag("dyn", 1).over(Window.partitionBy(key, "par").orderBy("pos"))
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    for p in (0, 1):
+        mine = F.col("par") == p
+        g = g.withColumn(f"cn{p}", F.sum(F.when(mine, F.col("is_not")).otherwise(0)).over(w))
+    for p in (0, 1):
+        mine = (F.col("par") == p) & F.col("is_const")
+        # position 0 (static) heads the even chain: an empty even prefix means base False
+        g = g.withColumn(f"b{p}", F.coalesce(F.last(F.when(mine, F.col("cval")), ignorenulls=True).over(w),
+                                             F.lit(False))) \
+             .withColumn(f"bn{p}", F.coalesce(F.last(F.when(mine, F.col(f"cn{p}")), ignorenulls=True).over(w),
+                                              F.lit(0)))
+    dyn = F.when(F.col("par") == 0, F.col("b0") != (((F.col("cn0") - F.col("bn0")) % 2) == 1)) \
+           .otherwise(F.col("b1") != (((F.col("cn1") - F.col("bn1")) % 2) == 1))
+    g = g.withColumn("dyn", dyn)
+    prev = F.coalesce(F.lag("dyn", 2).over(Window.partitionBy(key).orderBy("pos")), F.lit(False))
     used = F.when(F.col("pos") == 1, F.col("f_bi")).when(prev, F.col("f_bi")).otherwise(F.col("f_tri"))
     return g.select(key, "pos", "dyn", used.alias("f"))
 
@@ -163,6 +171,16 @@ def scored_messages(df: DataFrame, content: str = "Content", user_masks=(), mask
     return msgs, score_positions(ex, fbi, ftri)
 
 
+def event_table_from_messages(m: DataFrame) -> DataFrame:
+    """C10 straight from the deduplicated messages (multiplicity, first line):
+    no second pass over the lines."""
+    from logweave.functions.tokens import event_id
+    return (m.groupBy("event_template").agg(F.sum("mult").alias("occurrences"),
+                                             F.min("first_line_id").alias("first_line_id"))
+             .select(event_id(F.col("event_template")).alias("event_id"), "event_template", "occurrences",
+                     "first_line_id"))
+
+
 def entropy_histogram(scored: DataFrame, msgs: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """How often each ratio value was used (per line, so weighted by multiplicity)."""
     d = dynamic_flags(scored, threshold).join(msgs.select("msg_key", "mult"), "msg_key")

@@ -114,15 +114,15 @@ def q_ngram_text(spark, sf):
 SELECT substr(md5(event_template), 1, 8) AS event_id, event_template, count(*) AS occurrences,
        min(line_id) AS first_line_id FROM tp GROUP BY event_template""")
 def q_ngram_events(spark, sf):
-    lines, _ = _log_parse(spark, sf)
-    return event_table(lines)
+    _, msgs = _log_parse(spark, sf)
+    return N.event_table_from_messages(msgs)
 
 
 @register("static_dynamic_counts", S.with_(*TEXT_TOK, *GRAMS, *SCORE, *_flags_ctes()) + """
 SELECT n_dynamic, n_tokens - n_dynamic AS n_static, count(*) AS n_lines FROM tp GROUP BY ALL""")
 def q_static_dynamic(spark, sf):
-    lines, _ = _text_parse(spark, sf)
-    return lines.groupBy("n_dynamic", "n_static").agg(F.count(F.lit(1)).alias("n_lines"))
+    _, msgs = _text_parse(spark, sf)
+    return msgs.groupBy("n_dynamic", "n_static").agg(F.sum("mult").alias("n_lines"))
 
 
 @register("entropy_hist", S.with_(*TEXT_TOK, *GRAMS, *SCORE, *_flags_ctes(),

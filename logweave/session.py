@@ -20,6 +20,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # small but CPU-heavy shuffles (regex / array work per row) keep several tasks
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     # broadcast joins happen only below this size; bigger sides shuffle
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }

@@ -3,9 +3,9 @@
 A log format such as ``<Date> <Time> <Level> <Component>: <Content>`` becomes an
 anchored regex: each ``<Header>`` is a lazy capture group, runs of blanks in the
 literal parts become ``\\s+`` and the literal parts are otherwise used as regex
-(so a format may carry its own groups, e.g. ``(\\[<PID>\\])?``).  The split is one
-``regexp_extract`` per header; non-matching lines are dropped by an ``rlike``
-filter — all JVM-side, column-pruned, codegen'd.
+(so a format may carry its own groups, e.g. ``(\\[<PID>\\])?``).  The split is a
+single regex rewrite per line into the header groups; non-matching lines are
+dropped — all JVM-side, column-pruned, codegen'd.
 """
 
 from __future__ import annotations
@@ -122,19 +122,41 @@ def read_text_log(spark: SparkSession, path: str, with_file: bool = False) -> Da
              .withColumn("value", py_strip(F.col("value")))
 
 
+_SEP = "\u0001"
+
+
+def _spread_side(cond: Column) -> Column:
+    """Keep a costly predicate where it is written.  Catalyst pushes deterministic
+    filters below a repartition, which would run the format regex inside the scan
+    of a single-split file; a partition-id guard (always true) pins it above."""
+    return F.when(F.spark_partition_id() >= 0, cond)
+
+
 def split_format(df: DataFrame, log_format: str, col: str = "value", keep: tuple[str, ...] = (),
                  headers: tuple[str, ...] | None = None) -> DataFrame:
-    """Keep matching lines, one string column per header (all or ``headers``)."""
+    """Keep matching lines, one string column per header (all or ``headers``).
+
+    One regex evaluation per line: the anchored pattern rewrites a matching line
+    into its header groups joined by ``\\x01``; non-matching lines stay NULL.
+    """
     fmt = compile_format(log_format)
     line = py_strip(F.col(col))
     wanted = fmt.headers if headers is None else headers
+    groups = [fmt.group_of(h) for h in wanted]
+    rep = _SEP.join(f"${g}" for g in groups) + _SEP  # trailing separator marks a match
+    rewritten = F.regexp_replace(line, fmt.pattern, rep)
+    # a rewritten line ends with the separator; only a line that already did needs a real test
+    matched = F.endswith(rewritten, F.lit(_SEP)) & F.when(F.endswith(line, F.lit(_SEP)), line.rlike(fmt.pattern)) \
+        .otherwise(F.lit(True))
+    parts = F.when(matched, F.split(rewritten, _SEP))
+    staged = df.select(*keep, parts.alias("__parts")).where(_spread_side(F.col("__parts").isNotNull()))
     cols = [F.col(k) for k in keep]
-    for h in wanted:
-        g = F.regexp_extract(line, fmt.pattern, fmt.group_of(h))
+    for i, h in enumerate(wanted):
+        g = F.get("__parts", i)
         if fmt.optional[fmt.headers.index(h)]:
             g = F.when(g == "", F.lit(None).cast("string")).otherwise(g)
         cols.append(g.alias(h))
-    return df.where(line.rlike(fmt.pattern)).select(*cols)
+    return staged.select(*cols)
 
 
 def split_with_load_rate(df: DataFrame, log_format: str, col: str = "value",
