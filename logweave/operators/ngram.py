@@ -58,12 +58,20 @@ def messages(df: DataFrame, tokens: str = "tokens", order_col: str = "line_id",
                                               F.xxhash64(F.lit("msg"), "tokens").alias("h2"))))
 
 
+def with_predecessors(tokens: Column) -> Column:
+    """array<struct(w3 token, w2 previous, w1 previous-but-one)> — explode this instead
+    of carrying the whole token array on every exploded row (linear, not quadratic)."""
+    n = F.size(tokens)
+    null = F.lit(None).cast("string")
+    prev1 = F.slice(F.concat(F.array(null), tokens), 1, n)
+    prev2 = F.slice(F.concat(F.array(null, null), tokens), 1, n)
+    return F.arrays_zip(tokens.alias("w3"), prev1.alias("w2"), prev2.alias("w1"))
+
+
 def exploded_grams(msgs: DataFrame) -> DataFrame:
     """One row per token occurrence of a message, with its two predecessors."""
-    e = msgs.select("msg_key", "tokens", "mult", "dict_mult", F.posexplode("tokens").alias("pos", "w3"))
-    return e.select("msg_key", "tokens", "mult", "dict_mult", "pos", "w3",
-                    F.when(F.col("pos") >= 1, F.get("tokens", F.col("pos") - 1)).alias("w2"),
-                    F.when(F.col("pos") >= 2, F.get("tokens", F.col("pos") - 2)).alias("w1"))
+    e = msgs.select("msg_key", "mult", "dict_mult", F.posexplode(with_predecessors(F.col("tokens"))).alias("pos", "g"))
+    return e.select("msg_key", "mult", "dict_mult", "pos", "g.w3", "g.w2", "g.w1")
 
 
 def gram_counts(exploded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -132,11 +140,18 @@ def dynamic_flags(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD, key:
 
 
 def fold_dynamic(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD, key: str = "msg_key") -> DataFrame:
-    """Per message: flags string ('0' static / '1' dynamic per position, position 0 first)."""
+    """Per message: ``dyn`` array<boolean>, one flag per position (position 0 static)."""
     d = dynamic_flags(scored, threshold, key)
     per = d.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "dyn"))).alias("fs"))
-    flags = F.concat(F.lit("0"), F.array_join(F.transform("fs", lambda x: F.when(x["dyn"], "1").otherwise("0")), ""))
-    return per.select(key, flags.alias("flags"))
+    flags = F.concat(F.array(F.lit(False)), F.transform("fs", lambda x: x["dyn"]))
+    return per.select(key, flags.alias("dyn"))
+
+
+def apply_flags(tokens: Column, dyn: Column) -> Column:
+    """Template: dynamic tokens → ``<*>``, blank-joined, quotes and commas removed."""
+    dyn = F.coalesce(dyn, F.array().cast("array<boolean>"))  # one-token messages: nothing scored
+    t = F.zip_with(tokens, dyn, lambda w, d: F.when(F.coalesce(d, F.lit(False)), F.lit(WILDCARD)).otherwise(w))
+    return strip_quotes(F.array_join(t, " "))
 
 
 def ngram_parse(df: DataFrame, content: str = "Content", threshold: float = DEFAULT_THRESHOLD,
@@ -151,12 +166,11 @@ def ngram_parse(df: DataFrame, content: str = "Content", threshold: float = DEFA
     fbi, ftri = gram_ratios(uni, bi, tri)
     scored = score_positions(ex, fbi, ftri)
     flags = fold_dynamic(scored, threshold)
-    m = msgs.join(flags, "msg_key", "left").withColumn("flags", F.coalesce("flags", F.lit("0")))
-    # one-token messages have no scored position: flags '0'
-    templ = F.array_join(F.transform("tokens", lambda t, i: F.when(F.substring("flags", i + 1, 1) == "1",
-                                                                   F.lit(WILDCARD)).otherwise(t)), " ")
-    m = m.withColumn("event_template", strip_quotes(templ)) \
-         .withColumn("n_dynamic", F.length(F.regexp_replace("flags", "0", "")).cast("long")) \
+    m = msgs.join(flags, "msg_key", "left")
+    # one-token messages have no scored position: all static
+    m = m.withColumn("event_template", apply_flags(F.col("tokens"), F.col("dyn"))) \
+         .withColumn("n_dynamic", F.size(F.filter(F.coalesce("dyn", F.array().cast("array<boolean>")),
+                                                  lambda x: x)).cast("long")) \
          .withColumn("n_static", (F.size("tokens") - F.col("n_dynamic")).cast("long"))
     lines = tok.select(order_col, *keep, "tokens").join(
         m.select("tokens", "event_template", "n_dynamic", "n_static"), "tokens")
@@ -214,10 +228,8 @@ def ngram_parse_online(df: DataFrame, content: str = "Content", threshold: float
                        user_masks=(), order_col: str = "line_id", masker=None) -> DataFrame:
     """Dictionaries as of each line (the line itself included), then the C6 fold."""
     tok = ngram_tokens(df, content, user_masks, masker=masker).select(order_col, "tokens")
-    e = tok.select(order_col, "tokens", F.posexplode("tokens").alias("pos", "w3"))
-    e = e.select(order_col, "tokens", "pos", "w3",
-                 F.when(F.col("pos") >= 1, F.get("tokens", F.col("pos") - 1)).alias("w2"),
-                 F.when(F.col("pos") >= 2, F.get("tokens", F.col("pos") - 2)).alias("w1"))
+    e = tok.select(order_col, F.posexplode(with_predecessors(F.col("tokens"))).alias("pos", "g")) \
+           .select(order_col, "pos", "g.w3", "g.w2", "g.w1")
     # running counts of every gram the scoring needs, all of which occur in the line itself
     c1 = running_counts(e.select(order_col, "pos", F.col("w3").alias("g1")), ["g1"], order_col, out="c1")
     c2 = running_counts(e.where("pos >= 1").select(order_col, "pos", F.col("w2").alias("g1"),
@@ -237,7 +249,5 @@ def ngram_parse_online(df: DataFrame, content: str = "Content", threshold: float
     s = s.select(order_col, "pos", (F.col("c2") / F.col("c1_prev")).alias("f_bi"),
                  F.coalesce(F.col("c3") / F.col("c2_prev"), F.lit(0.0)).alias("f_tri"))
     flags = fold_dynamic(s.withColumnRenamed(order_col, "msg_key"), threshold).withColumnRenamed("msg_key", order_col)
-    out = tok.join(flags, order_col, "left").withColumn("flags", F.coalesce("flags", F.lit("0")))
-    templ = F.array_join(F.transform("tokens", lambda x, i: F.when(F.substring("flags", i + 1, 1) == "1",
-                                                                   F.lit(WILDCARD)).otherwise(x)), " ")
-    return out.select(order_col, strip_quotes(templ).alias("event_template"))
+    out = tok.join(flags, order_col, "left")
+    return out.select(order_col, apply_flags(F.col("tokens"), F.col("dyn")).alias("event_template"))

@@ -147,10 +147,8 @@ def stream_ngram(spark: SparkSession, sf_dir: str, threshold: float = N.DEFAULT_
         uni, bi, tri = [s.read.parquet(f"{cur}/{n}") for n in ("uni", "bi", "tri")]
         fbi, ftri = N.gram_ratios(uni, bi, tri)
         flags = N.fold_dynamic(N.score_positions(ex, fbi, ftri), threshold)
-        m = msgs.join(flags, "msg_key", "left").withColumn("flags", F.coalesce("flags", F.lit("0")))
-        templ = F.array_join(F.transform("tokens", lambda t, i: F.when(F.substring("flags", i + 1, 1) == "1",
-                                                                       F.lit("<*>")).otherwise(t)), " ")
-        m = m.select("tokens", F.translate(templ, ",'\"", "").alias("event_template"))
+        m = msgs.join(flags, "msg_key", "left").select(
+            "tokens", N.apply_flags(F.col("tokens"), F.col("dyn")).alias("event_template"))
         return tok.select("line_id", "tokens").join(m, "tokens").select("line_id", "event_template")
 
     q = (lines.writeStream.foreachBatch(_batch_writer(base, process))
