@@ -36,6 +36,12 @@ def main() -> None:
 
     spark = get_session(master=f"local[{cpus}]")
     qs, _ = all_queries()
+    # untimed JVM/JIT warm-up on the smallest tables (same plans, tiny data)
+    warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+    warmed = os.path.isdir(warm_dir)
+    if warmed:
+        for name in HEADLINE[:2]:
+            qs[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in HEADLINE:
         if name not in qs:
@@ -45,7 +51,7 @@ def main() -> None:
         times[name] = round(time.time() - t0, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf}))
+                      "queries": times, "sf": sf, "warmup": warmed}))
 
 
 if __name__ == "__main__":

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.masks import mask_general
 from logweave.functions.tokens import WILDCARD, strip_quotes, tokenize
+from logweave.session import cut_lineage
 
 DEFAULT_THRESHOLD = 0.2
 
@@ -156,10 +157,12 @@ def apply_flags(tokens: Column, dyn: Column) -> Column:
 
 def ngram_parse(df: DataFrame, content: str = "Content", threshold: float = DEFAULT_THRESHOLD,
                 user_masks=(), order_col: str = "line_id", dictionary_filter: Column | None = None,
-                keep: tuple[str, ...] = (), masker=None) -> tuple[DataFrame, DataFrame]:
+                keep: tuple[str, ...] = (), masker=None, tokens_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (lines(line_id, keep..., tokens, event_template, n_dynamic, n_static),
     messages(msg_key, tokens, mult, first_line_id, flags, event_template))."""
-    tok = ngram_tokens(df, content, user_masks, masker=masker)
+    # ``tokens_col``: the caller already tokenised (e.g. shared with another parse)
+    tok = df.withColumnRenamed(tokens_col, "tokens") if tokens_col else \
+        ngram_tokens(df, content, user_masks, masker=masker)
     msgs = messages(tok, "tokens", order_col, dictionary_filter)
     ex = exploded_grams(msgs)
     uni, bi, tri = gram_counts(ex)
@@ -226,28 +229,32 @@ def running_counts(occ: DataFrame, keys: list[str], order_col: str = "line_id",
 
 def ngram_parse_online(df: DataFrame, content: str = "Content", threshold: float = DEFAULT_THRESHOLD,
                        user_masks=(), order_col: str = "line_id", masker=None) -> DataFrame:
-    """Dictionaries as of each line (the line itself included), then the C6 fold."""
-    tok = ngram_tokens(df, content, user_masks, masker=masker).select(order_col, "tokens")
-    e = tok.select(order_col, F.posexplode(with_predecessors(F.col("tokens"))).alias("pos", "g")) \
-           .select(order_col, "pos", "g.w3", "g.w2", "g.w1")
-    # running counts of every gram the scoring needs, all of which occur in the line itself
-    c1 = running_counts(e.select(order_col, "pos", F.col("w3").alias("g1")), ["g1"], order_col, out="c1")
-    c2 = running_counts(e.where("pos >= 1").select(order_col, "pos", F.col("w2").alias("g1"),
-                                                   F.col("w3").alias("g2")), ["g1", "g2"], order_col, out="c2")
-    c3 = running_counts(e.where("pos >= 2").select(order_col, "pos", F.col("w1").alias("g1"),
-                                                   F.col("w2").alias("g2"), F.col("w3").alias("g3")),
-                        ["g1", "g2", "g3"], order_col, out="c3")
-    # the count "as of line L" of a gram is the same for all its occurrences in L: take the max
-    u = c1.groupBy(order_col, "g1").agg(F.max("c1").alias("c1"))
-    b = c2.groupBy(order_col, "g1", "g2").agg(F.max("c2").alias("c2"))
-    t = c3.select(order_col, "pos", "c3")
-    s = e.where("pos >= 1").join(t, [order_col, "pos"], "left")
-    s = s.join(b.withColumnRenamed("g1", "w2").withColumnRenamed("g2", "w3"), [order_col, "w2", "w3"], "left")
-    s = s.join(u.withColumnRenamed("g1", "w2").withColumnRenamed("c1", "c1_prev"), [order_col, "w2"], "left")
-    b_prev = b.withColumnRenamed("g1", "w1").withColumnRenamed("g2", "w2").withColumnRenamed("c2", "c2_prev")
-    s = s.join(b_prev, [order_col, "w1", "w2"], "left")
-    s = s.select(order_col, "pos", (F.col("c2") / F.col("c1_prev")).alias("f_bi"),
-                 F.coalesce(F.col("c3") / F.col("c2_prev"), F.lit(0.0)).alias("f_tri"))
-    flags = fold_dynamic(s.withColumnRenamed(order_col, "msg_key"), threshold).withColumnRenamed("msg_key", order_col)
-    out = tok.join(flags, order_col, "left")
-    return out.select(order_col, apply_flags(F.col("tokens"), F.col("dyn")).alias("event_template"))
+    """Dictionaries as of each line (the line itself included), then the C6 fold.
+
+    Every count the scorer needs belongs to a gram that occurs in the line
+    itself, at position i (bigram / trigram ending at i) or i-1 (unigram /
+    bigram ending at i-1).  So the three running-count tables are aligned by
+    (line, position): one union, one repartition by line, ``lag`` for i-1 —
+    and the flag windows reuse that partitioning.
+    """
+    L = order_col
+    # read by three running counts and the final join: tokenise (regex chain) once
+    tok = cut_lineage(ngram_tokens(df, content, user_masks, masker=masker).select(L, "tokens"))
+    e = tok.select(L, F.posexplode(with_predecessors(F.col("tokens"))).alias("pos", "g")) \
+           .select(L, "pos", "g.w3", "g.w2", "g.w1")
+    grams = [(1, e, ["w3"]), (2, e.where("pos >= 1"), ["w2", "w3"]), (3, e.where("pos >= 2"), ["w1", "w2", "w3"])]
+    parts = []
+    for kind, src, cols in grams:
+        occ = src.select(L, "pos", *[F.col(c).alias(f"g{i}") for i, c in enumerate(cols)])
+        rc = running_counts(occ, [f"g{i}" for i in range(len(cols))], L, out="c")
+        parts.append(rc.select(L, "pos", F.lit(kind).alias("kind"), "c"))
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(L)
+    per = u.groupBy(L, "pos").agg(*[F.max(F.when(F.col("kind") == k, F.col("c"))).alias(f"c{k}") for k in (1, 2, 3)])
+    w = Window.partitionBy(L).orderBy("pos")
+    s = per.select(L, "pos", "c2", "c3", F.lag("c1", 1).over(w).alias("c1p"), F.lag("c2", 1).over(w).alias("c2p")) \
+           .where("pos >= 1")
+    s = s.select(F.col(L).alias("msg_key"), "pos", (F.col("c2") / F.col("c1p")).alias("f_bi"),
+                 F.coalesce(F.col("c3") / F.col("c2p"), F.lit(0.0)).alias("f_tri"))
+    flags = fold_dynamic(s, threshold).withColumnRenamed("msg_key", L)
+    out = tok.join(flags, L, "left")
+    return out.select(L, apply_flags(F.col("tokens"), F.col("dyn")).alias("event_template"))

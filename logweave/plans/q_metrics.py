@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logweave.functions.masks import mask_types
+from logweave.functions.tokens import tokenize
 from logweave.operators import metrics as A
 from logweave.operators import ngram as N
 from logweave.plans import sqlgen as S
@@ -20,12 +21,13 @@ G = ["dataset"]
 
 
 def parses(spark, sf):
-    """(dataset, line_id, truth, parsed) for both parsers."""
-    m = masked_log(spark, sf)
-    a = m.select(F.lit("masked").alias("dataset"), "line_id", F.col("truth_template").alias("truth"),
-                 F.col("template").alias("parsed"))
+    """(dataset, line_id, truth, parsed) for both parsers; the masked tokens are
+    computed once (lineage cut) and shared by both."""
     s = split_log(spark, sf)
-    lines, _ = N.ngram_parse(s, "Content", masker=lambda c: mask_types(c), keep=("truth_template",))
+    base = cut_lineage(s.select("line_id", "truth_template", tokenize(mask_types(F.col("Content"))).alias("tokens")))
+    a = base.select(F.lit("masked").alias("dataset"), "line_id", F.col("truth_template").alias("truth"),
+                    F.array_join("tokens", " ").alias("parsed"))
+    lines, _ = N.ngram_parse(base, tokens_col="tokens", keep=("truth_template",))
     b = lines.select(F.lit("ngram").alias("dataset"), "line_id", F.col("truth_template").alias("truth"),
                      F.coalesce(F.col("event_template"), F.lit("")).alias("parsed"))
     return a.unionByName(b)
