@@ -44,6 +44,12 @@ def ngram_tokens(df: DataFrame, content: str = "Content", user_masks=(), out: st
     return df.withColumn(out, tokenize(masked))
 
 
+def message_key(tokens: Column) -> Column:
+    """Two independent 64-bit hashes of the token list: collision-free in practice
+    at any table size, and a cheap shuffle/join key compared with the array."""
+    return F.struct(F.xxhash64(tokens).alias("h1"), F.xxhash64(F.lit("msg"), tokens).alias("h2"))
+
+
 def messages(df: DataFrame, tokens: str = "tokens", order_col: str = "line_id",
              dictionary_filter: Column | None = None) -> DataFrame:
     """Distinct token lists: (msg_key, tokens, mult, dict_mult, first_line_id).
@@ -51,12 +57,10 @@ def messages(df: DataFrame, tokens: str = "tokens", order_col: str = "line_id",
     ``dict_mult`` counts only lines that feed the dictionaries (all by default).
     """
     in_dict = F.lit(1) if dictionary_filter is None else F.when(dictionary_filter, 1).otherwise(0)
-    return (df.groupBy(F.col(tokens).alias("tokens"))
-              .agg(F.count(F.lit(1)).alias("mult"), F.sum(in_dict).alias("dict_mult"),
-                   F.min(order_col).alias("first_line_id"))
-              # two independent 64-bit hashes: collision-free in practice at any table size
-              .withColumn("msg_key", F.struct(F.xxhash64("tokens").alias("h1"),
-                                              F.xxhash64(F.lit("msg"), "tokens").alias("h2"))))
+    return (df.withColumn("msg_key", message_key(F.col(tokens)))
+              .groupBy("msg_key")
+              .agg(F.first(tokens).alias("tokens"), F.count(F.lit(1)).alias("mult"),
+                   F.sum(in_dict).alias("dict_mult"), F.min(order_col).alias("first_line_id")))
 
 
 def with_predecessors(tokens: Column) -> Column:
@@ -175,8 +179,8 @@ def ngram_parse(df: DataFrame, content: str = "Content", threshold: float = DEFA
          .withColumn("n_dynamic", F.size(F.filter(F.coalesce("dyn", F.array().cast("array<boolean>")),
                                                   lambda x: x)).cast("long")) \
          .withColumn("n_static", (F.size("tokens") - F.col("n_dynamic")).cast("long"))
-    lines = tok.select(order_col, *keep, "tokens").join(
-        m.select("tokens", "event_template", "n_dynamic", "n_static"), "tokens")
+    lines = tok.select(order_col, *keep, "tokens", message_key(F.col("tokens")).alias("msg_key")).join(
+        m.select("msg_key", "event_template", "n_dynamic", "n_static"), "msg_key").drop("msg_key")
     return lines, m
 
 
