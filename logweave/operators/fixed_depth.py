@@ -177,11 +177,17 @@ def cluster_messages(msgs: DataFrame, depth: int = 4, st: float = 0.4, max_child
 
 def mine_fixed(df: DataFrame, content: str = "content", masks=(), depth: int = 4, st: float = 0.4,
                max_child: int = 100, buckets: int = DEFAULT_BUCKETS, exact: bool = False,
-               key: str = "line_id", tokens_col=None) -> DataFrame:
-    """(key, event_template) for every line."""
+               key: str = "line_id", tokens_col=None, shuffle_seed: int | None = None) -> DataFrame:
+    """(key, event_template) for every line.
+
+    Messages are folded in first-seen order, or — with ``shuffle_seed`` — in a
+    seeded pseudo-random order (a deterministic hash, so a retried task folds
+    the same order)."""
     tok = tokens_col if tokens_col is not None else tokenize(mask_user(F.col(content), masks))
     lines = df.select(key, tok.alias("tokens"))
     msgs = lines.groupBy("tokens").agg(F.min(key).alias("first_line_id"))
+    if shuffle_seed is not None:
+        msgs = msgs.withColumn("first_line_id", F.xxhash64(F.lit(shuffle_seed), "tokens"))
     cl = cluster_messages(msgs, depth, st, max_child, buckets, exact)
     return lines.join(cl.select("tokens", "event_template"), "tokens").select(key, "event_template")
 
@@ -191,8 +197,9 @@ def mine_rotated(df: DataFrame, content: str = "content", masks=(), rotations=(0
                  key: str = "line_id") -> DataFrame:
     """C4: cluster the tokens rotated by each k, un-rotate, majority vote per line.
 
-    Rotations are mined independently (the reference shares one tree across
-    them).  Vote: most rotations, then more wildcards, then the lowest rotation.
+    Each rotation folds its distinct messages in a seeded shuffled order (seed =
+    the rotation).  Rotations are mined independently (the reference shares one
+    tree across them and shuffles per 2,000-line batch).  Vote: most rotations, then more wildcards, then the lowest rotation.
     Padding tokens ``_`` (short messages) are cut off again after un-rotating.
     """
     base = df.select(key, tokenize(mask_user(F.col(content), masks)).alias("tok"))
@@ -201,7 +208,7 @@ def mine_rotated(df: DataFrame, content: str = "content", masks=(), rotations=(0
     for k in rotations:
         rot = rotate(pad_for_rotation(F.col("tok"), n_rot), k)
         mined = mine_fixed(base.withColumn("rt", rot), key=key, depth=depth, st=st, max_child=max_child,
-                           buckets=buckets, exact=exact, tokens_col=F.col("rt"))
+                           buckets=buckets, exact=exact, tokens_col=F.col("rt"), shuffle_seed=k)
         t = mined.join(base, key).select(
             key, F.lit(k).alias("rotation"),
             F.array_join(F.slice(F.split(unrotate_template(F.col("event_template"), k), " "), 1,
