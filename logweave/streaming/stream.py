@@ -43,11 +43,22 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:12]}")
 
 
+def _is_dir(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
-    """File stream over one given table (schema taken from the table itself)."""
-    schema = spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet")).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    """File stream over one given table (schema taken from the table itself), one
+    file per micro-batch; a table written as a folder of part files streams them."""
+    path = os.path.join(sf_dir, f"{table}.parquet")
+    schema = spark.read.parquet(path).schema
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    if _is_dir(spark, path):
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def stream_log_lines(events: DataFrame) -> DataFrame:

@@ -20,3 +20,28 @@ def test_stream_ngram_single_batch_equals_batch(spark):
 
 def test_stream_mine_emits_every_line(spark):
     assert G.stream_mine(spark, SF_SMALL).count() == masked_log(spark, SF_SMALL).count()
+
+
+def test_multi_batch_state(spark, tmp_path):
+    """The given events re-written as three files (three micro-batches)."""
+    from pyspark.sql import functions as F
+
+    from conftest import SF_MID
+    from logweave.plans.q_sources import q_mask_estimate  # noqa: F401  (module registers queries)
+    from logweave.functions.masks import mask_estimated
+    from logweave.plans.common import split_log
+
+    d = str(tmp_path)
+    ev = spark.read.parquet(f"{SF_MID}/events.parquet")
+    for i in range(3):
+        ev.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{d}/events.parquet")
+    n = ev.count()
+    assert G.stream_mine(spark, d).count() == n
+    ng = G.stream_ngram(spark, d)
+    assert ng.count() == n and ng.where("event_template IS NULL").count() == 0
+    est = {(r[0], r[1]) for r in G.stream_estimate_masks(spark, d).collect()}
+    # the warm-up types fixed by the first batch; a line is masked by the full or the pruned chain
+    full = {(r[0], r[1]) for r in mask_estimated(
+        split_log(spark, SF_MID).select("line_id", F.col("Content").alias("content")), "content", "masked",
+        "line_id", warmup=0).select("line_id", "masked").collect()}
+    assert len(est) == n and {k for k, _ in est} == {k for k, _ in full}
