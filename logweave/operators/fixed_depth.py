@@ -30,6 +30,14 @@ from logweave.functions.masks import mask_user
 from logweave.functions.tokens import WILDCARD, pad_for_rotation, rotate, tokenize, unrotate_template
 
 DEFAULT_BUCKETS = 64
+MESSAGES_PER_GROUP = 500_000   # target bound on distinct messages in one fold group
+
+
+def auto_buckets(msgs: DataFrame, floor: int = DEFAULT_BUCKETS) -> int:
+    """Salt buckets so that one fold group holds about MESSAGES_PER_GROUP distinct
+    messages even if a single token count holds all of them (counted, not guessed)."""
+    n = msgs.count()
+    return max(floor, -(-n // MESSAGES_PER_GROUP))
 
 
 class PrefixTreeFold:
@@ -155,9 +163,9 @@ def _phase_b(depth: int, st: float, max_child: int):
 
 
 def cluster_messages(msgs: DataFrame, depth: int = 4, st: float = 0.4, max_child: int = 100,
-                     buckets: int = DEFAULT_BUCKETS, exact: bool = False) -> DataFrame:
+                     buckets: int | None = None, exact: bool = False) -> DataFrame:
     """(tokens, first_line_id) → (tokens, cluster_key, template STRING)."""
-    nb = 1 if exact else buckets
+    nb = 1 if exact else (auto_buckets(msgs) if buckets is None else buckets)
     m = msgs.select("tokens", "first_line_id").withColumn("n_tokens", F.size("tokens")) \
             .withColumn("salt", F.pmod(F.xxhash64("tokens"), F.lit(nb)).cast("int"))
     a = m.groupBy("n_tokens", "salt").applyInPandas(_phase_a(depth, st, max_child), _fold_schema())
@@ -176,7 +184,7 @@ def cluster_messages(msgs: DataFrame, depth: int = 4, st: float = 0.4, max_child
 
 
 def mine_fixed(df: DataFrame, content: str = "content", masks=(), depth: int = 4, st: float = 0.4,
-               max_child: int = 100, buckets: int = DEFAULT_BUCKETS, exact: bool = False,
+               max_child: int = 100, buckets: int | None = None, exact: bool = False,
                key: str = "line_id", tokens_col=None, shuffle_seed: int | None = None) -> DataFrame:
     """(key, event_template) for every line.
 
@@ -193,7 +201,7 @@ def mine_fixed(df: DataFrame, content: str = "content", masks=(), depth: int = 4
 
 
 def mine_rotated(df: DataFrame, content: str = "content", masks=(), rotations=(0, 1, 2), depth: int = 4,
-                 st: float = 0.4, max_child: int = 100, buckets: int = DEFAULT_BUCKETS, exact: bool = False,
+                 st: float = 0.4, max_child: int = 100, buckets: int | None = None, exact: bool = False,
                  key: str = "line_id") -> DataFrame:
     """C4: cluster the tokens rotated by each k, un-rotate, majority vote per line.
 
