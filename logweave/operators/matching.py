@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.session import cut_lineage
+
 from logweave.functions.tokens import (WILDCARD, dynamic_threshold, positional_similarity, template_regex,
                                        tokenize)
 
@@ -130,7 +132,9 @@ def dense_index(df: DataFrame, order: list[Column], out: str = "idx", partitions
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     keyed = df.withColumn("__k", F.struct(*order))
     ranged = keyed.repartitionByRange(n, "__k").withColumn("__pid", F.spark_partition_id())
-    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__pid").orderBy("__k")))
+    # materialised once: the partition ids must be the same for the rows and for the sizes
+    # (two range exchanges may sample different bounds)
+    local = cut_lineage(ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__pid").orderBy("__k"))))
     sizes = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offs = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(
         Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -161,9 +161,17 @@ def apply_flags(tokens: Column, dyn: Column) -> Column:
 
 def ngram_parse(df: DataFrame, content: str = "Content", threshold: float = DEFAULT_THRESHOLD,
                 user_masks=(), order_col: str = "line_id", dictionary_filter: Column | None = None,
-                keep: tuple[str, ...] = (), masker=None, tokens_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+                keep: tuple[str, ...] = (), masker=None, tokens_col: str | None = None,
+                ratio: float | None = None, total_lines: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (lines(line_id, keep..., tokens, event_template, n_dynamic, n_static),
     messages(msg_key, tokens, mult, first_line_id, flags, event_template))."""
+    if ratio is not None:
+        # dictionaries from the first int(N·ratio)+1 lines in line order (N = all lines of the
+        # file when given, else the lines here); positions via a range-partitioned dense index
+        from logweave.operators.matching import dense_index
+        n = total_lines if total_lines is not None else df.count()
+        df = dense_index(df, [F.col(order_col)], out="__dict_idx")
+        dictionary_filter = (F.col("__dict_idx") - 1) <= int(n * ratio)
     # ``tokens_col``: the caller already tokenised (e.g. shared with another parse)
     tok = df.withColumnRenamed(tokens_col, "tokens") if tokens_col else \
         ngram_tokens(df, content, user_masks, masker=masker)

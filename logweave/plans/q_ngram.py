@@ -187,3 +187,25 @@ def q_ngram_general(spark, sf):
     s = split_log(spark, sf)
     lines, _ = N.ngram_parse(s, "Content")
     return lines.select("line_id", "event_template", event_id(F.col("event_template")).alias("event_id"))
+
+
+RATIO = 0.5
+RATIO_GRAMS = (
+    GRAMS[0], GRAMS[1],
+    "dl AS (SELECT line_id FROM (SELECT line_id, row_number() OVER (ORDER BY line_id) - 1 AS i FROM tok) "
+    f"WHERE i <= floor((SELECT count(*) FROM tok) * {RATIO}))",
+    "uni AS (SELECT w3 AS w, count(*) AS c1 FROM ex2 WHERE line_id IN (SELECT line_id FROM dl) GROUP BY w3)",
+    "bi AS (SELECT w2 AS w1, w3 AS w2, count(*) AS c2 FROM ex2 WHERE pos >= 1 AND line_id IN (SELECT line_id FROM dl) "
+    "GROUP BY w2, w3)",
+    "tri AS (SELECT w1, w2, w3, count(*) AS c3 FROM ex2 WHERE pos >= 2 AND line_id IN (SELECT line_id FROM dl) "
+    "GROUP BY w1, w2, w3)",
+)
+
+
+@register("ngram_ratio", S.with_(*TEXT_TOK, *RATIO_GRAMS, *SCORE, *_flags_ctes()) + """
+SELECT line_id, event_template, n_dynamic FROM tp""")
+def q_ngram_ratio(spark, sf):
+    """C5 with the dictionaries built from the first half of the lines (in line order)."""
+    t = ascii_text_lines(spark, sf)
+    lines, _ = N.ngram_parse(t, "value", masker=lambda c: mask_types(c), ratio=RATIO)
+    return lines.select("line_id", "event_template", "n_dynamic")
