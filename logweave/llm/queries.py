@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import q_tokens  # noqa: F401
+from logweave.llm import q_texts, q_tokens  # noqa: F401
 from logweave.llm.registry import LLM_ORACLES, LLM_QUERIES
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
