@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logweave.llm.common import table
 from logweave.llm.fingerprint import with_edits
+from logweave.llm.quality import assess
 from logweave.llm.registry import register
 
 
@@ -13,3 +14,37 @@ from logweave.llm.registry import register
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents, of their edited texts, and how near these and the next documents are."""
     return with_edits(table(spark, sf_dir, "documents"))
+
+
+QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+lw AS (SELECT doc_id, line, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+  length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS c FROM l),
+lf AS (SELECT *, n > 0 AND (
+    (len(regexp_extract_all(line, '[#*$%&|<>»›•→]+')) >= 3 AND len(regexp_extract_all(line, '[#*$%&|<>»›•→]+')) * 100 >= n * 30)
+    OR (len(regexp_extract_all(line, '[!?]{2,}')) >= 3 AND len(regexp_extract_all(line, '[!?]{2,}')) * 100 >= n * 30)
+    OR (n >= 40 AND NOT regexp_matches(line, '[.,;:!?…。！？]'))
+    OR (n <= 30 AND regexp_matches(line, 'accept (all )?cookies|use of cookies|cookie policy|enable javascript|javascript is disabled|lorem ipsum|terms of (use|service)|privacy policy|all rights reserved|sign (in|up) (to|for)|subscribe to our|click here|share this|skip to (main )?content|powered by|back to top|(licensed|released) under (the|cc)|copyright (\(c\)|©)', 'i'))) AS bad
+  FROM lw),
+ld AS (SELECT doc_id, sum(n) AS n_words, sum(c) AS word_chars, sum(CASE WHEN bad THEN c ELSE 0 END) AS lost,
+  count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines FROM lf GROUP BY doc_id),
+w AS (SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS x FROM d)),
+win AS (SELECT doc_id, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS s,
+  count(*) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS k FROM w),
+twice AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win WHERE k = 8) WHERE c > 1),
+rep AS (SELECT doc_id, sum(least(8, coalesce(nxt - pos, 8))) AS n_repeat_words
+  FROM (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM twice) GROUP BY doc_id)
+SELECT d.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+  n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words) AND lost * 100 <= word_chars * 50 AS kept
+FROM d JOIN ld USING (doc_id) LEFT JOIN rep USING (doc_id)
+"""
+
+
+@register("op3_quality_rules", QUALITY_SQL)
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents, and whether they are kept after their lines are cleaned."""
+    return assess(table(spark, sf_dir, "documents")).drop("lost_chars", "n_removed_lines", "clean_text")
