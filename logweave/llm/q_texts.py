@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logweave.llm.common import table
 from logweave.llm.fingerprint import with_edits
+from logweave.llm.linedup import line_shares
 from logweave.llm.quality import assess
 from logweave.llm.registry import register
 
@@ -48,3 +50,24 @@ FROM d JOIN ld USING (doc_id) LEFT JOIN rep USING (doc_id)
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents, and whether they are kept after their lines are cleaned."""
     return assess(table(spark, sf_dir, "documents")).drop("lost_chars", "n_removed_lines", "clean_text")
+
+
+LINES_SQL = r"""
+WITH l AS (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+t AS (SELECT DISTINCT source, text, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM l),
+p AS (SELECT source, line, count(*) AS pages FROM t WHERE line <> '' GROUP BY ALL),
+h AS (SELECT source, count(DISTINCT text) AS host_pages FROM documents GROUP BY source),
+bad AS (SELECT p.source, list(line) AS bad FROM p JOIN h ON p.source IS NOT DISTINCT FROM h.source
+  WHERE pages >= 5 AND pages >= host_pages * 0.1 GROUP BY p.source),
+k AS (SELECT doc_id, string_split(text, chr(10)) AS lines, text,
+  list_filter(string_split(text, chr(10)), lambda s: NOT list_contains(coalesce(bad, []), regexp_replace(s, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'))) AS kept
+  FROM documents d LEFT JOIN bad ON d.source IS NOT DISTINCT FROM bad.source)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text,
+  coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(kept), 0) AS n_dropped FROM k
+"""
+
+
+@register("op9_line_dedup", LINES_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the boilerplate lines of their source, taken as the host."""
+    return line_shares(table(spark, sf_dir, "documents"), F.col("source"))
