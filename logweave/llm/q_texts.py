@@ -10,6 +10,7 @@ from logweave.llm.fingerprint import with_edits
 from logweave.llm.linedup import line_shares
 from logweave.llm.quality import assess
 from logweave.llm.registry import register
+from logweave.llm.sharding import curve_shards
 
 
 @register("op1_fingerprints")
@@ -71,3 +72,18 @@ SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) EN
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the boilerplate lines of their source, taken as the host."""
     return line_shares(table(spark, sf_dir, "documents"), F.col("source"))
+
+
+SHARDS = 16
+
+
+@register("op4_hilbert_shards")
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of equal row counts along a curve over language, source and length."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sized = docs.select("doc_id", "lang", "source", "n_chars", (F.octet_length(text) + 1).cast("long").alias("size"),
+                        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    placed = curve_shards(sized, ["lang", "source", "n_chars"], SHARDS, ["doc_id", "size", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "curve")
