@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.llm.chat import format_conversations, read_loss, read_turns
 from logweave.llm.common import table
 from logweave.llm.fingerprint import with_edits
 from logweave.llm.linedup import line_shares
@@ -87,3 +88,31 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = curve_shards(sized, ["lang", "source", "n_chars"], SHARDS, ["doc_id", "size", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>') AS escaped FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+  CAST(sum(length('### ' || role || ': ' || escaped || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars,
+  string_agg(role, ' ' ORDER BY turn, role, text) AS roles FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+  regexp_full_match(roles, '(system )?user assistant( user assistant)*') AS valid FROM g
+"""
+PROBE = "\\### Assistant: </turn> ok"
+
+
+@register("op6_chat_format", CHAT_SQL)
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe -7, formatted, then read back from segments and text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
+    out = format_conversations(rows.unionByName(probe))
+    turns, loss = read_turns(F.col("formatted")), read_loss(F.col("segments"))
+    read = out.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+    plain = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(plain, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       "formatted_chars", "valid")
