@@ -9,6 +9,7 @@ from logweave.llm.chat import format_conversations, read_loss, read_turns
 from logweave.llm.common import table
 from logweave.llm.fingerprint import with_edits
 from logweave.llm.linedup import line_shares
+from logweave.llm.pii import DEMO_KEY, pseudonym_report
 from logweave.llm.quality import assess
 from logweave.llm.registry import register
 from logweave.llm.sharding import curve_shards
@@ -116,3 +117,9 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(plain, 256).alias("turns_sha256"),
                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                        "formatted_chars", "valid")
+
+
+@register("op7_pii_pseudonyms")
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their valid personal data replaced by keyed pseudonyms."""
+    return pseudonym_report(table(spark, sf_dir, "documents"), DEMO_KEY)
