@@ -9,6 +9,7 @@ from logweave.llm.chat import format_conversations, read_loss, read_turns
 from logweave.llm.common import table
 from logweave.llm.fingerprint import with_edits
 from logweave.llm.linedup import line_shares
+from logweave.llm.ngramjoin import jaccard_components
 from logweave.llm.pii import DEMO_KEY, pseudonym_report
 from logweave.llm.quality import assess
 from logweave.llm.registry import register
@@ -123,3 +124,9 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their valid personal data replaced by keyed pseudonyms."""
     return pseudonym_report(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
+@register("op5_ngram_jaccard")
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of 3-word shingles overlap by 90 percent."""
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
