@@ -115,7 +115,8 @@ def keep_clean(df: DataFrame, text_col: str = "text", length_col: str | None = "
     ``length_col`` (if the table has it) follows a changed text.
     """
     j = free_name(df.columns, "_judged")
-    d = df.withColumn(j, judged(F.col(text_col))).where(F.col(j)["kept"])
+    # a generated column is not pushed into the filter, so texts are judged once
+    d = df.select("*", F.explode(F.array(judged(F.col(text_col)))).alias(j)).where(F.col(j)["kept"])
     return with_text(d, df.columns, text_col, F.col(j)["clean_text"], length_col)
 
 

@@ -1,8 +1,11 @@
-"""All registered queries of this package."""
+"""All registered queries of this package, and the corpus pipeline."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from logweave.llm import q_texts, q_tokens  # noqa: F401
-from logweave.llm.registry import LLM_ORACLES, LLM_QUERIES
+from logweave.llm.registry import LLM_ORACLES, LLM_QUERIES, register
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
