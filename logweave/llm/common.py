@@ -115,4 +115,4 @@ def ranked(df: DataFrame, group: str, order: list[str], out: str, salts: int = 4
     counts = d.groupBy(group, salt).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select(group, salt, (F.sum("_n").over(W.partitionBy(group).orderBy(salt)) - F.col("_n")).alias(base))
     d = d.withColumn(out, F.row_number().over(W.partitionBy(group, salt).orderBy(*order)) - 1)
-    return d.join(counts, [group, salt]).withColumn(out, (F.col(out) + F.col(base)).cast("long")).drop(salt, base)
+    return d.join(counts, [group, salt]).select(*df.columns, (F.col(out) + F.col(base)).cast("long").alias(out))
