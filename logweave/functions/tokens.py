@@ -1,19 +1,13 @@
 """Tokenising and scalar template functions (T1-T16) and predicates.
 
 All are Column expressions (built-in functions and higher-order functions on
-arrays), so they stay inside whole-stage codegen.  The only Python helper is
-T4 (a 128-bit integer) which runs as an Arrow-batched pandas UDF on the
-distinct-template table.
+arrays); no Python runs on the executors.
 """
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 WILDCARD = "<*>"
 WILDCARD_RX = r"<\*>"
@@ -86,11 +80,17 @@ def event_id(template: Column) -> Column:
     return F.substring(F.md5(template), 1, 8)
 
 
-@F.pandas_udf(T.StringType())
-def short_event_id(templates: pd.Series) -> pd.Series:
-    """T4: first 4 decimal digits of md5 read as a 128-bit integer (small helper)."""
-    return templates.map(
-        lambda t: None if t is None else str(int(hashlib.md5(t.encode("utf-8")).hexdigest(), 16))[:4])
+def short_event_id(template: Column) -> Column:
+    """T4: the first four decimal digits of md5 read as a 128-bit integer.
+
+    In decimal parts, as 128 bits exceed 38 digits: with the halves h and l and
+    2**64 = a * 10**10 + b, the integer over 10**10 is h * a + floor((h * b + l) / 10**10).
+    """
+    a, b = divmod(1 << 64, 10 ** 10)
+    half = lambda at: F.conv(F.substring(F.md5(template), at, 16), 16, 10).cast("decimal(20,0)")
+    low = half(1) * F.lit(b).cast("decimal(10,0)") + half(17)
+    high = half(1) * F.lit(a).cast("decimal(10,0)") + F.floor(low / F.lit(10 ** 10).cast("decimal(11,0)"))
+    return F.substring(high.cast("decimal(38,0)").cast("string"), 1, 4)
 
 
 # T5 ------------------------------------------------------------------------

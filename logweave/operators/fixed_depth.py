@@ -1,230 +1,90 @@
-"""Fixed-depth clustering (C1, C2) and rotation voting (C4).
-
-Spark plan
-----------
-1. mask → whitespace tokens; identical token lists collapse into *messages*
-   (hash aggregate, partial on the map side) carrying ``first_line_id``.
-2. Phase A: ``groupBy(n_tokens, salt).applyInPandas(fold)`` where
-   ``salt = pmod(xxhash64(tokens), buckets)``.  Token count is the exact
-   independent unit of the algorithm (a search never crosses lengths); the salt
-   bounds one group's memory by distinct messages / buckets, so a token count
-   holding a third of all messages is still split across tasks.
-3. Phase B: the clusters of every bucket are folded again per token count,
-   representatives in first-seen order, which merges clusters that phase A
-   kept apart.  Membership message → A-cluster → B-cluster is carried through,
-   so each message gets its final template exactly (no re-matching).
+"""Fixed-depth mining (C1, C2) and rotation voting (C4).
+
+1. mask → whitespace tokens; equal token lists collapse into *messages* (hash
+   aggregate, partial on the map side).
+2. Routing key: token count and the leading ``depth - 3`` tokens; a token with a
+   digit or a wildcard routes as ``<*>``, and so do all but the first
+   ``max_child - 1`` different tokens of a level (by first line, then text).
+   Messages shorter than the routing depth are templates of their own (C1q).
+3. Within a key, messages are clustered by position splitting at similarity ``st``
+   (``operators.position_split``): independent of line order, row count and partitioning.
 4. Lines get their template by an equi-join on the message tokens.
-
-``exact=True`` uses one bucket per token count and skips phase B: the
-reference's single pass over distinct messages in first-seen order.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logweave.functions.masks import mask_user
 from logweave.functions.tokens import WILDCARD, pad_for_rotation, rotate, tokenize, unrotate_template
-
-DEFAULT_BUCKETS = 64
-MESSAGES_PER_GROUP = 500_000   # target bound on distinct messages in one fold group
+from logweave.operators.position_split import SEP, cluster_groups
+from logweave.session import cut_lineage
 
 
-def auto_buckets(msgs: DataFrame, floor: int = DEFAULT_BUCKETS) -> int:
-    """Salt buckets so that one fold group holds about MESSAGES_PER_GROUP distinct
-    messages even if a single token count holds all of them (counted, not guessed)."""
-    n = msgs.count()
-    return max(floor, -(-n // MESSAGES_PER_GROUP))
+def message_id():
+    """128 bits that stand for a token list."""
+    return F.md5(F.concat_ws(SEP, F.size("tokens").cast("string"), F.array_join("tokens", SEP)))
 
 
-class PrefixTreeFold:
-    """One pass of fixed-depth clustering over token lists of ONE token count.
+def route_messages(msgs: DataFrame, depth: int, max_child: int) -> DataFrame:
+    """Adds ``grp``, the routing key, to (msg_id, tokens, first_line_id)."""
+    m = msgs.withColumn("grp", F.size("tokens").cast("string"))
+    for level in range(depth - 3):
+        tok = F.coalesce(F.get("tokens", level), F.lit(""))
+        own = ~tok.rlike(r"\d") & ~tok.contains(WILDCARD)
+        m = m.withColumn("_tok", F.when(own, tok))
+        seen = m.where("_tok IS NOT NULL").groupBy("grp", "_tok").agg(F.min("first_line_id").alias("_first"))
+        first = Window.partitionBy("grp").orderBy("_first", "_tok")
+        child = seen.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") < max_child) \
+                    .select("grp", "_tok", F.col("_tok").alias("_child"))
+        m = m.join(child, ["grp", "_tok"], "left") \
+             .withColumn("grp", F.concat_ws(SEP, "grp", F.coalesce("_child", F.lit(WILDCARD)))).drop("_tok", "_child")
+    literal = F.size("tokens") < depth - 2
+    return m.withColumn("grp", F.when(literal, F.concat(F.lit("literal" + SEP), F.col("msg_id"))).otherwise(F.md5("grp")))
 
-    Small per-group helper: the prefix tree routes by the leading tokens
-    (digit tokens and overflow go to a wildcard child), the leaf keeps its
-    clusters, the best cluster is max similarity then more wildcards then
-    earliest, accepted at ``>= st``; a match generalises the template.
-    """
 
-    def __init__(self, depth: int = 4, st: float = 0.4, max_child: int = 100):
-        self.depth = depth - 2
-        self.st = st
-        self.max_child = max_child
-        self.root: dict = {}
-        self.templates: list[list[str]] = []
-
-    @staticmethod
-    def _has_digit(s: str) -> bool:
-        return any(ch.isdigit() for ch in s)
-
-    def _leaf_for_search(self, seq):
-        node = self.root
-        d = 1
-        for tok in seq:
-            if d >= self.depth or d > len(seq):
-                break
-            if tok in node:
-                node = node[tok]
-            elif WILDCARD in node:
-                node = node[WILDCARD]
-            else:
-                return None
-            d += 1
-        return node.get("__leaf__") if isinstance(node, dict) else None
-
-    def _insert(self, cid: int, seq) -> None:
-        node = self.root
-        d = 1
-        for tok in seq:
-            if d >= self.depth or d > len(seq):
-                node.setdefault("__leaf__", []).append(cid)
-                return
-            children = [k for k in node if k != "__leaf__"]
-            if tok not in node:
-                if not self._has_digit(tok):
-                    if WILDCARD in node:
-                        if len(children) < self.max_child:
-                            node[tok] = {}
-                            node = node[tok]
-                        else:
-                            node = node[WILDCARD]
-                    elif len(children) + 1 < self.max_child:
-                        node[tok] = {}
-                        node = node[tok]
-                    elif len(children) + 1 == self.max_child:
-                        node[WILDCARD] = {}
-                        node = node[WILDCARD]
-                    else:
-                        node = node[WILDCARD]
-                else:
-                    node = node.setdefault(WILDCARD, {})
-            else:
-                node = node[tok]
-            d += 1
-        # loop ended without reaching the leaf depth: the cluster is never attached
-
-    def _similarity(self, tpl, seq):
-        sim = par = 0
-        for a, b in zip(tpl, seq):
-            if a == WILDCARD:
-                par += 1
-            elif a == b:
-                sim += 1
-        return sim / len(tpl), par
-
-    def add(self, seq: list[str]) -> int:
-        """Process one message; return its cluster index."""
-        leaf = self._leaf_for_search(seq) if seq else None
-        best, best_sim, best_par = None, -1.0, -1
-        for cid in leaf or []:
-            s, p = self._similarity(self.templates[cid], seq)
-            if s > best_sim or (s == best_sim and p > best_par):
-                best, best_sim, best_par = cid, s, p
-        if best is not None and best_sim >= self.st:
-            tpl = self.templates[best]
-            self.templates[best] = [a if a == b else WILDCARD for a, b in zip(seq, tpl)]
-            return best
-        self.templates.append(list(seq))
-        cid = len(self.templates) - 1
-        self._insert(cid, seq)
-        return cid
-
-
-def _fold_schema(extra: str = "") -> str:
-    return ("n_tokens int, salt int, tokens array<string>, first_line_id long, cluster int, "
-            "template array<string>" + extra)
-
-
-def _phase_a(depth: int, st: float, max_child: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first_line_id", kind="stable")
-        f = PrefixTreeFold(depth, st, max_child)
-        cl = [f.add(list(t)) for t in pdf["tokens"]]
-        out = pdf[["n_tokens", "salt", "tokens", "first_line_id"]].copy()
-        out["cluster"] = cl
-        out["template"] = [f.templates[c] for c in cl]
-        return out
-    return fold
-
-
-def _phase_b(depth: int, st: float, max_child: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_line_id", "salt", "cluster"], kind="stable")
-        f = PrefixTreeFold(depth, st, max_child)
-        cl = [f.add(list(t)) for t in pdf["template"]]
-        out = pdf[["n_tokens", "salt", "cluster"]].copy()
-        out["final_cluster"] = cl
-        out["final_template"] = [f.templates[c] for c in cl]
-        return out
-    return fold
-
-
-def cluster_messages(msgs: DataFrame, depth: int = 4, st: float = 0.4, max_child: int = 100,
-                     buckets: int | None = None, exact: bool = False) -> DataFrame:
-    """(tokens, first_line_id) → (tokens, cluster_key, template STRING)."""
-    nb = 1 if exact else (auto_buckets(msgs) if buckets is None else buckets)
-    m = msgs.select("tokens", "first_line_id").withColumn("n_tokens", F.size("tokens")) \
-            .withColumn("salt", F.pmod(F.xxhash64("tokens"), F.lit(nb)).cast("int"))
-    a = m.groupBy("n_tokens", "salt").applyInPandas(_phase_a(depth, st, max_child), _fold_schema())
-    if exact:
-        return a.select("tokens", F.struct("n_tokens", "cluster").alias("cluster_key"),
-                        F.array_join("template", " ").alias("event_template"))
-    # every member of a cluster carries the cluster's final template (set after the fold)
-    reps = a.groupBy("n_tokens", "salt", "cluster").agg(
-        F.min("first_line_id").alias("first_line_id"), F.first("template").alias("template"))
-    b = reps.groupBy("n_tokens").applyInPandas(
-        _phase_b(depth, st, max_child),
-        "n_tokens int, salt int, cluster int, final_cluster int, final_template array<string>")
-    out = a.join(b, ["n_tokens", "salt", "cluster"])
-    return out.select("tokens", F.struct("n_tokens", "final_cluster").alias("cluster_key"),
-                      F.array_join("final_template", " ").alias("event_template"))
+def cluster_messages(msgs: DataFrame, depth: int = 4, st: float = 0.4, max_child: int = 100) -> DataFrame:
+    """(tokens, first_line_id) → (tokens, cluster, event_template)."""
+    m = cut_lineage(msgs.select(message_id().alias("msg_id"), "tokens", "first_line_id"))
+    found = cluster_groups(route_messages(m, depth, max_child), F.lit(float(st)))
+    return m.select("msg_id", "tokens").join(found, "msg_id").select(
+        "tokens", "cluster", F.array_join("template", " ").alias("event_template"))
 
 
 def mine_fixed(df: DataFrame, content: str = "content", masks=(), depth: int = 4, st: float = 0.4,
-               max_child: int = 100, buckets: int | None = None, exact: bool = False,
-               key: str = "line_id", tokens_col=None, shuffle_seed: int | None = None) -> DataFrame:
-    """(key, event_template) for every line.
-
-    Messages are folded in first-seen order, or — with ``shuffle_seed`` — in a
-    seeded pseudo-random order (a deterministic hash, so a retried task folds
-    the same order)."""
+               max_child: int = 100, key: str = "line_id", tokens_col=None) -> DataFrame:
+    """(key, event_template) for every line."""
     tok = tokens_col if tokens_col is not None else tokenize(mask_user(F.col(content), masks))
     lines = df.select(key, tok.alias("tokens"))
     msgs = lines.groupBy("tokens").agg(F.min(key).alias("first_line_id"))
-    if shuffle_seed is not None:
-        msgs = msgs.withColumn("first_line_id", F.xxhash64(F.lit(shuffle_seed), "tokens"))
-    cl = cluster_messages(msgs, depth, st, max_child, buckets, exact)
-    return lines.join(cl.select("tokens", "event_template"), "tokens").select(key, "event_template")
+    found = cluster_messages(msgs, depth, st, max_child)
+    return lines.join(found.select("tokens", "event_template"), "tokens").select(key, "event_template")
+
+
+def vote(votes: DataFrame, key: str = "line_id") -> DataFrame:
+    """Per line the template of most rotations, then of more wildcards, then of the lowest rotation."""
+    counted = votes.groupBy(key, "event_template").agg(F.count(F.lit(1)).alias("votes"),
+                                                       F.min("rotation").alias("first_rotation"))
+    wildcards = F.size(F.split("event_template", r"<\*>")) - 1
+    rank = F.struct(F.col("votes"), wildcards, -F.col("first_rotation"))
+    return counted.groupBy(key).agg(F.max_by("event_template", rank).alias("event_template"))
 
 
 def mine_rotated(df: DataFrame, content: str = "content", masks=(), rotations=(0, 1, 2), depth: int = 4,
-                 st: float = 0.4, max_child: int = 100, buckets: int | None = None, exact: bool = False,
-                 key: str = "line_id") -> DataFrame:
+                 st: float = 0.4, max_child: int = 100, key: str = "line_id") -> DataFrame:
     """C4: cluster the tokens rotated by each k, un-rotate, majority vote per line.
 
-    Each rotation folds its distinct messages in a seeded shuffled order (seed =
-    the rotation).  Rotations are mined independently (the reference shares one
-    tree across them and shuffles per 2,000-line batch).  Vote: most rotations, then more wildcards, then the lowest rotation.
-    Padding tokens ``_`` (short messages) are cut off again after un-rotating.
+    Rotations are mined independently; padding tokens ``_`` (short messages) are cut
+    off again after un-rotating.
     """
-    base = df.select(key, tokenize(mask_user(F.col(content), masks)).alias("tok"))
-    n_rot = len(rotations)
+    base = cut_lineage(df.select(key, tokenize(mask_user(F.col(content), masks)).alias("tok")))
     votes = None
     for k in rotations:
-        rot = rotate(pad_for_rotation(F.col("tok"), n_rot), k)
-        mined = mine_fixed(base.withColumn("rt", rot), key=key, depth=depth, st=st, max_child=max_child,
-                           buckets=buckets, exact=exact, tokens_col=F.col("rt"), shuffle_seed=k)
-        t = mined.join(base, key).select(
-            key, F.lit(k).alias("rotation"),
-            F.array_join(F.slice(F.split(unrotate_template(F.col("event_template"), k), " "), 1,
-                                 F.greatest(F.size("tok"), F.lit(1))), " ").alias("event_template"))
+        rot = rotate(pad_for_rotation(F.col("tok"), len(rotations)), k)
+        mined = mine_fixed(base.withColumn("rt", rot), key=key, depth=depth, st=st, max_child=max_child, tokens_col=F.col("rt"))
+        back = F.split(unrotate_template(F.col("event_template"), k), " ")
+        t = mined.join(base, key).select(key, F.lit(k).alias("rotation"),
+                                         F.array_join(F.slice(back, 1, F.greatest(F.size("tok"), F.lit(1))), " ").alias("event_template"))
         votes = t if votes is None else votes.unionByName(t)
-    counted = votes.groupBy(key, "event_template").agg(F.count(F.lit(1)).alias("votes"),
-                                                       F.min("rotation").alias("first_rotation"))
-    wc = F.size(F.split("event_template", r"<\*>")) - 1
-    best = counted.groupBy(key).agg(F.max_by("event_template", F.struct(
-        F.col("votes"), wc, -F.col("first_rotation"))).alias("event_template"))
-    return best
+    return vote(votes, key)

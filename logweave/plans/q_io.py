@@ -16,6 +16,7 @@ from logweave.plans.common import masked_log, split_log
 from logweave.plans.q_match import TPL, _match_ctes, log_templates
 from logweave.plans.q_ngram import GRAMS, LOG_TOK, SCORE, _flags_ctes
 from logweave.plans.q_sources import _estimate_sql
+from logweave.plans.q_mine import TYPE_TOKS, _mined_sql
 from logweave.plans.registry import register
 from logweave.session import checkpoint_dir
 from logweave.sources.files import read_csv_table, read_trace, write_table
@@ -97,9 +98,9 @@ def q_stream_match(spark, sf):
     return G.stream_match(spark, sf, log_templates(spark, sf)).select("line_id", "event_id", "event_template")
 
 
-@register("stream_mine")
+@register("stream_mine", _mined_sql(TYPE_TOKS, "lt"))
 def q_stream_mine(spark, sf):
-    """G2 (rows-only): templates at arrival time, per (token count, salt) state."""
+    """Templates as of each batch (here one batch: those of the whole stream)."""
     return G.stream_mine(spark, sf)
 
 

@@ -1,13 +1,14 @@
-"""Registered queries: order-dependent clustering miners (C1-C4) — rows-only in
-the driver (no SQL form of a sequential fold); checked in pytest against an
-independent line-by-line fold on a small fixture.  The vote step of C4 has a
-SQL oracle on the votes table."""
+"""Registered queries: template miners (C1-C4), each with its SQL form.
+
+The miners cluster by position splitting, which SQL runs as a recursive CTE over the
+distinct messages; the oracles state masks, routing and thresholds anew.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logweave.functions.masks import mask_types
+from logweave.functions.masks import mask_estimated, mask_types
 from logweave.functions.tokens import event_id, tokenize
 from logweave.operators import dynamic as D
 from logweave.operators import fixed_depth as FD
@@ -23,43 +24,124 @@ def _content(spark, sf):
     return split_log(spark, sf).select("line_id", "truth_template", F.col("Content").alias("content"))
 
 
-@register("mine_fixed")
+LOG_TOKS = (S.log_lines_cte(), S.split_cte(),
+            f"lt AS (SELECT line_id, {S.tokens_sql(S.number_masks_sql(chr(34) + 'Content' + chr(34)))} AS toks FROM split)")
+TYPE_TOKS = (S.log_lines_cte(), S.split_cte(),
+             f"lt AS (SELECT line_id, {S.tokens_sql(S.mask_chain_sql(chr(34) + 'Content' + chr(34)))} AS toks FROM split)")
+TEXT_TOKS = (S.text_lines_cte(), "xt AS (SELECT line_id, " + S.tokens_sql(S.mask_chain_sql(
+    "regexp_replace(value, '[^\\x00-\\x7F]+', '<N/ASCII>', 'g')")) + " AS toks FROM text_lines)")
+
+
+def _mined_sql(ctes, lines, st=0.4, columns="l.line_id, m.template AS event_template"):
+    return S.recursive(S.with_(*ctes, S.route_ctes(lines), S.split_ctes("routed", str(st)))
+                       + f"SELECT {columns} FROM {lines} l JOIN mined m ON l.toks = m.toks")
+
+
+@register("mine_fixed", _mined_sql(LOG_TOKS, "lt", columns="l.line_id, substr(md5(m.template), 1, 8) AS event_id, m.template AS event_template"))
 def q_mine_fixed(spark, sf):
-    """C1 (salted two-phase) over the derived log with per-dataset user masks."""
+    """C1 over the derived log with per-dataset user masks."""
     m = FD.mine_fixed(_content(spark, sf), "content", LOG_MASKS)
     return m.select("line_id", event_id(F.col("event_template")).alias("event_id"), "event_template")
 
 
-@register("mine_fixed_exact")
+@register("mine_fixed_exact", _mined_sql(LOG_TOKS, "lt"))
 def q_mine_fixed_exact(spark, sf):
-    """C1, one fold per token count (the reference's single pass over distinct messages)."""
-    m = FD.mine_fixed(_content(spark, sf), "content", LOG_MASKS, exact=True)
-    return m.select("line_id", "event_template")
+    """C1; every run is exact since grouping does not depend on buckets or row counts."""
+    return FD.mine_fixed(_content(spark, sf), "content", LOG_MASKS)
 
 
-@register("mine_fixed_text")
+@register("mine_fixed_text", _mined_sql(TEXT_TOKS, "xt"))
 def q_mine_fixed_text(spark, sf):
-    """C1 over every line of the text corpus (skewed token counts, salted)."""
+    """C1 over every line of the text corpus; lines of one token are their own templates (C1q)."""
     t = masked_text(spark, sf)
-    m = FD.mine_fixed(t, "value", (), tokens_col=tokenize(mask_types(F.col("value"))))
-    return m.select("line_id", "event_template")
+    return FD.mine_fixed(t, "value", (), tokens_col=tokenize(mask_types(F.col("value"))))
 
 
 @register("mine_masked")
 def q_mine_masked(spark, sf):
     """Estimated typed masks (first 2,000 lines) then fixed-depth clustering."""
-    from logweave.functions.masks import mask_estimated
     c = mask_estimated(_content(spark, sf), "content", "masked")
-    m = FD.mine_fixed(c, "masked", (), depth=4, st=0.5)
-    return m.select("line_id", "event_template")
+    return FD.mine_fixed(c, "masked", (), depth=4, st=0.5)
+
+
+def _rotated_sql():
+    """Three independent minings of rotated, padded lists, un-rotated, cut and counted."""
+    ctes, picks = [*LOG_TOKS], []
+    padded = "list_concat(toks, list_transform(range(greatest(0, 3 - len(toks))), lambda i: '_'))"
+    ctes.append(f"pad AS (SELECT line_id, greatest(len(toks), 1) AS n0, {padded} AS p FROM lt)")
+    for k in range(3):
+        ctes.append(f"rot{k} AS (SELECT line_id, n0, list_concat(p[{k} + 1:], p[1:{k}]) AS toks FROM pad)")
+        ctes.append(S.route_ctes(f"rot{k}", name=f"ro{k}"))
+        ctes.append(S.split_ctes(f"ro{k}", "0.4", f"mi{k}"))
+        back = f"list_concat(t[len(t) - {k} + 1:], t[1:len(t) - {k}])" if k else "t"
+        picks.append(f"SELECT line_id, {k} AS rotation, array_to_string(({back})[1:n0], ' ') AS event_template FROM "
+                     f"(SELECT r.line_id, r.n0, string_split(m.template, ' ') AS t FROM rot{k} r JOIN mi{k} m ON r.toks = m.toks)")
+    ctes.append("votes AS (" + " UNION ALL ".join(picks) + ")")
+    return S.recursive(S.with_(*ctes)) + """,
+counted AS (SELECT line_id, event_template, count(*) AS votes, min(rotation) AS first_rotation FROM votes GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY votes DESC,
+           (length(event_template) - length(replace(event_template, '<*>', ''))) / 3 DESC, first_rotation) AS r FROM counted)
+SELECT line_id, event_template FROM ranked WHERE r = 1"""
 
 
-@register("mine_rotated")
+@register("mine_rotated", _rotated_sql())
 def q_mine_rotated(spark, sf):
     """C4: three rotations, fixed-depth clustering each, majority vote."""
     return FD.mine_rotated(_content(spark, sf), "content", LOG_MASKS, rotations=(0, 1, 2))
 
 
+DYN = S.threshold_sql("n")
+PASS1 = ("dm AS (SELECT toks, min(line_id) AS first_line, count(*) AS hits, CAST(len(toks) AS VARCHAR) AS grp FROM lt GROUP BY toks)",
+         S.split_ctes("dm", DYN, "one"),
+         """consts AS (SELECT constant, min(line_id) AS line_id FROM (
+  SELECT list_filter(string_split(any_value(template), ' '), lambda x: NOT contains(x, '<*>'))[1] AS constant, min(first_line) AS line_id
+  FROM one JOIN dm USING (toks) GROUP BY one.grp
+  HAVING list_contains(string_split(any_value(template), ' '), '<*>') OR sum(hits) >= 385) WHERE constant IS NOT NULL GROUP BY constant)""",
+         """bucketed AS (SELECT d.toks, arg_min(c.constant, {'l': c.line_id, 'c': c.constant}) AS bucket
+  FROM (SELECT toks, unnest(list_distinct(toks)) AS tok FROM dm) d LEFT JOIN consts c ON d.tok = c.constant GROUP BY d.toks)""")
+
+
+def _type_tokens(spark, sf):
+    lines = _content(spark, sf).select("line_id", tokenize(mask_types(F.col("content"))).alias("tokens"))
+    return lines, D.messages(lines)
+
+
+@register("constants", S.recursive(S.with_(*TYPE_TOKS, *PASS1) + "SELECT constant, line_id FROM consts"))
+def q_constants(spark, sf):
+    """Constants and the line of their discovery."""
+    return D.discover_constants(_type_tokens(spark, sf)[1])
+
+
+@register("constant_route", S.recursive(S.with_(*TYPE_TOKS, *PASS1) + "SELECT l.line_id, b.bucket FROM lt l JOIN bucketed b ON l.toks = b.toks"))
+def q_constant_route(spark, sf):
+    """P5: every line's bucket, the first-discovered constant that it contains."""
+    lines, msgs = _type_tokens(spark, sf)
+    return lines.join(D.route(msgs, D.discover_constants(msgs)).select("tokens", "bucket"), "tokens").select("line_id", "bucket")
+
+
+@register("dynamic_clusters", S.recursive(S.with_(*TYPE_TOKS, *PASS1,
+          "dr AS (SELECT toks, coalesce('=' || bucket, 'none') || chr(31) || len(toks) AS grp FROM bucketed)",
+          S.split_ctes("dr", DYN, "two")) + "SELECT l.line_id, t.template AS event_template FROM lt l JOIN two t ON l.toks = t.toks"))
+def q_dynamic_clusters(spark, sf):
+    """Every line's cluster template before branching, correction and merging."""
+    lines, msgs = _type_tokens(spark, sf)
+    m = D.cluster_buckets(D.route(msgs, D.discover_constants(msgs)))
+    return lines.join(m.select("tokens", F.array_join("template", " ").alias("event_template")), "tokens").select("line_id", "event_template")
+
+
+MERGE_ITEMS = S.with_(S.text_lines_cte(), "it AS (SELECT DISTINCT array_to_string(" + S.tokens_sql(S.mask_chain_sql(
+    "regexp_replace(value, '[^\\x00-\\x7F]+', '<N/ASCII>', 'g')")) + ", ' ') AS t FROM text_lines)",
+    "sh AS (SELECT t, string_split(t, ' ') AS w FROM it WHERE t <> '' AND len(string_split(t, ' ')) <= 6)")
+
+
+@register("merge_round")
+def q_merge_round(spark, sf):
+    """C3c, one round over the short text templates as one bucket."""
+    t = masked_text(spark, sf).select("template").distinct().where("template <> '' AND size(split(template, ' ')) <= 6")
+    items = t.select(F.lit("b").alias("bucket"), F.col("template").alias("ck"), F.lit(0).alias("i"), F.col("template").alias("t"))
+    return D.merge_round(items).select(F.col("ck").alias("template"), F.col("g").alias("general"))
+
+
 @register("mine_dynamic")
 def q_mine_dynamic(spark, sf):
     """Constants, branching paths, K1 templates, merge, raw-content assignment."""
@@ -106,8 +188,4 @@ def q_vote(spark, sf):
         F.struct(F.lit(1).alias("rotation"), F.col("truth_template").alias("event_template")),
         F.struct(F.lit(2).alias("rotation"), F.col("template").alias("event_template")))).alias("v")) \
         .select("line_id", "v.*")
-    counted = votes.groupBy("line_id", "event_template").agg(F.count(F.lit(1)).alias("votes"),
-                                                             F.min("rotation").alias("first_rotation"))
-    wc = F.size(F.split("event_template", r"<\*>")) - 1
-    return counted.groupBy("line_id").agg(F.max_by("event_template", F.struct(
-        F.col("votes"), wc, -F.col("first_rotation"))).alias("event_template"))
+    return FD.vote(votes)

@@ -111,9 +111,10 @@ def q_event_id(spark, sf):
     return m.select("template", T.event_id(F.col("template")).alias("event_id"))
 
 
-@register("short_event_id")
+@register("short_event_id", TEXT + """
+SELECT DISTINCT template, substr(CAST(CAST('0x' || md5(template) AS UHUGEINT) AS VARCHAR), 1, 4) AS short_id FROM mt""")
 def q_short_event_id(spark, sf):
-    """T4 (rows-only): md5 as a 128-bit integer has no SQL equivalent in DuckDB."""
+    """T4: first four digits of md5 as an integer."""
     m = masked_text(spark, sf).select("template").distinct()
     return m.select("template", T.short_event_id(F.col("template")).alias("short_id"))
 
@@ -236,9 +237,20 @@ def q_generalise(spark, sf):
     return p.select("line_id", F.array_join(T.generalise(F.col("a"), F.col("b")), " ").alias("merged"))
 
 
-@register("merge_keep_delimiters")
+_RUN = "[ ,!;:=|\"''+.\\[\\](){}]*"
+_HX, _HY = f"regexp_extract(a[i], '^{_RUN}')", f"regexp_extract(b[i], '^{_RUN}')"
+_TX, _TY = f"reverse(regexp_extract(a[i], '{_RUN}$'))", f"reverse(regexp_extract(b[i], '{_RUN}$'))"
+
+
+def _lcp(x: str, y: str) -> str:
+    return f"list_max(list_filter(range(0, 1 + least(length({x}), length({y}))), lambda k: left({x}, k) = left({y}, k)))"
+
+
+@register("merge_keep_delimiters", _same_len_pairs_sql() + f"""
+SELECT line_id, array_to_string(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i] = b[i] THEN a[i]
+  ELSE left({_HX}, {_lcp(_HX, _HY)}) || '<*>' || reverse(left({_TX}, {_lcp(_TX, _TY)})) END), ' ') AS merged FROM sl""")
 def q_merge_delims(spark, sf):
-    """T12 (rows-only; pytest checks it against the branch-merge helper)."""
+    """Unequal tokens become a wildcard between the delimiters that both begin and end with."""
     p = _same_len_pairs(spark, sf)
     merged = F.zip_with("a", "b", lambda x, y: T.merge_token_keep_delims(x, y))
     return p.select("line_id", F.array_join(merged, " ").alias("merged"))

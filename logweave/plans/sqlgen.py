@@ -107,3 +107,63 @@ def fixpoint_program_sql(base: str, key: str, expr_col: str, steps: list[tuple])
             f"UNION ALL SELECT {key}, CASE step {' '.join(t_cases)} END, "
             f"CASE step {' '.join(s_cases)} END FROM prog_r WHERE step < {n}),\n"
             f"prog AS (SELECT {key}, t FROM prog_r WHERE step = {n})")
+
+
+def number_masks_sql(expr: str) -> str:
+    """The three user masks of the log queries without look-around: block ids, addresses,
+    then whole numbers between non-alphanumerics (twice, as neighbours share a boundary)
+    and digits at the end."""
+    out = rx_replace(expr, r"blk_-?\d+", "<*>")
+    out = rx_replace(out, r"(\d+\.){3}\d+(:\d+)?", "<*>")
+    for _ in range(2):
+        out = rx_replace(out, r"([^A-Za-z0-9])-?\+?\d+([^A-Za-z0-9])", r"\1<*>\2")
+    return rx_replace(out, "[0-9]+$", "<*>")
+
+
+def threshold_sql(n: str) -> str:
+    """T13 by token count."""
+    return (f"CASE {n} WHEN 1 THEN 1.0 WHEN 2 THEN 1/2 WHEN 3 THEN 2/3 WHEN 4 THEN 3/4 WHEN 5 THEN 3/5 WHEN 6 THEN 4/6 "
+            f"WHEN 7 THEN 4/7 WHEN 8 THEN 5/8 WHEN 9 THEN 6/9 ELSE 0.5 END")
+
+
+def route_ctes(lines: str, depth: int = 4, max_child: int = 100, name: str = "routed") -> str:
+    """Distinct messages of ``lines(line_id, toks)`` with their routing key (depth 4: the leading token)."""
+    assert depth == 4
+    return f"""{name}_m AS (SELECT toks, min(line_id) AS first_line, len(toks) AS n,
+  CASE WHEN regexp_matches(coalesce(toks[1], ''), '[0-9]') OR contains(coalesce(toks[1], ''), '<*>') THEN NULL ELSE coalesce(toks[1], '') END AS lead
+  FROM {lines} GROUP BY toks),
+{name}_c AS (SELECT n, lead FROM (SELECT n, lead, row_number() OVER (PARTITION BY n ORDER BY min(first_line), lead) AS r
+  FROM {name}_m WHERE lead IS NOT NULL GROUP BY n, lead) WHERE r < {max_child}),
+{name} AS (SELECT m.toks, m.first_line, CASE WHEN m.n < {depth - 2} THEN 'literal ' || m.n || coalesce(m.toks[1], '')
+  ELSE m.n || ' ' || CASE WHEN c.lead IS NULL THEN '<*> any' ELSE c.lead END END AS grp
+  FROM {name}_m m LEFT JOIN {name}_c c ON m.n = c.n AND m.lead = c.lead)"""
+
+
+def split_ctes(source: str, threshold: str, name: str = "mined") -> str:
+    """Position splitting of ``source(toks, grp)``: every message's cluster and template.
+
+    ``threshold``: SQL over ``n``, the token count.
+    """
+    return f"""{name}_r(toks, grp, split, round) AS (
+  SELECT toks, grp, CAST(0 AS BIGINT), 0 FROM {source}
+  UNION ALL
+  SELECT w.toks, CASE WHEN w.round = 0 THEN w.grp ELSE w.grp || chr(31) || w.split || chr(31) || w.toks[w.split] END,
+    g.split, w.round + 1
+  FROM {name}_r w LEFT JOIN (
+    SELECT grp, CASE WHEN count(*) FILTER (k = 1 AND NOT contains(t, '<*>')) / count(*) >= max(th) THEN NULL
+      ELSE arg_min(pos, k * 100000 + pos) FILTER (k > 1) END AS split
+    FROM (SELECT grp, pos, count(DISTINCT t) AS k, min(t) AS t, max({threshold}) AS th
+      FROM (SELECT CASE WHEN round = 0 THEN grp ELSE grp || chr(31) || split || chr(31) || toks[split] END AS grp,
+              len(toks) AS n, unnest(toks) AS t, generate_subscripts(toks, 1) AS pos
+            FROM {name}_r WHERE round = 0 OR split IS NOT NULL) GROUP BY grp, pos) GROUP BY grp) g
+  ON g.grp = CASE WHEN w.round = 0 THEN w.grp ELSE w.grp || chr(31) || w.split || chr(31) || w.toks[w.split] END
+  WHERE w.round = 0 OR w.split IS NOT NULL),
+{name}_f AS (SELECT toks, grp FROM {name}_r WHERE round > 0 AND split IS NULL),
+{name}_p AS (SELECT grp, pos, CASE WHEN count(DISTINCT t) = 1 THEN min(t) ELSE '<*>' END AS t
+  FROM (SELECT grp, unnest(toks) AS t, generate_subscripts(toks, 1) AS pos FROM {name}_f) GROUP BY grp, pos),
+{name} AS (SELECT f.toks, f.grp, coalesce(p.template, '') AS template FROM {name}_f f
+  LEFT JOIN (SELECT grp, string_agg(t, ' ' ORDER BY pos) AS template FROM {name}_p GROUP BY grp) p USING (grp))"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)

@@ -1,14 +1,14 @@
 """Structured Streaming forms of the online operators.
 
 * G1 stream split + mask: stateless projection on the file stream.
-* G2 stream mining: ``groupBy(n_tokens, salt).applyInPandasWithState`` keeps the
-  clusters of each key as state; each micro-batch is folded in line order.
-  Emits (line_id, template at arrival).  A hot token count is salted.
-* G3 online n-gram: ``foreachBatch`` merges the batch's gram counts into a
-  stored count table (a versioned parquet table in the shared checkpoint
-  folder), then scores the batch against the counts as of the batch end.
-* G4 warm-up masks: the first batch fixes the mask-type list in a small table;
-  later batches read it and run the pruned chain.
+* G2 stream mining: ``foreachBatch`` adds the batch's new distinct messages to a
+  table in the shared checkpoint folder and clusters, with the batch miner, the
+  messages of the token counts that the batch holds.  Emits (line_id, template as
+  of the batch); a message that is a third of all lines is one row of the table.
+* G3 online n-gram: ``foreachBatch`` adds the batch's gram counts as a new part of
+  a stored table, then scores the batch against the sums as of the batch end.
+* G4 warm-up masks: seen mask types and the number of lines so far are carried from
+  batch to batch until the warm-up is full; later lines run the pruned chain.
 * G5 stream–static template match: ``foreachBatch`` runs the M3 match join of
   the batch against the static template table.
 
@@ -18,22 +18,18 @@ replayed batch after a failure rewrites, never duplicates.
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logweave.functions.masks import MASK_ORDER, detect_mask_types, mask_types
 from logweave.functions.tokens import tokenize
 from logweave.operators import ngram as N
-from logweave.operators.fixed_depth import PrefixTreeFold
+from logweave.operators.fixed_depth import cluster_messages
 from logweave.operators.matching import match_templates
-from logweave.session import checkpoint_dir, path_exists
+from logweave.session import checkpoint_dir
 from logweave.sources.logformat import split_format
 from logweave.sources.tables import LOG_LINES_FORMAT, LOG_LINES_SQL
 
@@ -102,61 +98,51 @@ def stream_match(spark: SparkSession, sf_dir: str, templates: DataFrame) -> Data
     return _drain(q, f"{base}/out", spark).drop("batch")
 
 
-def _mining_state_fn(depth: int, st: float, max_child: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        f = PrefixTreeFold(depth, st, max_child)
-        if state.exists:
-            saved = json.loads(state.get[0])
-            f.root, f.templates = saved["root"], saved["templates"]
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values("line_id", kind="stable")
-        ids, tpls = [], []
-        for lid, toks in zip(batch["line_id"], batch["tokens"]):
-            c = f.add(list(toks))
-            ids.append(int(lid))
-            tpls.append(" ".join(f.templates[c]))
-        state.update((json.dumps({"root": f.root, "templates": f.templates}),))
-        yield pd.DataFrame({"line_id": ids, "event_template": tpls})
-    return fn
-
-
-def stream_mine(spark: SparkSession, sf_dir: str, depth: int = 4, st: float = 0.4, max_child: int = 100,
-                salt_buckets: int = 8) -> DataFrame:
-    """Streaming fixed-depth clustering with per-key cluster state."""
+def _parts(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The parts ``batch=0`` to ``batch=batch_id`` of a stored table; a missing part is an error."""
+    return spark.read.parquet(*[f"{path}/batch={i}" for i in range(batch_id + 1)])
+
+
+def stream_mine(spark: SparkSession, sf_dir: str, depth: int = 4, st: float = 0.4, max_child: int = 100) -> DataFrame:
+    """Streaming fixed-depth mining over the distinct messages seen so far."""
     base = run_dir(spark, "mine")
     lines = split_format(stream_log_lines(event_stream(spark, sf_dir)), LOG_LINES_FORMAT, keep=("line_id",))
-    toks = lines.select("line_id", tokenize(mask_types(F.col("Content"))).alias("tokens")) \
-                .withColumn("n_tokens", F.size("tokens")) \
-                .withColumn("salt", F.pmod(F.xxhash64(F.get("tokens", 0)), F.lit(salt_buckets)).cast("int"))
-    out = toks.groupBy("n_tokens", "salt").applyInPandasWithState(
-        _mining_state_fn(depth, st, max_child), "line_id long, event_template string", "state string",
-        "append", GroupStateTimeout.NoTimeout)
-    q = (out.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+    toks = lines.select("line_id", tokenize(mask_types(F.col("Content"))).alias("tokens"))
+
+    def process(batch: DataFrame, batch_id: int) -> DataFrame:
+        s = batch.sparkSession
+        path = f"{base}/messages"
+        seen = batch.groupBy("tokens").agg(F.min("line_id").alias("first_line_id"))
+        if batch_id:
+            seen = seen.join(_parts(s, path, batch_id - 1), "tokens", "left_anti")
+        seen.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        known = _parts(s, path, batch_id)
+        touched = batch.select(F.size("tokens").alias("n")).distinct()
+        known = known.join(touched, F.size("tokens") == F.col("n"), "left_semi")
+        mined = cluster_messages(known, depth, st, max_child)
+        return batch.join(mined.select("tokens", "event_template"), "tokens").select("line_id", "event_template")
+
+    q = (toks.writeStream.foreachBatch(_batch_writer(base, process))
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    return _drain(q, f"{base}/out", spark)
+    return _drain(q, f"{base}/out", spark).drop("batch")
 
 
 def stream_ngram(spark: SparkSession, sf_dir: str, threshold: float = N.DEFAULT_THRESHOLD) -> DataFrame:
-    """Online n-gram — stored gram counts updated per batch, batch scored against them."""
+    """Online n-gram — the batch's counts stored as a part, the batch scored against all parts."""
     base = run_dir(spark, "ngram")
     lines = split_format(stream_log_lines(event_stream(spark, sf_dir)), LOG_LINES_FORMAT, keep=("line_id",))
+    keys = {"uni": (["w"], "c1"), "bi": (["w1", "w2"], "c2"), "tri": (["w1", "w2", "w3"], "c3")}
 
     def process(batch: DataFrame, batch_id: int) -> DataFrame:
         s = batch.sparkSession
         tok = N.ngram_tokens(batch, "Content", masker=lambda c: mask_types(c))
         msgs = N.messages(tok)
         ex = N.exploded_grams(msgs)
-        uni, bi, tri = N.gram_counts(ex)
-        prev = os.path.join(base, "counts", f"v{batch_id - 1}")
-        if batch_id > 0 and path_exists(s, prev):
-            old = [s.read.parquet(f"{prev}/{n}") for n in ("uni", "bi", "tri")]
-            uni = uni.unionByName(old[0]).groupBy("w").agg(F.sum("c1").alias("c1"))
-            bi = bi.unionByName(old[1]).groupBy("w1", "w2").agg(F.sum("c2").alias("c2"))
-            tri = tri.unionByName(old[2]).groupBy("w1", "w2", "w3").agg(F.sum("c3").alias("c3"))
-        cur = os.path.join(base, "counts", f"v{batch_id}")
-        for n, d in (("uni", uni), ("bi", bi), ("tri", tri)):
-            d.write.mode("overwrite").parquet(f"{cur}/{n}")
-        uni, bi, tri = [s.read.parquet(f"{cur}/{n}") for n in ("uni", "bi", "tri")]
-        fbi, ftri = N.gram_ratios(uni, bi, tri)
+        sums = []
+        for (name, (cols, count)), d in zip(keys.items(), N.gram_counts(ex), strict=True):
+            d.write.mode("overwrite").parquet(f"{base}/counts/{name}/batch={batch_id}")
+            sums.append(_parts(s, f"{base}/counts/{name}", batch_id).groupBy(*cols).agg(F.sum(count).alias(count)))
+        fbi, ftri = N.gram_ratios(*sums)
         flags = N.fold_dynamic(N.score_positions(ex, fbi, ftri), threshold)
         m = msgs.join(flags, "msg_key", "left").select(
             "tokens", N.apply_flags(F.col("tokens"), F.col("dyn")).alias("event_template"))
@@ -168,31 +154,29 @@ def stream_ngram(spark: SparkSession, sf_dir: str, threshold: float = N.DEFAULT_
 
 
 def stream_estimate_masks(spark: SparkSession, sf_dir: str, warmup: int = 2000) -> DataFrame:
-    """The first batch fixes the mask types seen in its first ``warmup`` lines
-    (stored in a small table); every batch masks with the full chain for the
-    warm-up lines and the pruned chain after them."""
+    """Mask types seen in the first ``warmup`` lines (in arrival order, over as many
+    batches as these take); warm-up lines run the full chain, later ones the pruned chain."""
     base = run_dir(spark, "estimate")
     lines = split_format(stream_log_lines(event_stream(spark, sf_dir)), LOG_LINES_FORMAT, keep=("line_id",))
     lines = lines.select("line_id", F.col("Content").alias("content"))
-    types_path = os.path.join(base, "mask_types")
 
     def process(batch: DataFrame, batch_id: int) -> DataFrame:
         s = batch.sparkSession
-        if not path_exists(s, types_path):
-            head = batch.orderBy("line_id").limit(warmup)
-            det = detect_mask_types(head, "content")
+        seen, n = set(), 0
+        if batch_id:
+            before = s.read.parquet(f"{base}/types/v{batch_id - 1}").first()
+            seen, n = set(before["types"]), before["n"]
+        cut = None
+        if n < warmup:
+            det = detect_mask_types(batch.orderBy("line_id").limit(warmup - n), "content")
             row = det.agg(F.array_distinct(F.flatten(F.collect_list("matched_types"))).alias("t"),
                           F.max("line_id").alias("cut"), F.count(F.lit(1)).alias("n")).first()
-            seen = [t for t in MASK_ORDER if t in set(row["t"] or [])]
-            cut = row["cut"] if row["n"] >= warmup else None
-            s.createDataFrame([(seen, cut)], "types array<string>, cut long").write.mode("overwrite") \
-             .parquet(types_path)
-        cfg = s.read.parquet(types_path).first()
-        full = mask_types(F.col("content"))
-        if cfg["cut"] is None:
-            return batch.select("line_id", full.alias("masked"))
-        pruned = mask_types(F.col("content"), cfg["types"])
-        return batch.select("line_id", F.when(F.col("line_id") <= cfg["cut"], full).otherwise(pruned).alias("masked"))
+            seen, n, cut = seen | set(row["t"] or []), n + row["n"], row["cut"]
+        types = [t for t in MASK_ORDER if t in seen]
+        s.createDataFrame([(types, n)], "types array<string>, n long").write.mode("overwrite").parquet(f"{base}/types/v{batch_id}")
+        full, pruned = mask_types(F.col("content")), mask_types(F.col("content"), types)
+        masked = pruned if cut is None else full if n < warmup else F.when(F.col("line_id") <= cut, full).otherwise(pruned)
+        return batch.select("line_id", masked.alias("masked"))
 
     q = (lines.writeStream.foreachBatch(_batch_writer(base, process))
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
