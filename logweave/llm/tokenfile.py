@@ -33,13 +33,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.common import n_shuffle, range_cuts, run_of, ship_package
+from logweave.llm.common import cut, n_shuffle, range_cuts, run_of, ship_package
 from logweave.llm.tokens import library_encoder
 
 MAGIC, VERSION = b"DACT", 1
 HEADER = "<4sIIIQQQ"
 HEADER_BYTES = struct.calcsize(HEADER)
-WIDTHS = (12, 4, 16)
+WIDTHS = (8, 8, 16)
 FILE_TOKENS = 1 << 21
 
 
@@ -53,7 +53,9 @@ def pack_bits(values: np.ndarray, width: int) -> bytes:
 
 
 def pack_chunks(values: np.ndarray, width: int) -> bytes:
-    """Chunks at their width, in blocks that keep the bit matrix small."""
+    """Chunks at their width; whole bytes as they are, others in blocks that keep the bit matrix small."""
+    if width in (8, 16, 32):
+        return values.astype(f"<u{width // 8}").tobytes()
     step = 1 << 16  # a multiple of 8, so blocks end at whole bytes
     return b"".join(pack_bits(values[i:i + step], width) for i in range(0, len(values), step))
 
@@ -115,6 +117,8 @@ class TokenFile:
 
     @staticmethod
     def chunk(chunks: np.ndarray, w: int, i: np.ndarray) -> np.ndarray:
+        if w in (8, 16, 32):
+            return chunks[:len(chunks) // (w // 8) * (w // 8)].view(f"<u{w // 8}")[i].astype(np.uint32)
         bit = i * w
         at, shift = bit >> 3, (bit & 7).astype(np.uint32)
         v = chunks[at].astype(np.uint32)
@@ -141,16 +145,21 @@ class TokenFile:
 
     def all_tokens(self) -> np.ndarray:
         """Every token in order, level by level."""
-        out, where, done = np.zeros(self.n_tokens, np.uint32), np.arange(self.n_tokens), 0
+        out, where, done = np.zeros(self.n_tokens, np.uint32), None, 0
         for n, w, chunks, words, _, _ in self.levels:
             if not n:
                 break
             for s in range(0, n, 1 << 18):
                 i = np.arange(s, min(n, s + (1 << 18)), dtype=np.int64)
-                out[where[i]] |= self.chunk(chunks, w, i) << np.uint32(done)
+                part = self.chunk(chunks, w, i) << np.uint32(done)
+                if done:
+                    out[where[i]] |= part
+                else:
+                    out[s:s + len(i)] = part
             if words is None:
                 break
-            where = where[np.unpackbits(words.view(np.uint8), count=n, bitorder="little").astype(bool)]
+            more = np.unpackbits(words.view(np.uint8), count=n, bitorder="little").view(bool)
+            where = np.flatnonzero(more) if not done else where[more]
             done += w
         return out
 
@@ -207,17 +216,6 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).where("length > 1")
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [struct.unpack(HEADER, h.as_py()) for h in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (4, 5, 6)], ["run", "part", "n"])
-
-    head = files.select(F.substring("content", 1, HEADER_BYTES).alias("head")).mapInArrow(heads, "run long, part long, n long")
-    runs = head.groupBy("run").agg(F.sum("n").alias("n"))  # a row per shuffle partition of the writer
-    runs = runs.select("run", (F.sum("n").over(W.orderBy("run")) - F.col("n")).alias("before"))
-    inner = head.withColumn("inner", F.sum("n").over(W.partitionBy("run").orderBy("part")) - F.col("n"))
-    base = inner.join(runs, "run").select("run", "part", (F.col("before") + F.col("inner")).alias("base"))
-
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
@@ -229,6 +227,12 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                      pa.array(np.full(n, f.run, np.int64)), pa.array(np.full(n, f.part, np.int64))],
                     ["doc_id", "inner", "n_tokens", "ids_crc32", "run", "part"])
 
-    docs = files.select("content").mapInArrow(documents, "doc_id long, inner long, n_tokens long, ids_crc32 long, run long, part long")
+    docs = cut(files.select("content").mapInArrow(documents, "doc_id long, inner long, n_tokens long, ids_crc32 long, run long, part long"))
+    # a row per file, a few bytes each, then one per run: there are as many runs as the writer had partitions
+    parts = docs.groupBy("run", "part").agg(F.sum("n_tokens").alias("n"))
+    runs = parts.groupBy("run").agg(F.sum("n").alias("n"))
+    runs = runs.select("run", (F.sum("n").over(W.orderBy("run")) - F.col("n")).alias("before"))
+    inner = parts.withColumn("inner", F.sum("n").over(W.partitionBy("run").orderBy("part")) - F.col("n"))
+    base = inner.join(runs, "run").select("run", "part", (F.col("before") + F.col("inner")).alias("base"))
     return docs.join(base, ["run", "part"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens",
                                                    "ids_crc32", "run", "part")

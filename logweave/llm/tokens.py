@@ -14,41 +14,58 @@ import struct
 from collections.abc import Callable
 
 
-#: Chunks kept at most; beyond it the cache starts anew (memory per worker stays bounded).
-CACHE_CHUNKS = 800_000
+#: Chunks of a generation; a full one becomes the old one, and the old one goes (bounded memory per worker).
+CACHE_CHUNKS = 250_000
+PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 def as_bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return PACKS[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
+
+
+#: Marks that end a run of letters; an apostrophe may start a contraction.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class ChunkCache(dict):
     """chunk → its ids as little-endian unsigned 32-bit bytes; None: white space at its end.
 
-    A letter followed by one closing mark, or by one line feed and more, are always
-    separate pre-tokens, so those chunks are put together from cached parts.
+    Letters followed by marks, or by one line feed and more, are always separate
+    pre-tokens, so those chunks are put together from cached parts.
     """
 
     def __init__(self, encode: Callable[[str], bytes], blank: str, heads: "ChunkCache | None" = None):
-        self.encode, self.blank = encode, blank
+        self.encode, self.blank, self.old, self.marks = encode, blank, {}, {}
         self.heads = self if heads is None else heads  # for what follows a line feed
-        self.marks = {m: encode(m) for m in ".,!"}
         self.feed = encode("\n")
 
     def __missing__(self, chunk: str):
+        ids = self.old.get(chunk)
+        if ids is None:
+            if chunk.isalpha():
+                ids = self.encode(self.blank + chunk)
+            else:
+                head, feed, tail = chunk.partition("\n")
+                if feed and head and tail and not head[-1].isspace() and not tail[0].isspace() and not tail[-1].isspace():
+                    return self[head] + self.feed + self.heads[tail]
+                ids = self.made(chunk)
         if len(self) > CACHE_CHUNKS:
+            self.old = self.copy()
             self.clear()
-        self[chunk] = ids = self.made(chunk)
+        self[chunk] = ids
         return ids
 
     def made(self, chunk: str):
         if self.blank and (not chunk or chunk[-1].isspace()):
             return None
-        if chunk[-1:] in self.marks and chunk[-2:-1].isascii() and chunk[-2:-1].isalpha():
-            return self[chunk[:-1]] + self.marks[chunk[-1]]
-        head, feed, tail = chunk.partition("\n")
-        if feed and head and tail and not head[-1].isspace() and not tail[0].isspace() and not tail[-1].isspace():
-            return self[head] + self.feed + self.heads[tail]
+        word = chunk.rstrip(MARKS)
+        if word != chunk and word[-1:].isalpha() and word[-1] != "İ":  # its small form ends in a mark of its own
+            marks = chunk[len(word):]
+            if marks not in self.marks:
+                if len(self.marks) > CACHE_CHUNKS // 8:
+                    self.marks.clear()
+                self.marks[marks] = self.encode(marks)
+            return self[word] + self.marks[marks]
         return self.encode(self.blank + chunk)
 
 
@@ -105,21 +122,29 @@ def library_encoder(vocab_path: str) -> TextEncoder:
     keeps = t.encode(" ", add_special_tokens=False).ids != []
     model, letters = t.model, {i: c for i, c in enumerate(byte_letters())}
 
+    tokenize = model.tokenize
+
     def encode(s: str) -> bytes:
         return as_bytes(t.encode(s, add_special_tokens=False).ids)
 
-    def chunk(s: str) -> bytes:
-        w = s[1:] if keeps and s[:1] == " " else s
-        if not w.isalpha():
+    def blank_chunk(s: str) -> bytes:
+        word = s[1:] if s[:1] == " " else s
+        if not word.isalpha():
+            return encode(s)
+        # ASCII letters are written as themselves, a blank as its byte's letter
+        piece = s.replace(" ", letters[32]) if s.isascii() else s.encode().decode("latin-1").translate(letters)
+        return as_bytes([x.id for x in tokenize(piece)])
+
+    def word_chunk(s: str) -> bytes:
+        if not s.isalpha():
             return encode(s)
-        if not keeps:  # word vocabularies normalise and lower each letter by itself
-            if not w.isascii() and ("Σ" in w or not unicodedata.is_normalized("NFC", w)):
+        piece = s.lower()
+        if not piece.isascii():  # these vocabularies normalise and lower each letter by itself
+            if "Σ" in s or not unicodedata.is_normalized("NFC", s) or not piece.isalpha():
                 return encode(s)
-            s = w.lower()
-            if not s.isalpha():
-                return encode(w)
-        piece = s.encode().decode("latin-1").translate(letters)
-        return as_bytes([x.id for x in model.tokenize(piece)])
+            piece = piece.encode().decode("latin-1").translate(letters)
+        return as_bytes([x.id for x in tokenize(piece)])
 
+    chunk = blank_chunk if keeps else word_chunk
     _encoders[vocab_path] = TextEncoder(encode, chunk, keeps)
     return _encoders[vocab_path]
