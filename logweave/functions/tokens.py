@@ -114,9 +114,7 @@ def extract_parameters(content: Column, template: Column) -> Column:
     norm = F.regexp_replace(template, r"<.{1,5}>", "<*>")
     n = wildcard_count(norm)
     pat = template_regex(template)
-    rep = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                   lambda i: F.concat(F.lit("$"), i.cast("string"))), _SEP)
-    cap = F.split(F.regexp_replace(content, pat, rep), _SEP)
+    cap = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.call_function("regexp_extract", content, pat, i))
     empty = F.array().cast("array<string>")
     return F.when((n > 0) & F.regexp_like(content, pat), cap).otherwise(empty)
 

@@ -6,11 +6,12 @@ by an equi-key that any matching line must carry:
   * tier 1: the template's first token when it is literal → the line's first token;
   * tier 2: else its first fully literal token (blank-delimited, so a match
     must contain it as a whole token) → the line's distinct tokens (exploded);
-  * tier 3: templates without any literal token (``<*>``, ``<*> <*>`` …) are a
-    handful by construction; they are tested map-side from a broadcast list
-    whose size is checked, in chunks, so no row is dropped.
-The template side of tiers 1-2 is broadcast only when its counted size is under
-the limit; otherwise the join shuffles and AQE splits hot tokens.
+  * tier 3: templates with neither a literal token nor a literal head up to a
+    delimiter (``<*>``, ``<*> <*>``, ``a<*>`` …) have no key that a line must carry;
+    they are tested map-side in chunks, so no row is dropped.
+  ``key=<*>`` and the like count as literal up to their first delimiter, on both sides.
+The session's byte limit decides whether the template side of tiers 1-2 is broadcast;
+otherwise the join shuffles and AQE splits hot tokens.
 
 M4 — best same-length template (fixed-depth "fast match"): distinct messages
 ⨝ templates on token count, similarity, ``max_by`` over (sim, params, -order).
@@ -26,10 +27,15 @@ from logweave.session import cut_lineage
 from logweave.functions.tokens import (WILDCARD, dynamic_threshold, positional_similarity, template_regex,
                                        tokenize)
 
-BROADCAST_TEMPLATE_ROWS = 200_000   # template tables above this many rows are shuffled, not broadcast
+KEY_HEAD = r"^[^=:(\[/<]+[=:(\[/]"     # literal head of a token up to its first delimiter
 TIER3_CHUNK = 256                   # wildcard-only templates tested per map-side pass
 
 
+def key_head(token: Column) -> Column:
+    """``id=`` of ``id=<*>`` and of ``id=7``; empty where a token has no such head."""
+    return F.regexp_extract(token, KEY_HEAD, 0)
+
+
 def literal_length(t: Column) -> Column:
     return F.length(F.replace(F.replace(t, F.lit(WILDCARD), F.lit("")), F.lit(" "), F.lit("")))
 
@@ -51,34 +57,32 @@ def prepare_templates(templates: DataFrame, template: str = "event_template", ev
                       kind: str = "param") -> DataFrame:
     """Template table with pattern, priority and routing key."""
     norm = F.regexp_replace(F.col(template), r"<.{1,5}>", WILDCARD)
-    toks = F.split(norm, " ")
-    literal = F.filter(toks, lambda x: (x != "") & ~x.contains(WILDCARD))
-    first = F.get(toks, 0)
-    tier = (F.when(first.isNotNull() & (first != "") & ~first.contains(WILDCARD), F.lit(1))
-            .when(F.size(literal) > 0, F.lit(2)).otherwise(F.lit(3)))
-    key = F.when(tier == 1, first).when(tier == 2, F.get(literal, 0))
-    return templates.select(
-        F.col(event_id).alias("event_id"), F.col(template).alias("event_template"),
-        match_pattern(F.col(template), kind).alias("pattern"), tier.alias("tier"), key.alias("route"),
-        F.struct((-literal_length(F.col(template))).alias("a"), wildcard_occurrences(F.col(template)).alias("b"),
-                 F.col(event_id).alias("c")).alias("priority"))
-
-
-def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_TEMPLATE_ROWS) -> DataFrame:
-    """Broadcast only behind a counted size bound; else leave it to the shuffle join."""
-    return F.broadcast(df) if df.count() <= limit else df
+    t = cut_lineage(templates.select(F.col(event_id).alias("event_id"), F.col(template).alias("event_template"), F.split(norm, " ").alias("toks")))
+    literal = F.get(F.filter("toks", lambda x: (x != "") & ~x.contains(WILDCARD)), 0)
+    head = F.get(F.filter(F.transform("toks", key_head), lambda x: x != ""), 0)
+    first = F.get("toks", 0)
+    t = t.select("event_id", "event_template", literal.alias("literal"), head.alias("head"),
+                 F.when((first != "") & ~first.contains(WILDCARD), first).alias("first"))
+    tier = F.when(F.col("first").isNotNull(), 1).when(F.coalesce("literal", "head").isNotNull(), 2).otherwise(3)
+    keyed = F.coalesce(F.concat(F.lit("t"), F.col("literal")), F.concat(F.lit("k"), F.col("head")))
+    return t.select(
+        "event_id", "event_template", match_pattern(F.col("event_template"), kind).alias("pattern"), tier.alias("tier"),
+        F.coalesce("first", keyed).alias("route"),
+        F.struct((-literal_length(F.col("event_template"))).alias("a"), wildcard_occurrences(F.col("event_template")).alias("b"),
+                 F.col("event_id").alias("c")).alias("priority"))
 
 
 def match_templates(lines: DataFrame, templates: DataFrame, content: str = "content", key: str = "line_id",
                     template: str = "event_template", event_id: str = "event_id", kind: str = "param") -> DataFrame:
     """M3: (key, event_id, event_template) for every line; NULL when no template matches."""
-    tp = prepare_templates(templates, template, event_id, kind).cache()
+    tp = cut_lineage(prepare_templates(templates, template, event_id, kind))
     ln = lines.select(key, F.col(content).alias("__c"))
     toks = tokenize(F.col("__c"))
-    t1 = _maybe_broadcast(tp.where("tier = 1"))
-    t2 = _maybe_broadcast(tp.where("tier = 2"))
-    c1 = ln.withColumn("route", F.get(toks, 0)).join(t1, "route")
-    c2 = ln.select(key, "__c", F.explode(F.array_distinct(toks)).alias("route")).join(t2, "route")
+    c1 = ln.withColumn("route", F.get(toks, 0)).join(tp.where("tier = 1"), "route")
+    heads = F.filter(F.transform(toks, key_head), lambda x: x != "")
+    routes = F.array_distinct(F.concat(F.transform(toks, lambda x: F.concat(F.lit("t"), x)),
+                                       F.transform(heads, lambda x: F.concat(F.lit("k"), x))))
+    c2 = ln.select(key, "__c", F.explode(routes).alias("route")).join(tp.where("tier = 2"), "route")
     cand = c1.unionByName(c2).where(F.regexp_like(F.col("__c"), F.col("pattern")))
     best = cand.groupBy(key).agg(F.min_by(F.struct("event_id", "event_template"), "priority").alias("m"),
                                  F.min("priority").alias("p"))
@@ -126,17 +130,21 @@ def restrict_lines(raw: DataFrame, kept: DataFrame, key: str = "line_id") -> Dat
     return raw.join(kept.select(key), key, "left_semi")
 
 
-def dense_index(df: DataFrame, order: list[Column], out: str = "idx", partitions: int | None = None) -> DataFrame:
-    """1-based dense position in ``order`` without a single-partition window:
-    range-partition, number rows inside each partition, add the partition offsets."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    keyed = df.withColumn("__k", F.struct(*order))
-    ranged = keyed.repartitionByRange(n, "__k").withColumn("__pid", F.spark_partition_id())
-    # materialised once: the partition ids must be the same for the rows and for the sizes
-    # (two range exchanges may sample different bounds)
-    local = cut_lineage(ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__pid").orderBy("__k"))))
-    sizes = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    offs = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(
-        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(offs.select("__pid", "__off")), "__pid") \
-                .withColumn(out, F.col("__r") + F.col("__off")).drop("__k", "__pid", "__r", "__off")
+def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows up to and including each row in ``order``, without a
+    single-partition window: range-partition, sum inside each partition, add the partitions before."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("__k", F.struct(*order)).withColumn("__v", value)
+    # materialised once: rows and sums must see the same partitions (two range exchanges may sample different bounds)
+    ranged = cut_lineage(keyed.repartitionByRange(n, "__k").withColumn("__pid", F.spark_partition_id()))
+    upto = Window.partitionBy("__pid").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.groupBy("__pid").agg(F.sum("__v").alias("__s"))  # a row per partition
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__pid", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__off"))
+    local = ranged.withColumn("__in", F.sum("__v").over(upto))
+    return local.join(sums, "__pid").withColumn(out, F.col("__in") + F.col("__off")).drop("__k", "__v", "__pid", "__in", "__off")
+
+
+def dense_index(df: DataFrame, order: list[Column], out: str = "idx") -> DataFrame:
+    """1-based dense position in ``order``."""
+    return running_total(df, order, F.lit(1), out)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.tokens import is_abstract, wildcard_equal
+from logweave.operators.matching import dense_index
 
 R = 6  # decimals of the reported metrics
 
@@ -172,9 +173,12 @@ def frequency_slice(templates: DataFrame, percent: int, groups: Sequence[str] =
 
     Order: occurrences, then template (ties are unordered in the reference)."""
     g = list(groups)
-    w_all = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))
-    w = w_all.orderBy(occurrences, template)
-    t = templates.withColumn("__rk", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(w_all))
+    if g:
+        w_all = Window.partitionBy(*g)
+        t = templates.withColumn("__rk", F.row_number().over(w_all.orderBy(occurrences, template))) \
+                     .withColumn("__n", F.count(F.lit(1)).over(w_all))
+    else:  # ranks of the whole table come from range partitions, not from one task
+        t = dense_index(templates, [F.col(occurrences), F.col(template)], "__rk").withColumn("__n", F.lit(templates.count()))
     if percent > 0:
         keep = F.col("__rk") <= F.floor(F.col("__n") / 100.0 * percent)
     else:

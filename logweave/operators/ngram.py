@@ -4,13 +4,13 @@ Plan (batch, C6):
   1. lines → tokens; identical token lists are deduplicated into *messages*
      with a multiplicity (hash aggregate, partial on the map side: a message
      that holds a third of all lines costs one row per map task).
-  2. ``posexplode`` the messages; uni/bi/tri-gram counts are ``sum(mult)``
-     aggregates keyed by the gram's token columns (no string join, so no key
-     collisions).
-  3. Ratios are computed per *distinct gram* (bigram ⨝ unigram on w1,
-     trigram ⨝ bigram on (w1, w2)); the token table is then joined twice —
-     once per ratio table — on equi-keys.  AQE picks broadcast or shuffle from
-     the runtime sizes and splits skewed gram keys.
+  2. ``posexplode`` the messages, each token with its two predecessors (NULL before
+     the start); one ``sum(mult)`` aggregate keyed by the three token columns (no
+     string join, so no key collisions) holds all counts: bigrams and unigrams are
+     sums of it.
+  3. Both ratios are computed per distinct triple from that small table, and the
+     token table is joined with it once, on equi-keys.  AQE picks broadcast or
+     shuffle from the runtime sizes and splits skewed gram keys.
   4. Per message, the ratios are folded left-to-right with ``aggregate``:
      position i is dynamic iff its ratio ≤ threshold, where the ratio is the
      trigram one unless position i-2 was dynamic (then the bigram one).
@@ -79,17 +79,44 @@ def exploded_grams(msgs: DataFrame) -> DataFrame:
     return e.select("msg_key", "mult", "dict_mult", "pos", "g.w3", "g.w2", "g.w1")
 
 
-def gram_counts(exploded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(uni(w, c1), bi(w1, w2, c2), tri(w1, w2, w3, c3)) over the dictionary lines."""
-    e = exploded.where(F.col("dict_mult") > 0)
-    uni = e.groupBy(F.col("w3").alias("w")).agg(F.sum("dict_mult").alias("c1"))
-    bi = (e.where(F.col("pos") >= 1)
-           .groupBy(F.col("w2").alias("w1"), F.col("w3").alias("w2")).agg(F.sum("dict_mult").alias("c2")))
-    tri = (e.where(F.col("pos") >= 2)
-            .groupBy("w1", "w2", "w3").agg(F.sum("dict_mult").alias("c3")))
+def triple_counts(exploded: DataFrame) -> DataFrame:
+    """(w1, w2, w3, c): dictionary occurrences of each token with its predecessors (c may be 0)."""
+    return cut_lineage(exploded.groupBy("w1", "w2", "w3").agg(F.sum("dict_mult").alias("c")))
+
+
+def counts_of(triples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(uni(w, c1), bi(w1, w2, c2), tri(w1, w2, w3, c3)) as sums of the triple counts."""
+    t = triples.where("c > 0")
+    uni = t.groupBy(F.col("w3").alias("w")).agg(F.sum("c").alias("c1"))
+    bi = t.where("w2 IS NOT NULL").groupBy(F.col("w2").alias("w1"), F.col("w3").alias("w2")).agg(F.sum("c").alias("c2"))
+    tri = t.where("w1 IS NOT NULL").select("w1", "w2", "w3", F.col("c").alias("c3"))
     return uni, bi, tri
 
 
+def gram_counts(exploded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Uni-, bi- and trigram counts over the dictionary lines."""
+    return counts_of(triple_counts(exploded))
+
+
+def triple_ratios(triples: DataFrame) -> DataFrame:
+    """(w1, w2, w3, f_bi, f_tri) of every triple with a predecessor; 0 where a count is missing."""
+    uni, bi, _ = counts_of(triples)
+    t = triples.where("w2 IS NOT NULL")
+    before = bi.select(F.col("w1").alias("b1"), F.col("w2").alias("b2"), F.col("c2").alias("cb"))
+    t = t.join(bi.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), "c2"), ["w2", "w3"], "left") \
+         .join(uni.select(F.col("w").alias("w2"), "c1"), "w2", "left") \
+         .join(before, (F.col("w1") == F.col("b1")) & (F.col("w2") == F.col("b2")), "left")
+    return t.select("w1", "w2", "w3", F.coalesce(F.col("c2") / F.col("c1"), F.lit(0.0)).alias("f_bi"),
+                    F.when(F.col("c") > 0, F.coalesce(F.col("c") / F.col("cb"), F.lit(0.0))).otherwise(0.0).alias("f_tri"))
+
+
+def score_triples(exploded: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Token table with both candidate ratios, in one join."""
+    e = exploded.where(F.col("pos") >= 1)
+    r = ratios.select(F.col("w1").alias("r1"), F.col("w2").alias("r2"), F.col("w3").alias("r3"), "f_bi", "f_tri")
+    return e.join(r, e["w1"].eqNullSafe(r["r1"]) & (e["w2"] == r["r2"]) & (e["w3"] == r["r3"])).drop("r1", "r2", "r3")
+
+
 def gram_ratios(uni: DataFrame, bi: DataFrame, tri: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per distinct gram: f_bi(w1, w2) = c2/c1(w1); f_tri(w1, w2, w3) = c3/c2(w1, w2)."""
     fbi = bi.join(uni.withColumnRenamed("w", "w1"), "w1").select(
@@ -175,11 +202,12 @@ def ngram_parse(df: DataFrame, content: str = "Content", threshold: float = DEFA
     # ``tokens_col``: the caller already tokenised (e.g. shared with another parse)
     tok = df.withColumnRenamed(tokens_col, "tokens") if tokens_col else \
         ngram_tokens(df, content, user_masks, masker=masker)
-    msgs = messages(tok, "tokens", order_col, dictionary_filter)
+    # read by the messages and by the join back to lines: the regex chain runs once
+    extra = [] if dictionary_filter is None else [dictionary_filter.alias("__in_dict")]
+    tok = cut_lineage(tok.select(order_col, *keep, "tokens", *extra))
+    msgs = cut_lineage(messages(tok, "tokens", order_col, F.col("__in_dict") if extra else None))
     ex = exploded_grams(msgs)
-    uni, bi, tri = gram_counts(ex)
-    fbi, ftri = gram_ratios(uni, bi, tri)
-    scored = score_positions(ex, fbi, ftri)
+    scored = score_triples(ex, triple_ratios(triple_counts(ex)))
     flags = fold_dynamic(scored, threshold)
     m = msgs.join(flags, "msg_key", "left")
     # one-token messages have no scored position: all static
@@ -194,10 +222,9 @@ def ngram_parse(df: DataFrame, content: str = "Content", threshold: float = DEFA
 
 def scored_messages(df: DataFrame, content: str = "Content", user_masks=(), masker=None) -> tuple[DataFrame, DataFrame]:
     """(messages, scored positions) — the inputs of the entropy histogram."""
-    msgs = messages(ngram_tokens(df, content, user_masks, masker=masker))
+    msgs = cut_lineage(messages(ngram_tokens(df, content, user_masks, masker=masker)))
     ex = exploded_grams(msgs)
-    fbi, ftri = gram_ratios(*gram_counts(ex))
-    return msgs, score_positions(ex, fbi, ftri)
+    return msgs, score_triples(ex, triple_ratios(triple_counts(ex)))
 
 
 def event_table_from_messages(m: DataFrame) -> DataFrame:

@@ -32,15 +32,28 @@ def _scratch(spark, name):
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-@register("text_log_scan", S.with_(S.log_lines_cte(), S.split_cte()) + """
-SELECT "Date" AS date, "Time" AS time, "Pid" AS pid, "Level" AS level, "Component" AS component,
-       "Content" AS content FROM split""")
+@register("text_log_scan", S.with_(S.log_lines_cte(), S.split_cte(),
+          "numbered AS (SELECT line_id, row_number() OVER (ORDER BY line_id % 10 >= 3, line_id) - 1 AS raw_line_id FROM log_lines)") + """
+SELECT raw_line_id, "Date" AS date, "Time" AS time, "Pid" AS pid, "Level" AS level, "Component" AS component,
+       "Content" AS content FROM split JOIN numbered USING (line_id)""")
 def q_text_scan(spark, sf):
-    """The derived log written as a text file, scanned back, split by its format."""
+    """The derived log written as two text files of unequal size (the larger one last by
+    name), scanned back in file and line order, split by its format."""
     path = _scratch(spark, "textlog")
-    log_lines(spark, sf).select("value").write.text(path)
-    s = split_format(read_text_log(spark, path), LOG_LINES_FORMAT)
-    return s.select(*[F.col(h).alias(h.lower()) for h in ("Date", "Time", "Pid", "Level", "Component", "Content")])
+    lines = log_lines(spark, sf)
+    for name, part in (("a", F.col("line_id") % 10 < 3), ("b", F.col("line_id") % 10 >= 3)):
+        lines.where(part).repartition(1).sortWithinPartitions("line_id").select("value").write.text(f"{path}/{name}")
+    s = split_format(read_text_log(spark, f"{path}/*"), LOG_LINES_FORMAT, keep=("raw_line_id",))
+    return s.select("raw_line_id", *[F.col(h).alias(h.lower()) for h in ("Date", "Time", "Pid", "Level", "Component", "Content")])
+
+
+@register("format_split_separator", S.log_lines_cte().join(("WITH ", """
+SELECT line_id, 'B' || chr(1) || CAST(line_id AS VARCHAR) AS "Component", chr(1) || truth_template AS "Content" FROM log_lines""")))
+def q_split_separator(spark, sf):
+    """S2 on lines that hold the control character which joins groups inside the splitter."""
+    d = log_lines(spark, sf).select("line_id", F.concat(F.lit("B\u0001"), F.col("line_id").cast("string"), F.lit(": \u0001"),
+                                                        F.col("truth_template")).alias("value"))
+    return split_format(d, "<Component>: <Content>", keep=("line_id",))
 
 
 @register("csv_roundtrip", S.with_(*LOGM) + """

@@ -15,6 +15,8 @@ from logweave.operators import fixed_depth as FD
 from logweave.operators.metrics import contingency, quality
 from logweave.plans import sqlgen as S
 from logweave.plans.common import masked_log, masked_text, split_log
+from logweave.plans.q_sources import _estimate_sql
+from logweave.plans.q_tokens import sql_describes, sql_jaccard
 from logweave.plans.registry import register
 
 LOG_MASKS = [r"blk_-?\d+", r"(\d+\.){3}\d+(:\d+)?", r"(?<=[^A-Za-z0-9])(\-?\+?\d+)(?=[^A-Za-z0-9])|[0-9]+$"]
@@ -57,7 +59,11 @@ def q_mine_fixed_text(spark, sf):
     return FD.mine_fixed(t, "value", (), tokens_col=tokenize(mask_types(F.col("value"))))
 
 
-@register("mine_masked")
+EST_TOKS = (S.log_lines_cte(), S.split_cte(), "lt AS (SELECT line_id, " + S.tokens_sql("masked") + " AS toks FROM ("
+            + _estimate_sql(("nothing AS (SELECT 1)",), "split", '"Content"') + "))")
+
+
+@register("mine_masked", _mined_sql(EST_TOKS, "lt", 0.5))
 def q_mine_masked(spark, sf):
     """Estimated typed masks (first 2,000 lines) then fixed-depth clustering."""
     c = mask_estimated(_content(spark, sf), "content", "masked")
@@ -129,15 +135,16 @@ def q_dynamic_clusters(spark, sf):
     return lines.join(m.select("tokens", F.array_join("template", " ").alias("event_template")), "tokens").select("line_id", "event_template")
 
 
-MERGE_ITEMS = S.with_(S.text_lines_cte(), "it AS (SELECT DISTINCT array_to_string(" + S.tokens_sql(S.mask_chain_sql(
-    "regexp_replace(value, '[^\\x00-\\x7F]+', '<N/ASCII>', 'g')")) + ", ' ') AS t FROM text_lines)",
-    "sh AS (SELECT t, string_split(t, ' ') AS w FROM it WHERE t <> '' AND len(string_split(t, ' ')) <= 6)")
-
-
-@register("merge_round")
+@register("merge_round", S.with_(S.log_lines_cte(), S.split_cte(), S.masked_log_cte(),
+    "it AS (SELECT DISTINCT t FROM (SELECT template AS t FROM masked UNION ALL SELECT content FROM masked))",
+    "g AS (SELECT t AS g FROM it WHERE contains(t, '<*>'))") + f"""
+SELECT t AS template, arg_min(g, {{'m': len(string_split(g, ' ')), 'g': g}}) AS general FROM it JOIN g
+  ON it.t <> g.g AND len(string_split(it.t, ' ')) >= len(string_split(g.g, ' ')) AND {sql_describes('g.g', 'it.t')} AND {sql_jaccard('it.t', 'g.g')} >= 0.6
+GROUP BY t""")
 def q_merge_round(spark, sf):
-    """C3c, one round over the short text templates as one bucket."""
-    t = masked_text(spark, sf).select("template").distinct().where("template <> '' AND size(split(template, ' ')) <= 6")
+    """C3c, one round over the log's templates and raw contents as one bucket."""
+    m = masked_log(spark, sf)
+    t = m.select("template").union(m.select("content")).distinct()
     items = t.select(F.lit("b").alias("bucket"), F.col("template").alias("ck"), F.lit(0).alias("i"), F.col("template").alias("t"))
     return D.merge_round(items).select(F.col("ck").alias("template"), F.col("g").alias("general"))
 

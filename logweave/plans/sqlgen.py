@@ -64,7 +64,7 @@ def split_cte(name: str = "split", source: str = "log_lines", fmt: str = LOG_LIN
 
 
 def text_lines_cte(name: str = "text_lines") -> str:
-    return (f"{name} AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, doc_id * 1048576 + pos AS line_id, value "
+    return (f"{name} AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, doc_id * 2147483648 + pos AS line_id, value "
             f"FROM (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS value "
             f"FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))")
 

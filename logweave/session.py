@@ -1,8 +1,9 @@
 """Spark session helpers.
 
 The cluster names its shared checkpoint folder in ``spark.checkpoint.dir``;
-we read it from the session and only set one of our own when it is unset
-(local tests), in a fresh scratch folder.
+we read it from the session.  Only a local master, whose executors are the
+driver, gets a fresh scratch folder when it is unset; a cluster without the
+setting is an error.
 """
 
 from __future__ import annotations
@@ -45,10 +46,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's setting, else a new scratch dir (tests)."""
+    """The shared checkpoint folder: the session's setting, else (local master) a new scratch folder."""
     conf = spark.sparkContext.getConf()
     d = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="logweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -60,10 +64,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the Hadoop file system of ``path`` (works for shared storage)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -4,9 +4,13 @@ reference's column names and reads every column as a string."""
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.sources.logformat import numbered_lines
+
 STRUCTURED_COLUMNS = {"line_id": "LineId", "content": "Content", "event_id": "EventId",
                       "event_template": "EventTemplate", "occurrences": "Occurrences"}
 
@@ -35,9 +39,15 @@ def read_csv_table(spark: SparkSession, path: str, quoting: bool = True, header_
     if not quoting:
         r = r.option("quote", "\u0000")
     if header_row == 2:
-        # drop the first physical line (offset 0 of the file), parse the rest as CSV
-        lines = spark.read.text(path).withColumn("__i", F.monotonically_increasing_id())
-        df = r.csv(lines.where(F.col("__i") > 0).select("value").rdd.map(lambda row: row.value))
+        # the first physical line of every file goes; the next one is the header
+        lines = numbered_lines(spark, path).where((F.col("block") > 0) | (F.col("nth") > 0))
+        head = lines.where((F.col("block") == 0) & (F.col("nth") == 1)).select("value").first()
+        if head is None:
+            return spark.createDataFrame([], "value string")
+        names = next(csv.reader([head[0]], quoting=csv.QUOTE_MINIMAL if quoting else csv.QUOTE_NONE))
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        body = lines.where((F.col("block") > 0) | (F.col("nth") > 1))
+        df = body.select(F.from_csv("value", F.lit(schema), {"escape": '"'} if quoting else {"quote": "\u0000"}).alias("r")).select("r.*")
     else:
         df = r.csv(path)
     df = df.select(*[F.col(c).cast("string") for c in df.columns])

@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.masks import mask_non_ascii
@@ -109,17 +109,32 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, nth, value): text lines with their place, ``nth`` from 0 in a split.
+
+    A split's lines get consecutive monotonic ids, whichever partition reads it; what
+    counts is their distance to the split's first one.
+    """
+    df = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("__at"), "value")
+    first = df.groupBy("file", "block").agg(F.min("__at").alias("__first"))  # a row per split
+    return df.join(first, ["file", "block"]).withColumn("nth", F.col("__at") - F.col("__first")).drop("__at", "__first")
+
+
 def read_text_log(spark: SparkSession, path: str, with_file: bool = False) -> DataFrame:
-    """Text file(s) → (raw_line_id, value).
+    """Text file(s) → (raw_line_id, value[, file]); ids from 0 in order of file path and line.
 
-    ``raw_line_id`` keeps file order without a global sort: the file offset of
-    the split (monotonic id) is ordered within and across partitions.
+    The id is the line's place in its split plus the lines of all splits before, a
+    prefix sum over one row per split.
     """
-    df = spark.read.text(path)
-    if with_file:
-        df = df.withColumn("file", F.col("_metadata.file_path"))
-    return df.withColumn("raw_line_id", F.monotonically_increasing_id()) \
-             .withColumn("value", py_strip(F.col("value")))
+    df = numbered_lines(spark, path)
+    sizes = df.groupBy("file", "block").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("file", "block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    out = df.join(base, ["file", "block"])
+    return out.select((F.col("__base") + F.col("nth")).cast("long").alias("raw_line_id"), py_strip(F.col("value")).alias("value"),
+                      *(["file"] if with_file else []))
 
 
 _SEP = "\u0001"
@@ -137,7 +152,8 @@ def split_format(df: DataFrame, log_format: str, col: str = "value", keep: tuple
     """Keep matching lines, one string column per header (all or ``headers``).
 
     One regex evaluation per line: the anchored pattern rewrites a matching line
-    into its header groups joined by ``\\x01``; non-matching lines stay NULL.
+    into its header groups joined by ``\\x01``; non-matching lines stay NULL.  Lines
+    that hold that character themselves are taken group by group.
     """
     fmt = compile_format(log_format)
     line = py_strip(F.col(col))
@@ -148,7 +164,8 @@ def split_format(df: DataFrame, log_format: str, col: str = "value", keep: tuple
     # a rewritten line ends with the separator; only a line that already did needs a real test
     matched = F.endswith(rewritten, F.lit(_SEP)) & F.when(F.endswith(line, F.lit(_SEP)), line.rlike(fmt.pattern)) \
         .otherwise(F.lit(True))
-    parts = F.when(matched, F.split(rewritten, _SEP))
+    by_group = F.when(line.rlike(fmt.pattern), F.array(*[F.regexp_extract(line, fmt.pattern, g) for g in groups]))
+    parts = F.when(line.contains(_SEP), by_group).when(matched, F.split(rewritten, _SEP))
     staged = df.select(*keep, parts.alias("__parts")).where(_spread_side(F.col("__parts").isNotNull()))
     cols = [F.col(k) for k in keep]
     for i, h in enumerate(wanted):

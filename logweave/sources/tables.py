@@ -37,9 +37,9 @@ LOG_LINES_SQL = """SELECT event_id AS line_id,
       ELSE 'Order accepted id=<*> user=<*>' END AS truth_template
 FROM events"""
 
-# Lines of one document never exceed this many, so (doc_id, pos) packs into one
-# ordered BIGINT line id without a global sort.
-LINES_PER_DOC = 1 << 20
+# An array of lines holds fewer than this many, so (doc_id, pos) packs into one ordered
+# BIGINT line id without a global sort; ids of documents beyond 2^32 fail (ANSI overflow).
+LINES_PER_DOC = 1 << 31
 
 
 def table_path(sf_dir: str, name: str) -> str:

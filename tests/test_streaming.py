@@ -1,9 +1,14 @@
 """Stream results equal batch results on the drained sink."""
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
-from logweave.plans.common import masked_log
+from logweave.functions.masks import mask_estimated, mask_types
+from logweave.functions.tokens import tokenize
+from logweave.plans.common import masked_log, split_log
 from logweave.plans.q_ngram import q_ngram_templates
 from logweave.streaming import stream as G
+from test_miners import _naive_ngram, mined
 
 
 def test_stream_mask_equals_batch(spark):
@@ -18,30 +23,58 @@ def test_stream_ngram_single_batch_equals_batch(spark):
     assert s == b
 
 
-def test_stream_mine_emits_every_line(spark):
-    assert G.stream_mine(spark, SF_SMALL).count() == masked_log(spark, SF_SMALL).count()
+def three_files(spark, folder):
+    """The given events re-written as three files (three micro-batches)."""
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    for i in range(3):
+        ev.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return ev
+
 
+def batches(spark, folder):
+    """Line ids of each micro-batch: a file each, in order of arrival."""
+    import glob
+    import os
 
-def test_multi_batch_state(spark, tmp_path):
-    """The given events re-written as three files (three micro-batches)."""
-    from pyspark.sql import functions as F
+    files = sorted(glob.glob(f"{folder}/events.parquet/part-*"), key=os.path.getmtime)
+    return [{r[0] for r in spark.read.parquet(f).select("event_id").collect()} for f in files]
 
-    from conftest import SF_MID
-    from logweave.plans.q_sources import q_mask_estimate  # noqa: F401  (module registers queries)
-    from logweave.functions.masks import mask_estimated
-    from logweave.plans.common import split_log
 
+def test_stream_mine_is_the_batch_miner_as_of_each_batch(spark, tmp_path):
     d = str(tmp_path)
-    ev = spark.read.parquet(f"{SF_MID}/events.parquet")
-    for i in range(3):
-        ev.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{d}/events.parquet")
-    n = ev.count()
-    assert G.stream_mine(spark, d).count() == n
-    ng = G.stream_ngram(spark, d)
-    assert ng.count() == n and ng.where("event_template IS NULL").count() == 0
-    est = {(r[0], r[1]) for r in G.stream_estimate_masks(spark, d).collect()}
-    # the warm-up types fixed by the first batch; a line is masked by the full or the pruned chain
-    full = {(r[0], r[1]) for r in mask_estimated(
-        split_log(spark, SF_MID).select("line_id", F.col("Content").alias("content")), "content", "masked",
-        "line_id", warmup=0).select("line_id", "masked").collect()}
-    assert len(est) == n and {k for k, _ in est} == {k for k, _ in full}
+    three_files(spark, d)
+    got = {r.line_id: r.event_template for r in G.stream_mine(spark, d).collect()}
+    rows = [(r.line_id, tuple(r.tokens)) for r in split_log(spark, SF_SMALL).select(
+        "line_id", tokenize(mask_types(F.col("Content"))).alias("tokens")).collect()]
+    seen, exp = set(), {}
+    for ids in batches(spark, d):
+        seen |= ids
+        known = mined([r for r in rows if r[0] in seen])
+        exp.update({i: known[i] for i in ids})
+    assert got == exp
+
+
+def test_stream_ngram_scores_against_all_batches_so_far(spark, tmp_path):
+    d = str(tmp_path)
+    three_files(spark, d)
+    got = {r.line_id: r.event_template for r in G.stream_ngram(spark, d).collect()}
+    rows = {r.line_id: list(r.tokens) for r in split_log(spark, SF_SMALL).select(
+        "line_id", tokenize(mask_types(F.col("Content"))).alias("tokens")).collect()}
+    seen, exp = [], {}
+    for ids in batches(spark, d):
+        seen += sorted(ids)
+        exp.update({i: t for i, t in zip(seen, _naive_ngram([rows[i] for i in seen]), strict=True) if i in ids})
+    assert got == exp
+
+
+def test_warm_up_runs_over_several_batches(spark, tmp_path):
+    d = str(tmp_path)
+    three_files(spark, d)
+    warmup = 500  # more than the first batch, less than two
+    got = {r.line_id: r.masked for r in G.stream_estimate_masks(spark, d, warmup).collect()}
+    order = [i for ids in batches(spark, d) for i in sorted(ids)]
+    lines = split_log(spark, SF_SMALL).select("line_id", F.col("Content").alias("content"))
+    at = spark.createDataFrame([(i, k) for k, i in enumerate(order)], "line_id long, place long")
+    full = {r.line_id: r.m for r in lines.select("line_id", mask_types(F.col("content")).alias("m")).collect()}
+    exp = {r.line_id: r.masked for r in mask_estimated(lines.join(at, "line_id"), "content", "masked", "place", warmup=warmup).collect()}
+    assert got == exp and set(got) == set(full)
