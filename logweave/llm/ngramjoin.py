@@ -3,21 +3,26 @@
 Documents are sets of word shingles, held as 64-bit hashes; two link when
 ``100 * intersection >= percent * union``.  Equal sets are one class.
 
-* Orders.  A count sketch of all shingles of all documents (fixed number of slots
-  per order, own hash in each) orders tokens from rare to frequent; ties go by a
-  hash of the order.  Any order gives right results, rare-first ones give short lists.
+* Orders.  A count sketch of all shingles of all documents (a fixed number of slots)
+  gives every token a level of frequency.  An order takes tokens from rare to frequent
+  levels, within a level by its own hash.  Any order gives right results, rare-first
+  ones give short lists.
 * Prefixes.  Linked sets share a token among the first ``n - ceil(t n) + 1`` of each
   order.  Prefix tokens of the first order meet in a shuffle; candidates must share
   prefix tokens in all other orders too, and only then are whole sets compared.
+* Lists.  A token's classes are listed by bands of set size (a link needs like sizes),
+  and a pair is a candidate only if the token's places leave room for a link.
 * No group is expanded into pairs.  First every class is compared with the least
-  class of each token's list (a star, linear in the lists).  Then only those members
-  of a list that are still in different components are compared, so lists of many
-  linked copies cost nothing more.  All pairs that the filters admit are compared
-  or already joined by links, hence components are exact.
+  class, the hub, of each of its lists (a star, linear in the lists).  Then members
+  of a hub that are still in different components meet in a join whose condition
+  holds the remaining filters and the exact test: links come out, not pairs, and
+  groups of linked copies are not joined at all.  Classes that share a listed token
+  share its hub, hence components are exact.
 * Components follow from minimum labels with shortcuts, in rounds cut by checkpoints.
 
-Whole sets are made only for classes that share a prefix token, found again in a
-second pass by a bit filter of fixed size (false positives only cost time).
+Prefixes of further orders are made only for classes on lists, whole sets only for
+candidates; both are found again in the texts by bit filters of fixed size (false
+positives only cost time), so that texts and sets of other documents never move.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and
 are their own component; texts with fewer words than a shingle are one shingle; rows
@@ -29,6 +34,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -40,7 +46,7 @@ from pyspark.sql import types as T
 
 from logweave.llm.common import cut, id_type, shared_folder, ship_package
 
-SLOTS = 1 << 20
+SLOT_BITS = 24
 ORDERS = 3
 FILTER_BITS = 1 << 26
 BLOCK = 1 << 14
@@ -121,15 +127,17 @@ def hasher() -> Hasher:
 
 
 def order_hash(tokens: np.ndarray, order: int) -> np.ndarray:
-    return mix(tokens + np.uint64(0x9E3779B97F4A7C15 * (order + 1) & (1 << 64) - 1))
+    return mix(tokens + np.uint64(0x9E3779B97F4A7C15 * (order + 2) & (1 << 64) - 1))
 
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, order: int, percent: int) -> np.ndarray:
+def slots(tokens: np.ndarray) -> np.ndarray:
+    return (order_hash(tokens, -1) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The tokens that a set must share with any linked one, under an order."""
     n = len(tokens)
-    h = order_hash(tokens, order)
-    often = np.minimum(counts[order][h >> np.uint64(64 - 20)], (1 << 24) - 1).astype(np.uint64)
-    rank = np.argsort(often << np.uint64(40) | h & np.uint64((1 << 40) - 1), kind="stable")
+    rank = np.argsort(levels[slots(tokens)].astype(np.uint64) << np.uint64(56) | order_hash(tokens, order) >> np.uint64(8), kind="stable")
     return tokens[rank[:n - -(-percent * n // 100) + 1]]
 
 
@@ -183,32 +191,37 @@ def folded(df: DataFrame, fill, rows: int, size: int, bits: bool = False) -> np.
     return out.reshape(rows, -1)
 
 
-def token_counts(texts: DataFrame, n: int) -> np.ndarray:
-    """Sketch of how many documents hold a token: ORDERS arrays of SLOTS counts."""
+def token_levels(texts: DataFrame, n: int) -> np.ndarray:
+    """Level of every slot: how often documents hold its tokens, against the emptiest slot."""
     def fill(b: pa.RecordBatch, total: np.ndarray) -> None:
         held, size = [], 0
-
-        def add() -> None:
-            tokens = np.concatenate(held)
-            for k in range(ORDERS):
-                total[k] += np.bincount((order_hash(tokens, k) >> np.uint64(64 - 20)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-
         for text in b.column(0):
-            held.append(hasher().shingles(text.as_py(), n))
+            held.append(slots(hasher().shingles(text.as_py(), n)))
             size += len(held[-1])
             if size > 1 << 19:
-                add()
-                held.clear()
-                size = 0
+                add(total, held)
+                held, size = [], 0
         if held:
-            add()
+            add(total, held)
 
-    return folded(texts, fill, ORDERS, SLOTS)
+    def add(total: np.ndarray, held: list) -> None:
+        at, times = np.unique(np.concatenate(held), return_counts=True)
+        total[0][at] += times.astype(np.uint32)
+
+    counts = folded(texts, fill, 1, 1 << SLOT_BITS)[0]
+    # steps of an eighth of the deviation that chance gives (whole counts where these are few), beyond 128 logarithmic
+    step = max(1.0, float(counts.mean(dtype=np.float64)) ** 0.5 / 8)
+    low, levels = counts.min(), np.zeros(len(counts), np.uint8)
+    for at in range(0, len(counts), BLOCK):
+        x = (counts[at:at + BLOCK] - low) / step
+        far = 128 + 8 * np.log2(np.maximum(x, 128) / 128)
+        levels[at:at + BLOCK] = np.minimum(np.where(x < 128, x, far), 255)
+    return levels
 
 
 # ---------------------------------------------------------------- the join
 
-def prefixes(src: DataFrame, n: int, percent: int, counts) -> DataFrame:
+def prefixes(src: DataFrame, n: int, percent: int, levels) -> DataFrame:
     """(id, n, cls, c, prefix): set size, 128- and 64-bit class keys, first order's prefix.
 
     The prefix is null for sets too small to link with another, and for a class that
@@ -227,7 +240,7 @@ def prefixes(src: DataFrame, n: int, percent: int, counts) -> DataFrame:
                     heads.append(None)
                 else:
                     seen.add(key)
-                    heads.append(prefix(s, counts.value, 0, percent).view(np.int64))
+                    heads.append(prefix(s, levels.value, 0, percent).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.binary()),
                  pa.array([int.from_bytes(k[:8], "little", signed=True) for k in cls], pa.int64()), pa.array(heads, pa.list_(pa.int64()))],
@@ -238,31 +251,65 @@ def prefixes(src: DataFrame, n: int, percent: int, counts) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
-def id_bits(ids: list) -> np.ndarray:
-    """Three places in the bit filter for each id."""
-    h = np.array([int.from_bytes(hashlib.blake2b(repr(i).encode(), digest_size=8).digest(), "little") for i in ids], np.uint64)
-    return np.stack([(mix(h + np.uint64(k)) % np.uint64(FILTER_BITS)).astype(np.int64) for k in range(3)])
+def hashed(values: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each value: of integers by themselves, of others by their text."""
+    if pa.types.is_integer(values.type) and not values.null_count:
+        return mix(values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    return np.array([int.from_bytes(hashlib.blake2b(repr(v).encode(), digest_size=8).digest(), "little") for v in values.to_pylist()], np.uint64)
 
 
-def whole_sets(src: DataFrame, owners: DataFrame, n: int, percent: int, counts) -> DataFrame:
-    """(c, cls, n, heads, tokens) of the documents whose id is in ``owners``, as a written table."""
-    spark = src.sparkSession
+def places(h: np.ndarray) -> np.ndarray:
+    """Two places in the bit filter for each hash."""
+    return np.stack([(h >> np.uint64(10)) % np.uint64(FILTER_BITS), mix(h + np.uint64(1)) % np.uint64(FILTER_BITS)]).astype(np.int64)
 
+
+def bit_filter(values: DataFrame):
+    """Broadcast bits of fixed size for the values of a one-column table."""
     def fill(b: pa.RecordBatch, total: np.ndarray) -> None:
-        total[0][id_bits(b.column(0).to_pylist()).ravel()] = 1
+        total[0][places(hashed(b.column(0))).ravel()] = 1
+
+    return values.sparkSession.sparkContext.broadcast(folded(values, fill, 1, FILTER_BITS, bits=True)[0])
 
-    wanted = spark.sparkContext.broadcast(folded(owners, fill, 1, FILTER_BITS, bits=True)[0])
+
+def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each hash (false positives only)."""
+    p = places(h)
+    return (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).all(axis=0)
+
+
+def posted(base: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, c, n, pos): prefix tokens of ``base`` that may be among ``tokens``."""
+    wanted = bit_filter(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(lists)), sizes)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            hit = np.flatnonzero(held(wanted.value, mix(flat.view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), b.column(0).take(pa.array(row[hit])), b.column(1).take(pa.array(row[hit])),
+                                              pa.array(pos[hit].astype(np.int32))], ["token", "c", "n", "pos"])
+
+    return base.where("prefix IS NOT NULL").select("c", "n", "prefix").mapInArrow(run, "token long, c long, n long, pos int")
+
+
+def features(src: DataFrame, base: DataFrame, classes: DataFrame, n: int, percent: int, levels, whole: bool) -> DataFrame:
+    """Of one document per class in ``classes`` (column cls), as a written table: (c, cls, head), the
+    second order's prefix; or (cls, head2, …, tokens), further orders' prefixes and the whole set.
+    """
+    spark = src.sparkSession
+    wanted = bit_filter(base.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id")).select("id"))
+    orders = range(2, ORDERS) if whole else [1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = id_bits(b.column(0).to_pylist())
-            hit = (wanted.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).all(axis=0)
             rows = []
-            for i in np.flatnonzero(hit):
+            for i in np.flatnonzero(held(wanted.value, hashed(b.column(0)))):
                 s = hasher().shingles(b.column(1)[int(i)].as_py(), n)
                 key = signature(s)
-                heads = [prefix(s, counts.value, k, percent).view(np.int64) for k in range(1, ORDERS)]
-                rows.append((int.from_bytes(key[:8], "little", signed=True), key, len(s), *heads, s.view(np.int64)))
+                heads = [prefix(s, levels.value, k, percent).view(np.int64) for k in orders]
+                rows.append((key, *heads, s.view(np.int64)) if whole else (int.from_bytes(key[:8], "little", signed=True), key, *heads))
                 if len(rows) == 500:
                     yield batch(rows)
                     rows = []
@@ -270,15 +317,14 @@ def whole_sets(src: DataFrame, owners: DataFrame, n: int, percent: int, counts)
                 yield batch(rows)
 
     def batch(rows: list) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        many = pa.list_(pa.int64())
-        types = [pa.int64(), pa.binary(), pa.int64(), *[many] * ORDERS]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), arrow[k]) for k, c in zip(kinds, columns, strict=True)], names)
 
-    names = ["c", "cls", "n", *[f"head{k}" for k in range(1, ORDERS)], "tokens"]
-    schema = "c long, cls binary, n long, " + ", ".join(f"head{k} array<long>" for k in range(1, ORDERS)) + ", tokens array<long>"
+    arrow = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    names = ["cls", *[f"head{k}" for k in orders], "tokens"] if whole else ["c", "cls", "head"]
+    kinds = ["binary", *["array<long>"] * (len(orders) + 1)] if whole else ["long", "binary", "array<long>"]
     folder = shared_folder(spark, "shingle-sets")
-    src.mapInArrow(run, schema).write.parquet(folder)
+    src.mapInArrow(run, ", ".join(map(" ".join, zip(names, kinds, strict=True)))).write.parquet(folder)
     return spark.read.parquet(folder)
 
 
@@ -286,21 +332,44 @@ def near(inter: Column, a: Column, b: Column, percent: int) -> Column:
     return inter * 100 >= (a + b - inter) * percent
 
 
+def candidates(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Class keys (u, v) of pairs (a, b) that also share a prefix token of the second order."""
+    side = lambda s: heads.select(*[F.col(c).alias(f"{s}_{c}") for c in heads.columns])
+    p = pairs.join(side("a"), F.col("a") == F.col("a_c")).join(side("b"), F.col("b") == F.col("b_c"))
+    p = p.where((F.col("a_cls") != F.col("b_cls")) & F.arrays_overlap("a_head", "b_head"))
+    return cut(p.select(F.col("a_cls").alias("u"), F.col("b_cls").alias("v")).distinct())
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of class keys among pairs (a, b): all orders' filters, then whole sets."""
-    heads = [f"head{k}" for k in range(1, ORDERS)]
-    side = lambda s, cols: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in cols])
-    few = ["c", "cls", "n", *heads]
-    p = pairs.join(side("a", few), F.col("a") == F.col("a_c")).join(side("b", few), F.col("b") == F.col("b_c"))
-    p = p.where(near(F.least("a_n", "b_n"), F.col("a_n"), F.col("b_n"), percent) & (F.col("a_cls") != F.col("b_cls")))
-    for h in heads:
-        p = p.where(F.arrays_overlap(f"a_{h}", f"b_{h}"))
-    p = cut(p.select(F.col("a_cls").alias("u"), F.col("b_cls").alias("v")).distinct())
-    whole = lambda s: sets.select(F.col("cls").alias(f"{s}_cls"), F.col("tokens").alias(f"{s}_tokens"))
-    q = p.join(whole("u"), F.col("u") == F.col("u_cls")).join(whole("v"), F.col("v") == F.col("v_cls"))
+    """Links among candidates (u, v): the remaining orders' filters, then whole sets."""
+    side = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in sets.columns])
+    q = pairs.join(side("u"), F.col("u") == F.col("u_cls")).join(side("v"), F.col("v") == F.col("v_cls"))
+    for k in range(2, ORDERS):
+        q = q.where(F.arrays_overlap(f"u_head{k}", f"v_head{k}"))
     inter = F.size(F.array_intersect("u_tokens", "v_tokens"))
     q = q.select("u", "v", inter.alias("i"), F.size("u_tokens").alias("x"), F.size("v_tokens").alias("y"))
-    return q.where(near(F.col("i"), F.col("x"), F.col("y"), percent)).select("u", "v").distinct()
+    return cut(q.where(near(F.col("i"), F.col("x"), F.col("y"), percent)).select("u", "v").distinct())
+
+
+def verified_apart(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links among members (hub, band, c, cls) that are in different components so far.
+
+    Members of a hub meet in a join whose condition holds all filters and the exact
+    test, so that links come out of it, not pairs.
+    """
+    m = members.join(labels, F.col("cls") == F.col("node"), "left").withColumn("part", F.coalesce("label", "cls")).drop("node", "label")
+    split = m.groupBy("hub", "band").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("hub", "band")
+    m = cut(m.join(split, ["hub", "band"], "left_semi"))
+    m = m.join(sets, "cls").withColumn("n", F.size("tokens")).withColumn("own", bands(F.col("n"), percent)[0])
+    cols = [c for c in m.columns if c not in ("hub", "band")]
+    left, right = (m.select("hub", "band", *[F.col(x).alias(f"{s}_{x}") for x in cols]) for s in "lr")
+    test = (F.col("l_cls") < F.col("r_cls")) & (F.col("l_part") != F.col("r_part")) & (F.col("band") == F.greatest("l_own", "r_own")) \
+        & near(F.least("l_n", "r_n"), F.col("l_n"), F.col("r_n"), percent)
+    for k in range(2, ORDERS):
+        test = test & F.arrays_overlap(f"l_head{k}", f"r_head{k}")
+    test = test & near(F.size(F.array_intersect("l_tokens", "r_tokens")), F.col("l_n"), F.col("r_n"), percent)
+    links = left.join(right, ["hub", "band"]).where(test)
+    return cut(links.select(F.col("l_cls").alias("u"), F.col("r_cls").alias("v")).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -320,32 +389,52 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def least_of(rows: DataFrame, key: list[str], out: str = "hub") -> DataFrame:
+    """The lists (by ``key``) of two classes or more, with their least class as ``out``."""
+    return rows.groupBy(*key).agg(F.min("c").alias(out), F.max("c").alias("_top")).where(F.col(out) < F.col("_top")).drop("_top")
+
+
+def bands(size: Column, percent: int) -> Column:
+    """Two bands of set sizes; sizes whose ratio allows a link always share one."""
+    width = math.log(100 / percent) * 1.000001  # a little wide, against rounding
+    band = F.floor(F.log(size.cast("double")) / width).cast("int")
+    return F.array(band, band + 1)
+
+
+def admits(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and places of a shared prefix token leave room for a link."""
+    n, i, m, j = (F.col(f"{s}{x}") for s in (a, b) for x in ("n", "pos"))
+    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)  # tokens before, this one, tokens after
+    return near(most, n, m, percent)
+
+
 def jaccard_components(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): components of documents linked at ``percent``."""
     spark = df.sparkSession
     ship_package(spark)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    counts = spark.sparkContext.broadcast(token_counts(src.select("text"), n))
-    base = cut(prefixes(src, n, percent, counts))
-    lists = base.where("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "c")
-    hubs = lists.groupBy("token").agg(F.min("c").alias("hub"), F.max("c").alias("top")).where("hub < top").select("token", "hub")
-    shared = cut(lists.join(hubs, "token").where("c <> hub"))
-    star = cut(shared.select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct())
-    met = star.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    owners = base.join(met, "c", "left_semi").groupBy("cls").agg(F.min("id").alias("id")).select("id")
-    sets = whole_sets(src, owners, n, percent, counts)
-    links = cut(verified(star, sets, percent))
-    keys = sets.select("c", "cls", "n").distinct()
+    levels = spark.sparkContext.broadcast(token_levels(src.select("text"), n))
+    base = cut(prefixes(src, n, percent, levels))
+    hubs = cut(least_of(base.where("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "c"), ["token"]))
+    shared = posted(base, hubs.select("token")).join(hubs.select("token"), "token", "left_semi")
+    banded = cut(shared.withColumn("band", F.explode(bands(F.col("n"), percent))))
+    lists = cut(banded.join(least_of(banded, ["token", "band"]), ["token", "band"]))
+    listed = base.join(lists.select("c").distinct(), "c", "left_semi").select("cls").distinct()
+    heads = features(src, base, listed, n, percent, levels, whole=False)
+    # the least class of each list against its other members
+    ends = lists.where("c = hub").select("token", "band", *[F.col(x).alias(f"h_{x}") for x in ("n", "pos")]).distinct()
+    star = lists.where("c <> hub").join(ends, ["token", "band"]).where(admits("", "h_", percent))
+    pairs = candidates(star.select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct(), heads)
+    # the other members against each other, by hub: only those that share a token of the second order there too
+    members = lists.where("c <> hub").select("hub", "band", "c").distinct().join(heads.select("c", "cls", "head"), "c")
+    listed = members.select("hub", "band", "c", F.explode("head").alias("token"))
+    listed = listed.join(least_of(listed, ["hub", "band", "token"], "least"), ["hub", "band", "token"], "left_semi")
+    members = cut(members.drop("head").join(listed.select("hub", "band", "c").distinct(), ["hub", "band", "c"], "left_semi"))
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("cls")).union(members.select("cls")).distinct()
+    sets = features(src, base, needed, n, percent, levels, whole=True)
+    links = verified(pairs, sets, percent)
     first = components(links)
-    named = keys.join(first, keys["cls"] == first["node"], "left").select("c", "n", F.coalesce("label", "cls").alias("part"))
-    member = shared.select("token", "c").distinct().join(named, "c")
-    split = member.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
-    member = cut(member.join(split, "token", "left_semi"))
-    left, right = (member.select("token", *[F.col(x).alias(f"{s}_{x}") for x in ("c", "n", "part")]) for s in "lr")
-    apart = left.join(right, "token").where((F.col("l_c") < F.col("r_c")) & (F.col("l_part") != F.col("r_part"))
-                                            & near(F.least("l_n", "r_n"), F.col("l_n"), F.col("r_n"), percent))
-    rest = cut(apart.select(F.col("l_c").alias("a"), F.col("r_c").alias("b")).distinct())
-    more = cut(verified(rest, sets, percent))
+    more = verified_apart(members, sets, first, percent)
     final = components(links.union(more)) if more.limit(1).count() else first
     lowest = base.groupBy("cls").agg(F.min("id").alias("low"))
     part = lowest.join(final, lowest["cls"] == final["node"], "left").select("cls", "low", F.coalesce("label", "cls").alias("label"))
