@@ -3,7 +3,7 @@
 Documents are sets of word shingles, held as 64-bit hashes; two link when
 ``100 * intersection >= percent * union``.  Equal sets are one class.
 
-* Orders.  A count sketch of all shingles of all documents (a fixed number of slots)
+* Orders.  A count sketch of all shingles of all documents (slots in proportion to the text, up to 2^26)
   gives every token a level of frequency.  An order takes tokens from rare to frequent
   levels, within a level by its own hash.  Any order gives right results, rare-first
   ones give short lists.
@@ -46,7 +46,8 @@ from pyspark.sql import types as T
 
 from logweave.llm.common import cut, id_type, shared_folder, ship_package
 
-SLOT_BITS = 24
+#: Bytes of text per slot of the sketch, and the least and most bits of a slot number (at most 64 MB of levels).
+SLOT_BYTES, LEAST_BITS, MOST_BITS = 24, 20, 26
 ORDERS = 3
 FILTER_BITS = 1 << 26
 BLOCK = 1 << 14
@@ -130,14 +131,15 @@ def order_hash(tokens: np.ndarray, order: int) -> np.ndarray:
     return mix(tokens + np.uint64(0x9E3779B97F4A7C15 * (order + 2) & (1 << 64) - 1))
 
 
-def slots(tokens: np.ndarray) -> np.ndarray:
-    return (order_hash(tokens, -1) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def slots(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Slot of each token among ``size``, a power of two."""
+    return (order_hash(tokens, -1) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The tokens that a set must share with any linked one, under an order."""
     n = len(tokens)
-    rank = np.argsort(levels[slots(tokens)].astype(np.uint64) << np.uint64(56) | order_hash(tokens, order) >> np.uint64(8), kind="stable")
+    rank = np.argsort(levels[slots(tokens, len(levels))].astype(np.uint64) << np.uint64(56) | order_hash(tokens, order) >> np.uint64(8), kind="stable")
     return tokens[rank[:n - -(-percent * n // 100) + 1]]
 
 
@@ -147,32 +149,33 @@ def signature(tokens: np.ndarray) -> bytes:
 
 # ---------------------------------------------------------------- arrays of fixed size over all rows
 
-def folded(df: DataFrame, fill, rows: int, size: int, bits: bool = False) -> np.ndarray:
-    """Sum (or union) of arrays of fixed size that ``fill(batch, array)`` makes in each task.
+def folded(df: DataFrame, fill, rows: int, size: int, level=None) -> np.ndarray:
+    """Arrays of fixed size that ``fill(batch, array)`` makes in each task, put together.
 
-    Tasks emit their non-empty blocks; blocks meet by number, each summed as a
-    stream; only the fixed-size total reaches the driver.
+    With ``level``: sums of 16-bit counts, then one byte each by ``level(sums)``;
+    without: the union of bits.  Tasks emit their non-empty blocks; blocks meet by
+    number, each combined as a stream; only the fixed-size total reaches the driver.
     """
     spark = df.sparkSession
     ship_package(spark)
-    per = size // BLOCK
+    per, bits = size // BLOCK, level is None
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((rows, size), np.uint8 if bits else np.uint32)
+        total = np.zeros((rows, size), np.uint8 if bits else np.uint16)
         for b in batches:
             fill(b, total)
         blocks = total.reshape(rows * per, BLOCK)
         used = np.flatnonzero(blocks.any(axis=1))
         for some in np.array_split(used, max(1, len(used) // 64)):
-            data = [zlib.compress(pack(blocks[i]), 1) for i in some]
+            data = [zlib.compress(np.packbits(blocks[i]).tobytes() if bits else narrow(blocks[i]), 1) for i in some]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
-    def pack(a: np.ndarray) -> bytes:
-        return np.packbits(a).tobytes() if bits else a.astype("<u4").tobytes()
+    def narrow(a: np.ndarray) -> bytes:
+        return a.astype("u1" if a.max() < 256 else "<u2").tobytes()
 
     def unpack(data: bytes) -> np.ndarray:
         raw = zlib.decompress(data)
-        return np.frombuffer(raw, np.uint8) if bits else np.frombuffer(raw, "<u4").astype(np.uint64)
+        return np.frombuffer(raw, np.uint8) if bits else np.frombuffer(raw, "u1" if len(raw) == BLOCK else "<u2").astype(np.int64)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -181,42 +184,49 @@ def folded(df: DataFrame, fill, rows: int, size: int, bits: bool = False) -> np.
                 a = unpack(data.as_py())
                 held[i] = a if i not in held else held[i] | a if bits else held[i] + a
         keys = sorted(held)
-        data = [zlib.compress((held[i] if bits else np.minimum(held[i], (1 << 32) - 1).astype("<u4")).tobytes(), 1) for i in keys]
+        data = [zlib.compress((held[i] if bits else level(held[i])).tobytes(), 1) for i in keys]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
-    out = np.zeros((rows * per, BLOCK // 8 if bits else BLOCK), np.uint8 if bits else np.uint32)
+    out = np.zeros((rows * per, BLOCK // 8 if bits else BLOCK), np.uint8)
     merged = df.mapInArrow(partial, "block int, data binary").repartition(F.col("block")).mapInArrow(merge, "block int, data binary")
     for i, data in merged.toLocalIterator():
-        out[i] = np.frombuffer(zlib.decompress(bytes(data)), np.uint8 if bits else "<u4")
+        out[i] = np.frombuffer(zlib.decompress(bytes(data)), np.uint8)
     return out.reshape(rows, -1)
 
 
 def token_levels(texts: DataFrame, n: int) -> np.ndarray:
-    """Level of every slot: how often documents hold its tokens, against the emptiest slot."""
+    """Level of every slot: how often documents hold its tokens, one byte each.
+
+    The number of slots follows the bytes of text up to a fixed most, so that slots of
+    rare tokens stay nearly empty.  A task's count of a slot stops at 65,535, which can
+    only blur the order among tokens that frequent.
+    """
+    volume = texts.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 1
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(volume / SLOT_BYTES, 1)))))
+    # steps of an eighth of the deviation that chance gives (whole counts where these are few), beyond 128 logarithmic
+    mean = volume / 6 / size
+    step, low = max(1.0, mean ** 0.5 / 8), max(0.0, mean - 6 * mean ** 0.5 - 8)
+
     def fill(b: pa.RecordBatch, total: np.ndarray) -> None:
-        held, size = [], 0
+        held, count = [], 0
         for text in b.column(0):
-            held.append(slots(hasher().shingles(text.as_py(), n)))
-            size += len(held[-1])
-            if size > 1 << 19:
+            held.append(slots(hasher().shingles(text.as_py(), n), size))
+            count += len(held[-1])
+            if count > 1 << 19:
                 add(total, held)
-                held, size = [], 0
+                held, count = [], 0
         if held:
             add(total, held)
 
     def add(total: np.ndarray, held: list) -> None:
         at, times = np.unique(np.concatenate(held), return_counts=True)
-        total[0][at] += times.astype(np.uint32)
+        total[0][at] = np.minimum(total[0][at] + times, 0xFFFF)
 
-    counts = folded(texts, fill, 1, 1 << SLOT_BITS)[0]
-    # steps of an eighth of the deviation that chance gives (whole counts where these are few), beyond 128 logarithmic
-    step = max(1.0, float(counts.mean(dtype=np.float64)) ** 0.5 / 8)
-    low, levels = counts.min(), np.zeros(len(counts), np.uint8)
-    for at in range(0, len(counts), BLOCK):
-        x = (counts[at:at + BLOCK] - low) / step
-        far = 128 + 8 * np.log2(np.maximum(x, 128) / 128)
-        levels[at:at + BLOCK] = np.minimum(np.where(x < 128, x, far), 255)
-    return levels
+    def level(counts: np.ndarray) -> np.ndarray:
+        x = np.maximum(counts - low, 0) / step
+        return np.minimum(np.where(x < 128, x, 128 + 8 * np.log2(np.maximum(x, 128) / 128)), 255).astype(np.uint8)
+
+    return folded(texts, fill, 1, size, level)[0]
 
 
 # ---------------------------------------------------------------- the join
@@ -252,10 +262,12 @@ def prefixes(src: DataFrame, n: int, percent: int, levels) -> DataFrame:
 
 
 def hashed(values: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each value: of integers by themselves, of others by their text."""
-    if pa.types.is_integer(values.type) and not values.null_count:
-        return mix(values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-    return np.array([int.from_bytes(hashlib.blake2b(repr(v).encode(), digest_size=8).digest(), "little") for v in values.to_pylist()], np.uint64)
+    """A 64-bit hash of each value: of integers by themselves, of others by their text; nulls alike."""
+    if not pa.types.is_integer(values.type):
+        return np.array([int.from_bytes(hashlib.blake2b(repr(v).encode(), digest_size=8).digest(), "little") for v in values.to_pylist()], np.uint64)
+    h = mix(values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    h[values.is_null().to_numpy(zero_copy_only=False)] = np.uint64(0x6E756C6C)
+    return h
 
 
 def places(h: np.ndarray) -> np.ndarray:
@@ -268,7 +280,7 @@ def bit_filter(values: DataFrame):
     def fill(b: pa.RecordBatch, total: np.ndarray) -> None:
         total[0][places(hashed(b.column(0))).ravel()] = 1
 
-    return values.sparkSession.sparkContext.broadcast(folded(values, fill, 1, FILTER_BITS, bits=True)[0])
+    return values.sparkSession.sparkContext.broadcast(folded(values, fill, 1, FILTER_BITS)[0])
 
 
 def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
