@@ -16,6 +16,8 @@ from collections.abc import Callable
 
 #: Chunks of a generation; a full one becomes the old one, and the old one goes (bounded memory per worker).
 CACHE_CHUNKS = 250_000
+#: Longer chunks are rare and seldom come again; they are not kept.
+CACHE_CHARS = 256
 PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -46,20 +48,40 @@ class ChunkCache(dict):
                 ids = self.encode(self.blank + chunk)
             else:
                 head, feed, tail = chunk.partition("\n")
+                if "\n" in tail and not tail[-1].isspace():
+                    return self.lines(chunk)
                 if feed and head and tail and not head[-1].isspace() and not tail[0].isspace() and not tail[-1].isspace():
                     return self[head] + self.feed + self.heads[tail]
                 ids = self.made(chunk)
+        return self.kept(chunk, ids)
+
+    def kept(self, chunk: str, ids):
+        if len(chunk) > CACHE_CHARS:
+            return ids
         if len(self) > CACHE_CHUNKS:
             self.old = self.copy()
             self.clear()
         self[chunk] = ids
         return ids
 
+    def lines(self, chunk: str) -> bytes:
+        """Ids of a chunk cut at its line feeds between other characters than white space."""
+        parts, at, cut = [], 0, chunk.find("\n")
+        while cut >= 0:
+            if cut > at and not chunk[cut - 1].isspace() and not chunk[cut + 1].isspace():
+                parts.append((self.heads if parts else self)[chunk[at:cut]])
+                at = cut + 1
+            cut = chunk.find("\n", cut + 1)
+        if not parts:
+            return self.kept(chunk, self.made(chunk))
+        parts.append(self.heads[chunk[at:]])
+        return self.feed.join(parts)
+
     def made(self, chunk: str):
         if self.blank and (not chunk or chunk[-1].isspace()):
             return None
         word = chunk.rstrip(MARKS)
-        if word != chunk and word[-1:].isalpha() and word[-1] != "İ":  # its small form ends in a mark of its own
+        if 0 < len(chunk) - len(word) <= CACHE_CHARS and word[-1:].isalpha() and word[-1] != "İ":  # its small form ends in a mark of its own
             marks = chunk[len(word):]
             if marks not in self.marks:
                 if len(self.marks) > CACHE_CHUNKS // 8:

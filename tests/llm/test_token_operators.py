@@ -48,6 +48,17 @@ def test_cached_ids_are_the_library_s(path, text):
     assert np.frombuffer(library_encoder(path)(text), "<u4").tolist() == ENCODE[path](text)
 
 
+FEEDS = ["\n".join(f"w{i}" for i in range(5000)), "a " + ",\n".join(str(i) for i in range(5000)) + "\n\nb\r\nc\n" + "d!\n" * 3000 + "e f",
+         "\n\n".join("g\nh\u0301\ni!" for _ in range(2000)), "k \n" + "\n".join("lm" for _ in range(5000)) + " \tn\no"]
+
+
+@pytest.mark.parametrize("text", FEEDS)
+def test_thousands_of_lines_without_a_blank(text):
+    for path in (BYTE, WORD):
+        assert np.frombuffer(library_encoder(path)(text), "<u4").tolist() == ENCODE[path](text)
+    assert np.frombuffer(codec(RANKS, P.PATTERN).encode(text), "<u4").tolist() == RANK_IDS(text)
+
+
 @settings(max_examples=400, deadline=None)
 @given(text=ODD)
 def test_rank_codec_is_tiktoken_s(text):
