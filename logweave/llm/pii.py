@@ -7,7 +7,10 @@ validation stays as it is.  A valid value goes through a keyed Feistel network o
 its own domain, so it stays of its format and validity, different values stay
 different, and equal values get equal pseudonyms in every document:
 
-* card: all digits but the last are permuted, the Luhn digit is computed anew;
+* card: all digits but the last are permuted, the Luhn digit is computed anew; in a run
+  of digit groups the usual layouts are tried from the left, then the run as a whole, and
+  the permutation is repeated (so the pseudonym is then another one) where the new digits
+  and those beside them would be read as other cards;
 * telephone: the ten national digits; the country code stays;
 * address: the 32-bit number, two halves of 16 bits;
 * date: the day within its hundred years from a year ending in 50, a domain of
@@ -37,11 +40,17 @@ DEMO_KEY = "set a key of your own"
 
 MAIL = r"[\p{L}\p{N}._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 ADDRESS = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
-DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d)"
+DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!(?!T\d)[\w/-]|\.\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
 CARD = r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)"
 SECRET = r"(?<=[=:] ?[\"'])[0-9A-Fa-f]{32,64}(?=[\"'])"
-ANY = "|".join([MAIL, SECRET, ADDRESS, DATE, PHONE, CARD])
+#: Groups of digits up to where a value of another kind starts; all cards within are looked for.
+RUN = rf"(?<![\w+])(?=\d(?:[ -]?\d){{12}})\d{{1,19}}+(?!\w)(?:[ -](?!{MAIL}|{ADDRESS}|{DATE}|{PHONE})\d{{1,19}}+(?!\w))*+"
+#: Groups of usual cards, which are told from the numbers next to them.
+LAYOUTS = [r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{4,5}", r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}", r"\d{8}[ -]\d{8}"]
+LAYOUT_GROUPS = 5
+WALKS = 64
+ANY = "|".join([MAIL, SECRET, ADDRESS, DATE, PHONE, RUN])
 #: Every candidate holds a digit or an at sign.
 HINT = r"[0-9@]"
 
@@ -122,13 +131,63 @@ def luhn_sum(d: Column, first_doubled: bool) -> Column:
     return F.aggregate(values, F.lit(0), lambda n, v: n + v)
 
 
-def new_card(m: Column, key: str, back: bool) -> Column:
-    def renumber(d: Column) -> Column:
-        body = permuted_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", back)
-        full = let(body, lambda p: F.concat(p, F.pmod(F.lit(10) - luhn_sum(p, True) % 10, F.lit(10)).cast("string")))
-        return F.when(luhn_sum(d, False) % 10 == 0, laid_out(m, full)).otherwise(m)
+def is_card(c: Column) -> Column:
+    return luhn_sum(digits(c), False) % 10 == 0
 
-    return let(digits(m), renumber)
+
+def card_parts(run: Column) -> Column:
+    """The run in parts (s, card): cards of a usual layout from the left, else what CARD finds."""
+    def part(s: Column, card) -> Column:
+        return F.struct(s.alias("s"), (card if isinstance(card, Column) else F.lit(card)).alias("card"))
+
+    def usual(groups: Column) -> Column:
+        def at(i: Column) -> Column:
+            rest = F.array_join(F.slice(groups, i + 1, F.lit(LAYOUT_GROUPS)), "")
+            found = [F.regexp_extract(rest, rf"^[ -]?({p})(?!\w)", 1) for p in LAYOUTS]
+            return F.coalesce(*[let(c, lambda v: F.when((v != "") & is_card(v), v)) for c in found])
+
+        def step(s: Column, i: Column) -> Column:
+            group = F.element_at(groups, i + 1)
+            plain = F.struct(F.concat(s["parts"], F.array(part(group, False))).alias("parts"), F.lit(0).alias("skip"))
+            card = lambda c: F.struct(
+                F.concat(s["parts"], F.array(part(F.regexp_extract(group, "^[ -]?", 0), False), part(c, True))).alias("parts"),
+                (F.size(F.split(c, "[ -]")) - 1).alias("skip"))
+            return F.when(s["skip"] > 0, F.struct(s["parts"].alias("parts"), (s["skip"] - 1).alias("skip"))).otherwise(
+                let(at(i), lambda c: F.when(c.isNull(), plain).otherwise(card(c))))
+
+        none = F.array().cast("array<struct<s:string,card:boolean>>")
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), F.struct(none.alias("parts"), F.lit(0).alias("skip")), step, lambda s: s["parts"])
+
+    def other(found: Column) -> Column:
+        return F.flatten(F.zip_with(F.split(run, CARD, -1), found, lambda p, c: F.array(
+            part(p, False), part(F.coalesce(c, F.lit("")), F.coalesce(is_card(c), F.lit(False))))))
+
+    return let(let(F.split(run, "(?=[ -])", -1), usual), lambda parts: F.when(F.exists(parts, lambda p: p["card"]), parts).otherwise(
+        let(F.regexp_extract_all(run, F.lit(CARD), F.lit(0)), other)))
+
+
+def new_card(run: Column, key: str, back: bool) -> Column:
+    """The run with its cards renumbered; again where the new digits would be read in other parts."""
+    def renumber(m: Column) -> Column:
+        def full(d: Column) -> Column:
+            body = permuted_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", back)
+            return let(body, lambda p: F.concat(p, F.pmod(F.lit(10) - luhn_sum(p, True) % 10, F.lit(10)).cast("string")))
+
+        return laid_out(m, let(digits(m), full))
+
+    def shape(parts: Column) -> Column:
+        return F.transform(parts, lambda p: F.struct(F.length(p["s"]), p["card"]))
+
+    def walk(parts: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            new = F.transform(s["parts"], lambda p: F.struct(F.when(p["card"], renumber(p["s"])).otherwise(p["s"]).alias("s"), p["card"].alias("card")))
+            return F.when(s["done"], s).otherwise(let(new, lambda n: F.struct(
+                n.alias("parts"), (shape(card_parts(F.array_join(n["s"], ""))) == shape(parts)).alias("done"))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.struct(parts.alias("parts"), F.lit(False).alias("done")), step,
+                           lambda s: F.array_join(s["parts"]["s"], ""))
+
+    return let(card_parts(run), lambda parts: F.when(F.exists(parts, lambda p: p["card"]), walk(parts)).otherwise(run))
 
 
 def new_phone(m: Column, key: str, back: bool) -> Column:

@@ -271,6 +271,35 @@ def test_pseudonyms(spark):
     assert pseudonymise(d, "another").first().text != new
 
 
+def test_values_next_to_each_other(spark):
+    card = "4111 1111 1111 1111"
+
+    def mask(m):
+        body = feistel(re.sub(r"\D", "", m)[:-1], KEY, "card")
+        left = iter(body + next(c for c in "0123456789" if luhn(body + c)))
+        return "".join(next(left) if c.isdigit() else c for c in m)
+
+    around = ["{} 123", "{} 12/27", "{} 2 times", "7 {}", "{}-12-27", "12 {} 345 6", "{} 2027 {}", "1 2 3 4 5 6 7 8 9 {} 10 11 12 13", "{}, {}"]
+    texts = [a.replace("{}", c) for a in around for c in (card, card.replace(" ", "-"), "3782 822463 10005", card.replace(" ", ""))]
+    beside = [(f"{card} 555-123-4567", "555-123"), (f"{card} 97.51.17.173", "97.51.17.173"), (f"{card} 2023-02-28", "2023-02-28"), (f"{card} 12@b.org", "12@b"),
+              (f"at 2023-02-28T10:11:12Z {card}", "2023-02-28"), ("2023-02-28T10:11", "2023-02-28"), (f"(743) 555-3824 {card} 10.0.0.255", "555-3824")]
+    exact = [("2024 " * k + f"{card} 123 {k}{k}") for k in range(1, 6)] + [f"{1000 + k} 5500 0055 5555 5559 {100 + k}" for k in range(40)]
+    kept = ["4111 1111 1111 1112 123", "2023-02-28Tx", " ".join(["12"] * 3000), "1" * 3000, "1" * 32, "4111111111111111x 12"]
+    rows = texts + [t for t, _ in beside] + exact + kept
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+    out = pseudonymise(d, KEY, length_col=None).cache()
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert {r.doc_id: r.text for r in reveal(out, KEY, length_col=None).collect()} == dict(enumerate(rows))
+    for k, t in enumerate(rows[:-len(kept)]):
+        assert card not in got[k] and "5500 0055 5555 5559" not in got[k] and got[k] != t
+    plain = {c: mask(c) for c in (card, card.replace(" ", "-"), "3782 822463 10005", card.replace(" ", ""))}
+    same = sum(got[k] == next(t.replace(c, m) for c, m in plain.items() if c in t) for k, t in enumerate(texts))
+    assert same >= len(texts) - 4  # beside few numbers the permutation is repeated
+    for k, (_, value) in enumerate(beside, len(texts)):
+        assert value not in got[k] and (mask(card) in got[k]) == (card in rows[k])
+    assert [got[k] for k in range(len(rows) - len(kept), len(rows))] == kept
+
+
 def test_pseudonyms_edge_rows(edge_docs, no_docs):
     out = pseudonymise(edge_docs, KEY)
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count() and pseudonymise(no_docs, KEY).collect() == []
