@@ -41,14 +41,14 @@ SHAPES = ((64, 1 / 16), (12, 1 / 3), (64, 1 / 3), (64, 0.45), (160, 0.45))
 
 
 def token_pieces(df: DataFrame, vocab_path: str, capacity: int, end_id: int = 0,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids, cut to ``capacity``."""
     ship_package(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     end = int(end_id).to_bytes(4, "little")
 
     def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(vocab_path)
+        encode = library_encoder(vocab_path, added_tokens)
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(b.column(1)):
@@ -275,7 +275,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", order: li
 
 
 def pack_documents(df: DataFrame, vocab_path: str, capacity: int, end_id: int = 0,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of all documents."""
-    pieces = cut(token_pieces(df, vocab_path, capacity, end_id, id_col, text_col))
+    pieces = cut(token_pieces(df, vocab_path, capacity, end_id, id_col, text_col, added_tokens))
     return pack(pieces, capacity, "length", [id_col, "piece", "start", "ids_crc32"])

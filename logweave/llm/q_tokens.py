@@ -18,14 +18,16 @@ SEQUENCE_TOKENS = 2048
 @register("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as byte_bpe_50k ids and end id 0, packed into sequences of 2048 tokens."""
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), SEQUENCE_TOKENS)
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), SEQUENCE_TOKENS,
+                          added_tokens=True)
 
 
 @register("op8_token_files")
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as word_bpe_49k ids and end id 1, written to and read back from token files."""
     folder = shared_folder(spark, "token-files")
-    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1,
+                      added_tokens=True)
     return read_documents(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -165,7 +165,7 @@ class TokenFile:
 
 
 def write_token_files(df: DataFrame, folder: str, vocab_path: str, end_id: int | None = 1, id_col: str = "doc_id",
-                      text_col: str = "text", file_tokens: int = FILE_TOKENS, widths=WIDTHS) -> None:
+                      text_col: str = "text", file_tokens: int = FILE_TOKENS, widths=WIDTHS, added_tokens: bool = False) -> None:
     """Encode whole texts and write them to ``folder`` in ascending id order (integer ids).
 
     One shuffle, of the compact ids, into runs of the id range; a file closes at
@@ -180,7 +180,7 @@ def write_token_files(df: DataFrame, folder: str, vocab_path: str, end_id: int |
     src = src.withColumn("run", run_of(F.col("id"), range_cuts(src, "id", runs)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = library_encoder(vocab_path)
+        to_ids = library_encoder(vocab_path, added_tokens)
         for b in batches:
             out = []
             for text in b.column(1):

@@ -94,8 +94,9 @@ class ChunkCache(dict):
 class TextEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, whole: Callable[[str], bytes], chunk: Callable[[str], bytes], keeps_blanks: bool):
+    def __init__(self, whole: Callable[[str], bytes], chunk: Callable[[str], bytes], keeps_blanks: bool, undivided: tuple[str, ...] = ()):
         self.whole = whole
+        self.undivided = undivided  # a text that holds one of these is encoded in one call
         self.first = ChunkCache(chunk, "")
         self.rest = ChunkCache(chunk, " ", self.first) if keeps_blanks else self.first
         self.keeps_blanks = keeps_blanks
@@ -103,6 +104,9 @@ class TextEncoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        for s in self.undivided:
+            if s in text:
+                return self.whole(text)
         first, *rest = text.split(" ")
         if self.keeps_blanks and (not first or first[-1].isspace()):
             return self.whole(text)
@@ -123,24 +127,28 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(spare)) for b in range(256)]
 
 
-_encoders: dict[str, TextEncoder] = {}
+_encoders: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def library_encoder(vocab_path: str) -> TextEncoder:
+def library_encoder(vocab_path: str, added_tokens: bool = False) -> TextEncoder:
     """Encoder of a tokenizers JSON file, loaded once per worker process.
 
+    ``added_tokens``: the strings of added tokens (``<|endoftext|>``) get their own ids, as
+    by the library's default; else they are ordinary text.
+
     A chunk of letters alone is one pre-token, so the library's BPE model takes it
     directly; everything else goes through the library's whole chain.
     """
-    if vocab_path in _encoders:
-        return _encoders[vocab_path]
+    if (vocab_path, added_tokens) in _encoders:
+        return _encoders[vocab_path, added_tokens]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import unicodedata
 
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocab_path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    t.encode_special_tokens = not added_tokens
+    undivided = tuple(a.content for a in t.get_added_tokens_decoder().values()) if added_tokens else ()
     keeps = t.encode(" ", add_special_tokens=False).ids != []
     model, letters = t.model, {i: c for i, c in enumerate(byte_letters())}
 
@@ -168,5 +176,5 @@ def library_encoder(vocab_path: str) -> TextEncoder:
         return as_bytes([x.id for x in tokenize(piece)])
 
     chunk = blank_chunk if keeps else word_chunk
-    _encoders[vocab_path] = TextEncoder(encode, chunk, keeps)
-    return _encoders[vocab_path]
+    _encoders[vocab_path, added_tokens] = TextEncoder(encode, chunk, keeps, undivided)
+    return _encoders[vocab_path, added_tokens]

@@ -152,6 +152,16 @@ def test_op8_query(spark, small_rows):
     assert got == token_rows([r[:2] for r in small_rows], ENCODE[WORD], 1)
 
 
+def test_queries_follow_the_library_s_default(spark, tmp_path):
+    texts = [(1, "a <|endoftext|> b"), (2, "x<|startoftext|>\ny <|endoftext|>"), (3, "<|ENDOFTEXT|> plain"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    got = Counter(tuple(r)[:5] for r in LLM_QUERIES["op2_packing"](spark, str(tmp_path)).collect())
+    assert got == pieces(texts, lambda s: byte.encode(s, add_special_tokens=False).ids, 2048)
+    got = Counter(tuple(r) for r in LLM_QUERIES["op8_token_files"](spark, str(tmp_path)).collect())
+    assert got == token_rows(texts, lambda s: word.encode(s, add_special_tokens=False).ids, 1)
+
+
 def test_codec_edge_rows(edge_docs, edge_rows, no_docs):
     got = bpe_round_trip(edge_docs, RANKS, P.PATTERN).collect()
     assert Counter((r.doc_id, r.n_tokens, bytes(r.decoded)) for r in got) == \
