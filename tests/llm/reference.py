@@ -124,3 +124,76 @@ def without_frequent_lines(rows, ratio, least):
 def luhn(digits):
     d = [int(c) for c in reversed(digits)]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def periodic_tail(doc_id, w):
+    """The words with the end that the query plants by the hash of the id."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(w), h // 10
+    if h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def all_runs(w, min_length=6, min_exponent=4):
+    """(start, length, period) of every maximal run, by comparing all words q apart for each q."""
+    n, out = len(w), []
+    for q in range(1, n // min_exponent + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(min_length, min_exponent * q):
+                smaller = any(all(w[k] == w[k + r] for k in range(i, i + length - r)) for r in range(1, q))
+                if not smaller:
+                    out.append((i, length, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def run_report(doc_id, text):
+    """The row of the query on periodic runs."""
+    from fractions import Fraction
+
+    w = periodic_tail(doc_id, words(text))
+    runs = all_runs(w)
+    drop = {i for s, length, q in runs for i in range(s + q, s + length)}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None, None, None)
+    milli = 1000 * best[1] // best[2] if runs else None
+    return (doc_id, len(runs), *best, milli, sha("".join(f"{s},{length},{q}\n" for s, length, q in runs)),
+            sha(" ".join(x for i, x in enumerate(w) if i not in drop)))
+
+
+def majority_bits(text, n=3):
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    spans = [b" ".join(w[k:k + n]) for k in range(max(1, len(w) - n + 1))] if w else []
+    hashes = [xxhash.xxh64(s, seed=42).intdigest() for s in spans]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_components(prints, bits=2):
+    """prints: (id, fingerprint) → Counter of (id, hex, least id reachable)."""
+    known = sorted({f for _, f in prints})
+    parent = {f: f for f in known}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, f in enumerate(known):
+        for g in known[i + 1:]:
+            if (f ^ g).bit_count() <= bits:
+                parent[root(f)] = root(g)
+    least = {}
+    for d, f in prints:
+        r = root(f)
+        least[r] = d if least.get(r) is None else least[r] if d is None else min(least[r], d)
+    return Counter((d, f"{f:016x}", least[root(f)]) for d, f in prints)
