@@ -1,17 +1,19 @@
 """Registered queries: template miners (C1-C4), each with its SQL form.
 
-The miners cluster by position splitting, which SQL runs as a recursive CTE over the
-distinct messages; the oracles state masks, routing and thresholds anew.
+Fixed-depth mining in line order is a recursive CTE that takes one line of every token
+count per step; position splitting is one over the distinct messages.  The oracles state
+masks, routing and thresholds anew.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logweave.functions.masks import mask_estimated, mask_types
+from logweave.functions.masks import mask_estimated, mask_types, mask_user
 from logweave.functions.tokens import event_id, tokenize
 from logweave.operators import dynamic as D
 from logweave.operators import fixed_depth as FD
+from logweave.operators.greedy import mine_in_order
 from logweave.operators.metrics import contingency, quality
 from logweave.plans import sqlgen as S
 from logweave.plans.common import masked_log, masked_text, split_log
@@ -39,22 +41,33 @@ def _mined_sql(ctes, lines, st=0.4, columns="l.line_id, m.template AS event_temp
                        + f"SELECT {columns} FROM {lines} l JOIN mined m ON l.toks = m.toks")
 
 
-@register("mine_fixed", _mined_sql(LOG_TOKS, "lt", columns="l.line_id, substr(md5(m.template), 1, 8) AS event_id, m.template AS event_template"))
+def _greedy_sql(ctes, lines, st="0.4", columns="line_id, template AS event_template"):
+    return S.recursive(S.with_(*ctes, S.greedy_ctes(lines, st)) + f"SELECT {columns} FROM mined")
+
+
+@register("mine_fixed", _greedy_sql(LOG_TOKS, "lt", columns="line_id, substr(md5(template), 1, 8) AS event_id, template AS event_template"))
 def q_mine_fixed(spark, sf):
-    """C1 over the derived log with per-dataset user masks."""
-    m = FD.mine_fixed(_content(spark, sf), "content", LOG_MASKS)
+    """C1 over the derived log with per-dataset user masks, as a pass in line order finds it."""
+    m = mine_in_order(_content(spark, sf), tokenize(mask_user(F.col("content"), LOG_MASKS)))
     return m.select("line_id", event_id(F.col("event_template")).alias("event_id"), "event_template")
 
 
-@register("mine_fixed_exact", _mined_sql(LOG_TOKS, "lt"))
-def q_mine_fixed_exact(spark, sf):
-    """C1; every run is exact since grouping does not depend on buckets or row counts."""
+@register("mine_fixed_text", _greedy_sql(TEXT_TOKS, "xt"))
+def q_mine_fixed_text(spark, sf):
+    """C1 over every line of the text corpus in order; lines of one token are their own templates (C1q)."""
+    t = masked_text(spark, sf)
+    return mine_in_order(t, tokenize(mask_types(F.col("value")))).select("line_id", "event_template")
+
+
+@register("mine_split", _mined_sql(LOG_TOKS, "lt"))
+def q_mine_split(spark, sf):
+    """Position splitting of the derived log: clusters that do not depend on line order."""
     return FD.mine_fixed(_content(spark, sf), "content", LOG_MASKS)
 
 
-@register("mine_fixed_text", _mined_sql(TEXT_TOKS, "xt"))
-def q_mine_fixed_text(spark, sf):
-    """C1 over every line of the text corpus; lines of one token are their own templates (C1q)."""
+@register("mine_split_text", _mined_sql(TEXT_TOKS, "xt"))
+def q_mine_split_text(spark, sf):
+    """Position splitting of every line of the text corpus."""
     t = masked_text(spark, sf)
     return FD.mine_fixed(t, "value", (), tokens_col=tokenize(mask_types(F.col("value"))))
 
@@ -63,11 +76,11 @@ EST_TOKS = (S.log_lines_cte(), S.split_cte(), "lt AS (SELECT line_id, " + S.toke
             + _estimate_sql(("nothing AS (SELECT 1)",), "split", '"Content"') + "))")
 
 
-@register("mine_masked", _mined_sql(EST_TOKS, "lt", 0.5))
+@register("mine_masked", _greedy_sql(EST_TOKS, "lt", "0.5"))
 def q_mine_masked(spark, sf):
-    """Estimated typed masks (first 2,000 lines) then fixed-depth clustering."""
+    """Estimated typed masks (first 2,000 lines), then fixed-depth clustering in line order."""
     c = mask_estimated(_content(spark, sf), "content", "masked")
-    return FD.mine_fixed(c, "masked", (), depth=4, st=0.5)
+    return mine_in_order(c, tokenize(F.col("masked")), st=0.5).select("line_id", "event_template")
 
 
 def _rotated_sql():
@@ -166,7 +179,7 @@ def q_mine_dynamic_templates(spark, sf):
 def q_miner_quality(spark, sf):
     """GA/PA/FGA/FTA of every miner against the known templates (one groupBy pass)."""
     c = _content(spark, sf).select("line_id", F.col("truth_template").alias("truth"))
-    runs = [("fixed", q_mine_fixed(spark, sf)), ("dynamic", q_mine_dynamic(spark, sf)),
+    runs = [("fixed", q_mine_fixed(spark, sf)), ("split", q_mine_split(spark, sf)), ("dynamic", q_mine_dynamic(spark, sf)),
             ("rotated", q_mine_rotated(spark, sf))]
     u = None
     for name, df in runs:
@@ -176,6 +189,15 @@ def q_miner_quality(spark, sf):
     return quality(contingency(u.join(c, "line_id"), ["dataset"]), ["dataset"])
 
 
+@register("split_agreement")
+def q_split_agreement(spark, sf):
+    """How far position splitting groups the log's lines as the pass in line order does."""
+    g = q_mine_fixed(spark, sf).select("line_id", F.col("event_template").alias("truth"))
+    p = q_mine_split(spark, sf).select("line_id", F.col("event_template").alias("parsed"))
+    both = g.join(p, "line_id").withColumn("dataset", F.lit("log"))
+    return quality(contingency(both, ["dataset"]), ["dataset"])
+
+
 VOTES = ("votes AS (SELECT line_id, k AS rotation, CASE WHEN k = 0 THEN template WHEN k = 1 THEN truth_template "
          "ELSE template END AS event_template FROM masked, (SELECT unnest([0, 1, 2]) AS k))")
 

@@ -165,5 +165,30 @@ def split_ctes(source: str, threshold: str, name: str = "mined") -> str:
   LEFT JOIN (SELECT grp, string_agg(t, ' ' ORDER BY pos) AS template FROM {name}_p GROUP BY grp) p USING (grp))"""
 
 
+def greedy_ctes(lines: str, st: str, name: str = "mined") -> str:
+    """The sequential pass over ``lines(line_id, toks)``, one line of every token count per step (depth 4, at most
+    100 children): the clusters of a count so far are its state, in the order of their opening."""
+    leaf_of = f"list_contains(list_transform(w.state, lambda c: c.leaf), l.toks[1])"
+    return f"""{name}_l AS (SELECT line_id, toks, len(toks) AS n, row_number() OVER (PARTITION BY len(toks) ORDER BY line_id) AS k
+  FROM {lines} WHERE len(toks) >= 2),
+{name}_g(n, k, state, hits) USING KEY (n) AS (
+  SELECT DISTINCT n, CAST(0 AS BIGINT), CAST([] AS STRUCT(leaf VARCHAR, tpl VARCHAR[])[]), CAST([] AS BIGINT[]) FROM {name}_l
+  UNION
+  SELECT n, k, CASE WHEN hit = len(state) + 1 THEN list_append(state, {{'leaf': CASE WHEN known THEN toks[1]
+        WHEN regexp_matches(toks[1], '[0-9]') OR toks[1] = '<*>' OR others >= 99 THEN '<*>' ELSE toks[1] END, 'tpl': toks}})
+      ELSE list_transform(state, lambda c, i: CASE WHEN i = hit THEN {{'leaf': c.leaf,
+        'tpl': list_transform(c.tpl, lambda x, j: CASE WHEN x = toks[j] THEN x ELSE '<*>' END)}} ELSE c END) END, list_append(hits, hit)
+  FROM (SELECT *, CASE WHEN best.eq / n >= {st} THEN best.i ELSE len(state) + 1 END AS hit
+    FROM (SELECT *, list_max(list_filter(list_transform(state, lambda c, i: {{
+        'eq': CASE WHEN c.leaf = leaf THEN len(list_filter(c.tpl, lambda x, j: x <> '<*>' AND x = toks[j])) ELSE -1 END,
+        'par': len(list_filter(c.tpl, lambda x: x = '<*>')), 'o': -i, 'i': i}}), lambda r: r.eq >= 0)) AS best
+      FROM (SELECT w.n, l.k, w.state, w.hits, l.toks, {leaf_of} AS known, CASE WHEN {leaf_of} THEN l.toks[1] ELSE '<*>' END AS leaf,
+          len(list_filter(list_distinct(list_transform(w.state, lambda c: c.leaf)), lambda x: x <> '<*>')) AS others
+        FROM {name}_g w JOIN {name}_l l ON l.n = w.n AND l.k = w.k + 1)))),
+{name} AS (SELECT l.line_id, array_to_string(u.state[u.hit].tpl, ' ') AS template
+  FROM (SELECT n, state, unnest(hits) AS hit, generate_subscripts(hits, 1) AS k FROM {name}_g) u JOIN {name}_l l ON l.n = u.n AND l.k = u.k
+  UNION ALL SELECT line_id, coalesce(toks[1], '') FROM {lines} WHERE len(toks) < 2)"""
+
+
 def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
