@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logweave.functions.masks import mask_estimated, mask_types, mask_user
-from logweave.functions.tokens import event_id, tokenize
+from logweave.functions.tokens import dynamic_threshold, event_id, tokenize
 from logweave.operators import dynamic as D
 from logweave.operators import fixed_depth as FD
 from logweave.operators.greedy import mine_in_order
+from logweave.operators.in_order import constants_in_order, paths_in_order, route_in_order
 from logweave.operators.metrics import contingency, quality
 from logweave.plans import sqlgen as S
 from logweave.plans.common import masked_log, masked_text, split_log
@@ -115,9 +116,7 @@ PASS1 = ("dm AS (SELECT toks, min(line_id) AS first_line, count(*) AS hits, CAST
          """consts AS (SELECT constant, min(line_id) AS line_id FROM (
   SELECT list_filter(string_split(any_value(template), ' '), lambda x: NOT contains(x, '<*>'))[1] AS constant, min(first_line) AS line_id
   FROM one JOIN dm USING (toks) GROUP BY one.grp
-  HAVING list_contains(string_split(any_value(template), ' '), '<*>') OR sum(hits) >= 385) WHERE constant IS NOT NULL GROUP BY constant)""",
-         """bucketed AS (SELECT d.toks, arg_min(c.constant, {'l': c.line_id, 'c': c.constant}) AS bucket
-  FROM (SELECT toks, unnest(list_distinct(toks)) AS tok FROM dm) d LEFT JOIN consts c ON d.tok = c.constant GROUP BY d.toks)""")
+  HAVING list_contains(string_split(any_value(template), ' '), '<*>') OR sum(hits) >= 385) WHERE constant IS NOT NULL GROUP BY constant)""")
 
 
 def _type_tokens(spark, sf):
@@ -125,29 +124,115 @@ def _type_tokens(spark, sf):
     return lines, D.messages(lines)
 
 
-@register("constants", S.recursive(S.with_(*TYPE_TOKS, *PASS1) + "SELECT constant, line_id FROM consts"))
-def q_constants(spark, sf):
-    """Constants and the line of their discovery."""
+@register("split_constants", S.recursive(S.with_(*TYPE_TOKS, *PASS1) + "SELECT constant, line_id FROM consts"))
+def q_split_constants(spark, sf):
+    """Constants found by position splitting, independent of line order, and the first line of their clusters."""
     return D.discover_constants(_type_tokens(spark, sf)[1])
 
 
-@register("constant_route", S.recursive(S.with_(*TYPE_TOKS, *PASS1) + "SELECT l.line_id, b.bucket FROM lt l JOIN bucketed b ON l.toks = b.toks"))
+def _parameter(x):
+    return f"contains({x}, '<*>') AND NOT regexp_matches({x}, '[\\p{{L}}\\p{{N}}]')"
+
+
+# the pass over all lines, one per step: constants with their line, and the clusters of none with their lines so far
+IN_ORDER = f"""cl AS (SELECT line_id, toks, len(toks) AS n, row_number() OVER (ORDER BY line_id) AS k FROM lt WHERE len(toks) > 0),
+cg(one, k, known, none) USING KEY (one) AS (
+  SELECT 1, CAST(0 AS BIGINT), CAST([] AS STRUCT(c VARCHAR, line BIGINT)[]), CAST([] AS STRUCT(t VARCHAR[], hits BIGINT)[])
+  UNION
+  SELECT one, k, CASE WHEN promoted IS NULL THEN known ELSE list_append(known, {{'c': promoted, 'line': line_id}}) END,
+    CASE WHEN routed THEN none WHEN hit IS NULL THEN list_append(none, {{'t': toks, 'hits': CAST(1 AS BIGINT)}})
+      ELSE list_filter(list_transform(none, lambda x, i: CASE WHEN i = hit THEN {{'t': new, 'hits': x.hits + 1}} ELSE x END),
+                       lambda x: promoted IS NULL OR NOT list_contains(x.t, promoted)) END
+  FROM (SELECT *, CASE WHEN NOT routed AND hit IS NOT NULL AND (new <> none[hit].t OR none[hit].hits = 384)
+      THEN nullif(list_filter(new, lambda x: NOT contains(x, '<*>'))[1], 'None') END AS promoted
+    FROM (SELECT *, CASE WHEN hit IS NOT NULL THEN list_transform(none[hit].t, lambda x, j: CASE WHEN x = toks[j] THEN x ELSE '<*>' END) END AS new
+      FROM (SELECT *, CASE WHEN NOT routed AND (best.same OR best.eq / n >= {S.threshold_sql('n')}) THEN best.i END AS hit
+        FROM (SELECT g.one, g.known, g.none, l.*, NOT list_contains(l.toks, 'None') AND list_has_any(l.toks, list_transform(g.known, lambda x: x.c)) AS routed,
+            list_max(list_filter(list_transform(g.none, lambda x, i: {{'same': x.t = l.toks,
+              'eq': CASE WHEN len(x.t) = l.n THEN len(list_filter(x.t, lambda y, j: y = l.toks[j] AND NOT ({_parameter('y')}))) ELSE -1 END,
+              'par': len(list_filter(x.t, lambda y: {_parameter('y')})), 'o': -i, 'i': i}}), lambda r: r.eq >= 0)) AS best
+          FROM cg g JOIN cl l ON l.k = g.k + 1))))),
+consts AS (SELECT x.c AS constant, x.line AS line_id FROM (SELECT unnest(known) AS x FROM cg))"""
+BUCKETED = """bucketed AS (SELECT d.toks, arg_min(c.constant, {'l': c.line_id, 'c': c.constant}) AS bucket
+  FROM (SELECT toks, unnest(list_distinct(toks)) AS tok FROM (SELECT DISTINCT toks FROM lt)) d
+  LEFT JOIN consts c ON d.tok = c.constant AND NOT list_contains(d.toks, 'None') GROUP BY d.toks)"""
+CLUSTERED = (BUCKETED, "dr AS (SELECT toks, coalesce('=' || bucket, 'none') || chr(31) || len(toks) AS grp FROM bucketed)", S.split_ctes("dr", DYN, "two"))
+
+
+def _at(lines):
+    return lines.select(F.col("line_id").alias("at"), "tokens")
+
+
+@register("constants", S.recursive(S.with_(*TYPE_TOKS, IN_ORDER) + "SELECT constant, line_id FROM consts"))
+def q_constants(spark, sf):
+    """Constants and the line of their discovery, as a pass in line order finds them."""
+    return constants_in_order(_at(_type_tokens(spark, sf)[0]), dynamic_threshold)
+
+
+@register("constant_route", S.recursive(S.with_(*TYPE_TOKS, IN_ORDER) + """SELECT line_id, bucket FROM (
+  SELECT l.line_id, list_filter((SELECT list(c ORDER BY c.line_id) FROM consts c),
+    lambda c: c.line_id < l.line_id AND list_contains(l.toks, c.constant) AND NOT list_contains(l.toks, 'None'))[1].constant AS bucket FROM lt l)"""))
 def q_constant_route(spark, sf):
-    """P5: every line's bucket, the first-discovered constant that it contains."""
+    """P5: every line's bucket, the first constant in it of those discovered before the line."""
+    lines = _at(_type_tokens(spark, sf)[0])
+    return route_in_order(lines, constants_in_order(lines, dynamic_threshold)).select(F.col("at").alias("line_id"), "bucket")
+
+
+def _dynamic_members(spark, sf):
     lines, msgs = _type_tokens(spark, sf)
-    return lines.join(D.route(msgs, D.discover_constants(msgs)).select("tokens", "bucket"), "tokens").select("line_id", "bucket")
+    routed = D.route(msgs, constants_in_order(_at(lines), dynamic_threshold))
+    return lines, D.cluster_buckets(routed).join(msgs.select("msg_id", "first_line_id", "last_line_id"), "msg_id")
 
 
-@register("dynamic_clusters", S.recursive(S.with_(*TYPE_TOKS, *PASS1,
-          "dr AS (SELECT toks, coalesce('=' || bucket, 'none') || chr(31) || len(toks) AS grp FROM bucketed)",
-          S.split_ctes("dr", DYN, "two")) + "SELECT l.line_id, t.template AS event_template FROM lt l JOIN two t ON l.toks = t.toks"))
+@register("dynamic_clusters", S.recursive(S.with_(*TYPE_TOKS, IN_ORDER, *CLUSTERED)
+          + "SELECT l.line_id, t.template AS event_template FROM lt l JOIN two t ON l.toks = t.toks"))
 def q_dynamic_clusters(spark, sf):
     """Every line's cluster template before branching, correction and merging."""
-    lines, msgs = _type_tokens(spark, sf)
-    m = D.cluster_buckets(D.route(msgs, D.discover_constants(msgs)))
+    lines, m = _dynamic_members(spark, sf)
     return lines.join(m.select("tokens", F.array_join("template", " ").alias("event_template")), "tokens").select("line_id", "event_template")
 
 
+_RUN = "[ ,!;:=|\"''+.\\[\\](){}]*"
+
+
+def _shared(a, b, end):
+    """The common run of delimiters that two tokens begin (or end) with."""
+    run = (lambda t: f"reverse(regexp_extract({t}, '{_RUN}$'))") if end else (lambda t: f"regexp_extract({t}, '^{_RUN}')")
+    k = f"list_max(list_filter(range(0, 1 + least(length({run(a)}), length({run(b)}))), lambda z: left({run(a)}, z) = left({run(b)}, z)))"
+    return f"reverse(left({run(a)}, {k}))" if end else f"left({run(a)}, {k})"
+
+
+def _like(a, b):
+    return f"len(list_filter({a}, lambda x, j: x = {b}[j] OR contains(x, '<*>')))"
+
+
+PATHS = f"""pl AS (SELECT l.line_id, l.toks, min(l.line_id) OVER (PARTITION BY t.grp) AS cluster,
+    row_number() OVER (PARTITION BY t.grp ORDER BY l.line_id) AS k FROM lt l JOIN two t ON l.toks = t.toks),
+pg(cluster, k, paths) USING KEY (cluster) AS (
+  SELECT cluster, k, [toks] FROM pl WHERE k = 1
+  UNION
+  SELECT cluster, k, CASE WHEN covered THEN paths WHEN len(paths) < 2 THEN list_sort(list_distinct(list_append(paths, toks)))
+    ELSE list_sort(list_distinct(list_transform(paths, lambda p: list_transform(p, lambda x, i: CASE WHEN target[i] = toks[i] THEN x
+      ELSE {_shared('target[i]', 'toks[i]', False)} || '<*>' || {_shared('target[i]', 'toks[i]', True)} END)))) END
+  FROM (SELECT g.cluster, l.k, g.paths, l.toks,
+      len(list_filter(g.paths, lambda p: len(list_filter(p, lambda x, j: x = l.toks[j] OR contains(g.paths[1][j], '<*>'))) = len(l.toks))) > 0 AS covered,
+      CASE WHEN {_like('l.toks', 'g.paths[2]')} > CASE WHEN {_like('l.toks', 'g.paths[1]')} > 0 THEN {_like('g.paths[1]', 'l.toks')} ELSE 0 END
+        THEN g.paths[2] ELSE g.paths[1] END AS target
+    FROM pg g JOIN pl l ON l.cluster = g.cluster AND l.k = g.k + 1))"""
+
+
+@register("cluster_paths", S.recursive(S.with_(*TYPE_TOKS, IN_ORDER, *CLUSTERED, PATHS)
+          + "SELECT cluster, array_to_string(p, ' ') AS path FROM (SELECT cluster, unnest(paths) AS p FROM pg)"))
+def q_cluster_paths(spark, sf):
+    """The paths (at most two) that every cluster holds after its last line; a cluster is named by its first line."""
+    lines, m = _dynamic_members(spark, sf)
+    m = m.select("cluster", "tokens", F.col("first_line_id").alias("line"), F.col("last_line_id").alias("last"))
+    first = m.groupBy("cluster").agg(F.min("line").alias("first"))
+    paths = paths_in_order(m, _at(lines))
+    return paths.join(first, "cluster").select(F.col("first").alias("cluster"), F.explode("paths").alias("p")) \
+                .select("cluster", F.array_join("p", " ").alias("path"))
+
+
 @register("merge_round", S.with_(S.log_lines_cte(), S.split_cte(), S.masked_log_cte(),
     "it AS (SELECT DISTINCT t FROM (SELECT template AS t FROM masked UNION ALL SELECT content FROM masked))",
     "g AS (SELECT t AS g FROM it WHERE contains(t, '<*>'))") + f"""

@@ -153,14 +153,6 @@ def test_dynamic_constants_routes_and_clusters(spark):
     assert {tuple(r.tokens): tuple(r.template) for r in D.cluster_buckets(routed).collect()} == exp
 
 
-def test_branches_and_delimiters(spark):
-    rows = [("x", "a", "1", ["set", "[k=1]", "ok"]), ("x", "a", "2", ["set", "[k=22]", "ok"]), ("x", "a", "3", ["set", "[v=3]", "ok"]),
-            (None, "b", "4", ["go", "one"]), (None, "b", "5", ["go", "two"])]
-    m = spark.createDataFrame(rows, "bucket string, cluster string, msg_id string, tokens array<string>")
-    got = {r.cluster: r.paths for r in D.cluster_paths(m, 2).collect()}
-    assert got == {"a": [["set", "[<*>]", "ok"]], "b": [["go", "one"], ["go", "two"]]}
-
-
 def test_described_templates_go(spark):
     def kept(ts):
         def rx(a, b):
