@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterable
@@ -29,6 +30,19 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def cut_and_release(df: DataFrame) -> DataFrame:
+    """A checkpoint, after which shuffle files that no table refers to any more may go.
+
+    Spark's cleaner drops a shuffle's files once the driver has collected the objects that
+    refer to it; in a chain of many small tables that would otherwise come late.
+    """
+    spark, out = df.sparkSession, cut(df)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared folder (nothing is created yet)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

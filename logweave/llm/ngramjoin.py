@@ -44,7 +44,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.common import cut, id_type, shared_folder, ship_package
+from logweave.llm.common import cut_and_release as cut
+from logweave.llm.common import id_type, shared_folder, ship_package
 
 #: Bytes of text per slot of the sketch, and the least and most bits of a slot number (at most 64 MB of levels).
 SLOT_BYTES, LEAST_BITS, MOST_BITS = 24, 20, 26
