@@ -159,7 +159,7 @@ def token_jaccard(t1: Column, t2: Column) -> Column:
 
 
 # T10 -----------------------------------------------------------------------
-def _is_param(tok: Column, variant: str) -> Column:
+def is_param(tok: Column, variant: str) -> Column:
     if variant == "fixed":
         return tok == WILDCARD
     # dynamic parser: a token holding the wildcard and no letter/digit
@@ -176,7 +176,7 @@ def positional_similarity(template: Column, seq: Column, variant: str = "fixed")
     init = F.struct(F.lit(0).alias("eq"), F.lit(0).alias("par"))
 
     def step(acc, p):
-        par = _is_param(p["a"], variant)
+        par = is_param(p["a"], variant)
         return F.struct(
             (acc["eq"] + F.when(~par & (p["a"] == p["b"]), 1).otherwise(0)).alias("eq"),
             (acc["par"] + F.when(par, 1).otherwise(0)).alias("par"))

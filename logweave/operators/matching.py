@@ -1,20 +1,24 @@
 """Template matching joins (M3, M4), line restriction (J3, J4) and dense ids.
 
 M3 — line × template regex match, first template in priority order wins.
-A regex theta join is never run as a cross product.  Every template is routed
-by an equi-key that any matching line must carry:
-  * tier 1: the template's first token when it is literal → the line's first token;
-  * tier 2: else its first fully literal token (blank-delimited, so a match
-    must contain it as a whole token) → the line's distinct tokens (exploded);
-  * tier 3: templates with neither a literal token nor a literal head up to a
-    delimiter (``<*>``, ``<*> <*>``, ``a<*>`` …) have no key that a line must carry;
-    they are tested map-side in chunks, so no row is dropped.
-  ``key=<*>`` and the like count as literal up to their first delimiter, on both sides.
-The session's byte limit decides whether the template side of tiers 1-2 is broadcast;
-otherwise the join shuffles and AQE splits hot tokens.
-
-M4 — best same-length template (fixed-depth "fast match"): distinct messages
-⨝ templates on token count, similarity, ``max_by`` over (sim, params, -order).
+A regex theta join is never run as a cross product.  Every template is routed by one
+equi-key that any matching line must carry, and a line is listed by its keys:
+  * its first token, when it is literal → the line's first token;
+  * else its first fully literal token (blank-delimited, so a match must contain it as a
+    whole token) → the line's distinct tokens; ``key=<*>`` and the like count as literal
+    up to their first delimiter, on both sides;
+  * else, of its literal pieces between wildcards and blanks, the gram (three characters,
+    or the whole piece if shorter) that the fewest templates hold → the line's grams,
+    of which only those that some template is routed by leave the scan's task;
+  * else, for templates without any literal, their number of blank runs → the numbers up
+    to the line's blanks.
+The session's byte limit decides whether templates are broadcast; otherwise the join
+shuffles and AQE splits hot keys.  Kinds of keys that no template has cost nothing.
+
+M4 — best same-length template (fixed-depth "fast match"): messages and templates meet in
+an inverted index of (token count, position, token); shared entries counted per pair are
+the similarity, ``max_by`` over (sim, params, -order) the best.  A message that shares no
+entry with any template has the template with the most parameters of its length.
 """
 
 from __future__ import annotations
@@ -23,12 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.session import cut_lineage
-
-from logweave.functions.tokens import (WILDCARD, dynamic_threshold, positional_similarity, template_regex,
-                                       tokenize)
+from logweave.functions.tokens import WILDCARD, dynamic_threshold, is_param, template_regex, tokenize
 
 KEY_HEAD = r"^[^=:(\[/<]+[=:(\[/]"     # literal head of a token up to its first delimiter
-TIER3_CHUNK = 256                   # wildcard-only templates tested per map-side pass
+GRAM = 3
 
 
 def key_head(token: Column) -> Column:
@@ -53,57 +55,78 @@ def match_pattern(template: Column, kind: str = "param") -> Column:
     return F.concat(F.lit(r"(?s)^\Q"), body, F.lit(r"\E\z"))
 
 
+def grams(text: Column, size: int) -> Column:
+    """All substrings of ``size`` characters."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))
+
+
 def prepare_templates(templates: DataFrame, template: str = "event_template", event_id: str = "event_id",
                       kind: str = "param") -> DataFrame:
-    """Template table with pattern, priority and routing key."""
+    """Template table with pattern, priority and routing key (``via`` and ``route``)."""
     norm = F.regexp_replace(F.col(template), r"<.{1,5}>", WILDCARD)
     t = cut_lineage(templates.select(F.col(event_id).alias("event_id"), F.col(template).alias("event_template"), F.split(norm, " ").alias("toks")))
     literal = F.get(F.filter("toks", lambda x: (x != "") & ~x.contains(WILDCARD)), 0)
     head = F.get(F.filter(F.transform("toks", key_head), lambda x: x != ""), 0)
     first = F.get("toks", 0)
-    t = t.select("event_id", "event_template", literal.alias("literal"), head.alias("head"),
+    pieces = F.filter(F.flatten(F.transform("toks", lambda x: F.split(x, r"<\*>|\s+"))), lambda x: x != "")
+    t = t.select("event_id", "event_template", literal.alias("literal"), head.alias("head"), pieces.alias("pieces"),
+                 (F.size(F.split(F.array_join("toks", " "), " +")) - 1).alias("gaps"),
                  F.when((first != "") & ~first.contains(WILDCARD), first).alias("first"))
-    tier = F.when(F.col("first").isNotNull(), 1).when(F.coalesce("literal", "head").isNotNull(), 2).otherwise(3)
-    keyed = F.coalesce(F.concat(F.lit("t"), F.col("literal")), F.concat(F.lit("k"), F.col("head")))
-    return t.select(
-        "event_id", "event_template", match_pattern(F.col("event_template"), kind).alias("pattern"), tier.alias("tier"),
-        F.coalesce("first", keyed).alias("route"),
+    rare = t.where("first IS NULL AND literal IS NULL AND head IS NULL AND size(pieces) > 0")
+    gram = F.explode(F.array_distinct(F.flatten(F.transform("pieces", lambda p: F.when(F.length(p) < GRAM, F.array(p)).otherwise(grams(p, GRAM))))))
+    rare = rare.select("event_id", "event_template", gram.alias("gram"))
+    counts = rare.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    rare = rare.join(counts, "gram").groupBy("event_id", "event_template").agg(F.min_by("gram", F.struct("held", -F.length("gram"), "gram")).alias("gram"))
+    t = t.join(rare, ["event_id", "event_template"], "left")
+    via = F.when(F.col("first").isNotNull(), "first").when(F.col("literal").isNotNull(), "token").when(F.col("head").isNotNull(), "head") \
+           .when(F.col("gram").isNotNull(), "gram").otherwise("gaps")
+    return cut_lineage(t.select(
+        "event_id", "event_template", match_pattern(F.col("event_template"), kind).alias("pattern"), via.alias("via"),
+        F.coalesce("first", "literal", "head", "gram", F.col("gaps").cast("string")).alias("route"),
         F.struct((-literal_length(F.col("event_template"))).alias("a"), wildcard_occurrences(F.col("event_template")).alias("b"),
-                 F.col("event_id").alias("c")).alias("priority"))
+                 F.col("event_id").alias("c")).alias("priority")))
+
+
+def line_keys(content: Column, via: str) -> Column:
+    """The routing keys of one kind that a line carries."""
+    if via == "first":
+        return F.transform(F.array(content), lambda c: F.coalesce(F.get(tokenize(c), 0), F.lit("")))
+    if via == "token":
+        return F.array_distinct(tokenize(content))
+    if via == "head":
+        return F.array_distinct(F.filter(F.transform(tokenize(content), key_head), lambda x: x != ""))
+    if via == "gram":
+        return F.array_distinct(F.concat(*[grams(content, k) for k in range(1, GRAM + 1)]))
+    blanks = F.length(content) - F.length(F.regexp_replace(content, r"\s", ""))
+    return F.transform(F.sequence(F.lit(0), blanks), lambda k: k.cast("string"))
+
+
+def match_prepared(lines: DataFrame, prepared: DataFrame, kinds: list[str], content: str = "content", key: str = "line_id",
+                   template: str = "event_template", event_id: str = "event_id") -> DataFrame:
+    """M3 with templates from ``prepare_templates`` and the kinds of keys among them (``key_kinds``)."""
+    ln = lines.select(key, F.col(content).alias("__c"))
+    found = None
+    for via in kinds:
+        listed = ln.select(key, "__c", F.explode(line_keys(F.col("__c"), via)).alias("route"))
+        met = listed.join(prepared.where(F.col("via") == via).drop("via"), "route").where(F.regexp_like(F.col("__c"), F.col("pattern")))
+        met = met.select(key, "event_id", "event_template", "priority")
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return lines.select(key, F.lit(None).cast("string").alias(event_id), F.lit(None).cast("string").alias(template))
+    best = found.groupBy(key).agg(F.min_by(F.struct("event_id", "event_template"), "priority").alias("m"))
+    return lines.select(key).join(best, key, "left").select(key, F.col("m.event_id").alias(event_id), F.col("m.event_template").alias(template))
+
+
+def key_kinds(prepared: DataFrame) -> list[str]:
+    """The kinds of keys that templates are routed by (at most five)."""
+    return sorted(r["via"] for r in prepared.select("via").distinct().collect())
 
 
 def match_templates(lines: DataFrame, templates: DataFrame, content: str = "content", key: str = "line_id",
                     template: str = "event_template", event_id: str = "event_id", kind: str = "param") -> DataFrame:
     """M3: (key, event_id, event_template) for every line; NULL when no template matches."""
-    tp = cut_lineage(prepare_templates(templates, template, event_id, kind))
-    ln = lines.select(key, F.col(content).alias("__c"))
-    toks = tokenize(F.col("__c"))
-    c1 = ln.withColumn("route", F.get(toks, 0)).join(tp.where("tier = 1"), "route")
-    heads = F.filter(F.transform(toks, key_head), lambda x: x != "")
-    routes = F.array_distinct(F.concat(F.transform(toks, lambda x: F.concat(F.lit("t"), x)),
-                                       F.transform(heads, lambda x: F.concat(F.lit("k"), x))))
-    c2 = ln.select(key, "__c", F.explode(routes).alias("route")).join(tp.where("tier = 2"), "route")
-    cand = c1.unionByName(c2).where(F.regexp_like(F.col("__c"), F.col("pattern")))
-    best = cand.groupBy(key).agg(F.min_by(F.struct("event_id", "event_template"), "priority").alias("m"),
-                                 F.min("priority").alias("p"))
-    # tier 3: wildcard-only templates, tested map-side in bounded chunks
-    wild = tp.where("tier = 3").select("event_id", "event_template", "pattern", "priority") \
-             .orderBy("priority").collect() if tp.where("tier = 3").limit(1).count() else []
-    out = ln.join(best, key, "left")
-    for i in range(0, len(wild), TIER3_CHUNK):
-        chunk = wild[i:i + TIER3_CHUNK]
-        arr = F.array(*[F.struct(F.lit(r["event_id"]).alias("event_id"),
-                                 F.lit(r["event_template"]).alias("event_template"),
-                                 F.lit(r["pattern"]).alias("pattern"),
-                                 F.struct(F.lit(r["priority"]["a"]).alias("a"), F.lit(r["priority"]["b"]).alias("b"),
-                                          F.lit(r["priority"]["c"]).alias("c")).alias("priority")) for r in chunk])
-        hit = F.get(F.filter(arr, lambda t: F.regexp_like(F.col("__c"), t["pattern"])), 0)
-        better = hit.isNotNull() & (F.col("p").isNull() | (hit["priority"] < F.col("p")))
-        out = out.withColumn("m", F.when(better, F.struct(hit["event_id"].alias("event_id"),
-                                                          hit["event_template"].alias("event_template")))
-                             .otherwise(F.col("m"))) \
-                 .withColumn("p", F.when(better, hit["priority"]).otherwise(F.col("p")))
-    return out.select(key, F.col("m.event_id").alias(event_id), F.col("m.event_template").alias(template))
+    prepared = prepare_templates(templates, template, event_id, kind)
+    return match_prepared(lines, prepared, key_kinds(prepared), content, key, template, event_id)
 
 
 def best_template(messages: DataFrame, templates: DataFrame, tokens: str = "tokens", key: str = "msg_key",
@@ -112,17 +135,19 @@ def best_template(messages: DataFrame, templates: DataFrame, tokens: str = "toke
     """M4: per message the same-length template with max (similarity, params, -id);
     kept only if similarity ≥ threshold (constant, or the dynamic table when None)."""
     m = messages.select(key, F.col(tokens).alias("__t")).withColumn("n_tokens", F.size("__t"))
-    t = templates.select(F.col(template_id).alias("tid"), F.col(template_tokens).alias("__tt")) \
-                 .withColumn("n_tokens", F.size("__tt"))
-    pairs = m.join(t, "n_tokens").withColumn("s", positional_similarity(F.col("__tt"), F.col("__t"), variant))
-    best = pairs.groupBy(key, "n_tokens").agg(
-        F.max_by(F.struct("tid", F.col("s.sim").alias("sim")),
-                 F.struct(F.col("s.sim"), F.col("s.n_params"), -F.col("tid"))).alias("b"))
+    t = templates.select(F.col(template_id).alias("tid"), F.col(template_tokens).alias("__tt")).withColumn("n_tokens", F.size("__tt"))
+    t = t.withColumn("params", F.size(F.filter("__tt", lambda x: is_param(x, variant))))
+    entries = t.select("tid", "params", "n_tokens", F.posexplode("__tt").alias("pos", "token")).where(~is_param(F.col("token"), variant))
+    met = m.select(key, "n_tokens", F.posexplode("__t").alias("pos", "token")).join(entries, ["n_tokens", "pos", "token"])
+    met = met.groupBy(key, "tid", "params").agg(F.count(F.lit(1)).alias("equal"))
+    met = met.groupBy(key).agg(F.max_by(F.struct("tid", "equal"), F.struct(F.col("equal"), F.col("params"), -F.col("tid"))).alias("b"))
+    other = t.groupBy("n_tokens").agg(F.max_by("tid", F.struct(F.col("params"), -F.col("tid"))).alias("other"))
+    out = m.select(key, "n_tokens").join(other, "n_tokens").join(met, key, "left")
+    sim = F.when(F.col("n_tokens") > 0, F.coalesce("b.equal", F.lit(0)) / F.col("n_tokens"))
     st = dynamic_threshold(F.col("n_tokens"), threshold)
     # -1 = no template reaches the threshold (keeps the id column non-nullable)
-    return best.select(key, F.when(F.col("b.sim") >= st, F.col("b.tid")).otherwise(F.lit(-1)).cast("long")
-                       .alias(template_id),
-                       F.round(F.col("b.sim"), 6).alias("similarity"))
+    return out.select(key, F.when(sim >= st, F.coalesce("b.tid", "other")).otherwise(F.lit(-1)).cast("long").alias(template_id),
+                      F.round(sim, 6).alias("similarity"))
 
 
 def restrict_lines(raw: DataFrame, kept: DataFrame, key: str = "line_id") -> DataFrame:

@@ -28,7 +28,7 @@ from logweave.functions.masks import MASK_ORDER, detect_mask_types, mask_types
 from logweave.functions.tokens import tokenize
 from logweave.operators import ngram as N
 from logweave.operators.fixed_depth import cluster_messages
-from logweave.operators.matching import match_templates
+from logweave.operators.matching import key_kinds, match_prepared, prepare_templates
 from logweave.session import checkpoint_dir
 from logweave.sources.logformat import split_format
 from logweave.sources.tables import LOG_LINES_FORMAT, LOG_LINES_SQL
@@ -88,12 +88,13 @@ def _batch_writer(base: str, fn):
 
 
 def stream_match(spark: SparkSession, sf_dir: str, templates: DataFrame) -> DataFrame:
-    """stream–static template match per micro-batch."""
+    """stream–static template match per micro-batch; the templates are prepared once."""
     base = run_dir(spark, "match")
     lines = split_format(stream_log_lines(event_stream(spark, sf_dir)), LOG_LINES_FORMAT, keep=("line_id",))
     lines = lines.select("line_id", F.col("Content").alias("content"))
-    tpl = templates.cache()
-    q = (lines.writeStream.foreachBatch(_batch_writer(base, lambda b, _i: match_templates(b, tpl)))
+    prepared = prepare_templates(templates)
+    kinds = key_kinds(prepared)
+    q = (lines.writeStream.foreachBatch(_batch_writer(base, lambda b, _i: match_prepared(b, prepared, kinds)))
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     return _drain(q, f"{base}/out", spark).drop("batch")
 
