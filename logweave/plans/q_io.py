@@ -16,7 +16,7 @@ from logweave.plans.common import masked_log, split_log
 from logweave.plans.q_match import TPL, _match_ctes, log_templates
 from logweave.plans.q_ngram import GRAMS, LOG_TOK, SCORE, _flags_ctes
 from logweave.plans.q_sources import _estimate_sql
-from logweave.plans.q_mine import TYPE_TOKS, _mined_sql
+from logweave.plans.q_mine import TYPE_TOKS, _greedy_sql
 from logweave.plans.registry import register
 from logweave.session import checkpoint_dir
 from logweave.sources.files import read_csv_table, read_trace, write_table
@@ -42,7 +42,7 @@ def q_text_scan(spark, sf):
     path = _scratch(spark, "textlog")
     lines = log_lines(spark, sf)
     for name, part in (("a", F.col("line_id") % 10 < 3), ("b", F.col("line_id") % 10 >= 3)):
-        lines.where(part).repartition(1).sortWithinPartitions("line_id").select("value").write.text(f"{path}/{name}")
+        lines.where(part).repartitionByRange("line_id").sortWithinPartitions("line_id").select("value").write.text(f"{path}/{name}")
     s = split_format(read_text_log(spark, f"{path}/*"), LOG_LINES_FORMAT, keep=("raw_line_id",))
     return s.select("raw_line_id", *[F.col(h).alias(h.lower()) for h in ("Date", "Time", "Pid", "Level", "Component", "Content")])
 
@@ -111,7 +111,7 @@ def q_stream_match(spark, sf):
     return G.stream_match(spark, sf, log_templates(spark, sf)).select("line_id", "event_id", "event_template")
 
 
-@register("stream_mine", _mined_sql(TYPE_TOKS, "lt"))
+@register("stream_mine", _greedy_sql(TYPE_TOKS, "lt"))
 def q_stream_mine(spark, sf):
     """Templates as of each batch (here one batch: those of the whole stream)."""
     return G.stream_mine(spark, sf)

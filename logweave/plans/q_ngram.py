@@ -1,8 +1,7 @@
 """Registered queries: n-gram dictionaries and n-gram template mining.
 
-Oracle-checked forms tokenise through the typed mask chain (RE2 has no
-look-behind, which the general number mask needs); the general-mask form is
-registered rows-only and its masks are checked by pytest.
+Most forms tokenise through the typed mask chain, one through the general masks
+(in SQL their look-around is written as kept neighbours).
 
 SQL oracle of the dynamic-flag recurrence: position i's function of flag[i-2]
 is a constant, the identity or a negation, so flag[i] = (last constant in its
@@ -181,9 +180,13 @@ def q_running(spark, sf):
     return r.groupBy("line_id", "w").agg(F.max("c").alias("c"))
 
 
-@register("ngram_general_masks")
+GENERAL_TOK = (LL, SPLIT, f"tok AS (SELECT line_id, {S.tokens_sql(S.general_masks_sql(chr(34) + 'Content' + chr(34)))} AS tokens FROM split)")
+
+
+@register("ngram_general_masks", S.with_(*GENERAL_TOK, *GRAMS, *SCORE, *_flags_ctes()) + """
+SELECT line_id, event_template, substr(md5(event_template), 1, 8) AS event_id FROM tp""")
 def q_ngram_general(spark, sf):
-    """C6 with the reference's general masks (look-behind number mask → rows-only)."""
+    """C6 with the general masks."""
     s = split_log(spark, sf)
     lines, _ = N.ngram_parse(s, "Content")
     return lines.select("line_id", "event_template", event_id(F.col("event_template")).alias("event_id"))

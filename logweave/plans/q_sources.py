@@ -10,7 +10,7 @@ from logweave.operators.events import event_table
 from logweave.plans import sqlgen as S
 from logweave.plans.common import ascii_text_lines, masked_log, split_log
 from logweave.plans.registry import register
-from logweave.sources.logformat import compile_format, load_rate, split_content, split_with_load_rate
+from logweave.sources.logformat import compile_format, content_tokens, load_rate, split_content, split_with_load_rate
 from logweave.sources.tables import LOG_LINES_FORMAT, log_lines, text_lines
 
 LL = S.log_lines_cte()
@@ -147,14 +147,22 @@ def q_user_mask(spark, sf):
     return s.select("line_id", c.alias("masked"))
 
 
-@register("general_mask", S.with_(TL, TLA) + f"""
-SELECT line_id, {S.rx_replace(S.rx_replace("' ' || value", M.GENERAL_MASKS[0], '<*>'), M.GENERAL_MASKS[1], '<*>')}
-       AS masked FROM text_ascii""")
+@register("general_mask", S.with_(TL, TLA) + f"SELECT line_id, {S.general_masks_sql('value')} AS masked FROM text_ascii")
 def q_general_mask(spark, sf):
-    """url/IP general masks (the look-behind number mask is checked by pytest: RE2 lacks it)."""
-    t = ascii_text_lines(spark, sf)
-    return t.select("line_id", M.mask_user(F.concat(F.lit(" "), F.col("value")), M.GENERAL_MASKS[:2])
-                    .alias("masked"))
+    """A blank before the line, then the host, address and number masks."""
+    return ascii_text_lines(spark, sf).select("line_id", M.mask_general(F.col("value")).alias("masked"))
+
+
+ERROR_FORMAT = "<Date> <Time> <Pid> ERROR <Component>: <Content>"
+
+
+@register("content_tokens", S.with_(S.log_lines_cte(), S.split_cte("errors", "log_lines", ERROR_FORMAT)) + f"""
+SELECT l.line_id, array_to_string({S.tokens_sql(S.general_masks_sql('e."Content"'))}, ' ') AS tokens
+FROM log_lines l LEFT JOIN errors e USING (line_id)""")
+def q_content_tokens(spark, sf):
+    """Content, general masks, tokens of every line; NULL where the line is not of the format (here: no error)."""
+    lines = log_lines(spark, sf).select("line_id", "value")
+    return content_tokens(lines, ERROR_FORMAT).select("line_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @register("collapse_wildcards", S.with_(TL, TLA) + f"""

@@ -115,9 +115,22 @@ def number_masks_sql(expr: str) -> str:
     and digits at the end."""
     out = rx_replace(expr, r"blk_-?\d+", "<*>")
     out = rx_replace(out, r"(\d+\.){3}\d+(:\d+)?", "<*>")
+    return whole_numbers_sql(out)
+
+
+def whole_numbers_sql(expr: str) -> str:
+    """Whole numbers between non-alphanumerics (twice, as neighbours share one) and digits at the end, without
+    look-around; a masked number stands as chr(2) until the end, for it counts as alphanumeric to its neighbours."""
     for _ in range(2):
-        out = rx_replace(out, r"([^A-Za-z0-9])-?\+?\d+([^A-Za-z0-9])", r"\1<*>\2")
-    return rx_replace(out, "[0-9]+$", "<*>")
+        expr = rx_replace(expr, r"([^A-Za-z0-9\x02])-?\+?\d+([^A-Za-z0-9\x02])", "\\1\x02\\2")
+    return f"replace({rx_replace(expr, '[0-9]+$', '<*>')}, chr(2), '<*>')"
+
+
+def general_masks_sql(expr: str) -> str:
+    """A blank before the message, then host:port, addresses and whole numbers."""
+    out = rx_replace(f"' ' || {expr}", r"([\w-]+\.)+[\w-]+(:\d+)", "<*>")
+    out = rx_replace(out, r"(/|)([0-9]+\.){3}[0-9]+(:[0-9]+|)(:|)", "<*>")
+    return whole_numbers_sql(out)
 
 
 def threshold_sql(n: str) -> str:

@@ -16,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.functions.masks import mask_non_ascii
+from logweave.functions.masks import mask_general, mask_non_ascii
+from logweave.functions.tokens import tokenize
 
 _HEADER = re.compile(r"(<[^<>]+>)")
 
@@ -198,3 +199,10 @@ def split_content(df: DataFrame, log_format: str, col: str = "value",
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """Only the ``Content`` header (column pruning of S2)."""
     return split_format(df, log_format, col, keep, headers=("Content",))
+
+
+def content_tokens(df: DataFrame, log_format: str, col: str = "value", user_masks: tuple[str, ...] = ()) -> DataFrame:
+    """S4 whole: adds ``tokens`` of the masked content of every line; NULL where the line does not match."""
+    fmt = compile_format(log_format)
+    found = F.when(py_strip(F.col(col)).rlike(fmt.pattern), F.regexp_extract(py_strip(F.col(col)), fmt.pattern, fmt.group_of("Content")))
+    return df.withColumn("tokens", tokenize(mask_general(found, user_masks)))
