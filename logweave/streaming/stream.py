@@ -1,12 +1,12 @@
 """Structured Streaming forms of the online operators.
 
 * G1 stream split + mask: stateless projection on the file stream.
-* G2 stream mining: ``foreachBatch`` adds the batch's new distinct messages to a
-  table in the shared checkpoint folder and clusters, with the batch miner, the
-  messages of the token counts that the batch holds.  Emits (line_id, template as
-  of the batch); a message that is a third of all lines is one row of the table.
-* G3 online n-gram: ``foreachBatch`` adds the batch's gram counts as a new part of
-  a stored table, then scores the batch against the sums as of the batch end.
+* G2 stream mining: clustering in line order within a batch, batches in order of arrival;
+  clusters and branches as of each batch are a table of their own version, read by the
+  next.  Emits (line_id, template as of the batch); work follows the batch and the clusters,
+  not the lines seen.
+* G3 online n-gram: ``foreachBatch`` adds the batch's gram counts to the counts as of the
+  batch before, written as a new version, and scores the batch against it.
 * G4 warm-up masks: seen mask types and the number of lines so far are carried from
   batch to batch until the warm-up is full; later lines run the pruned chain.
 * G5 stream–static template match: ``foreachBatch`` runs the M3 match join of
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from logweave.functions.masks import MASK_ORDER, detect_mask_types, mask_types
 from logweave.functions.tokens import tokenize
 from logweave.operators import ngram as N
-from logweave.operators.fixed_depth import cluster_messages
+from logweave.operators.greedy import mine_batch
 from logweave.operators.matching import key_kinds, match_prepared, prepare_templates
 from logweave.session import checkpoint_dir
 from logweave.sources.logformat import split_format
@@ -99,29 +99,20 @@ def stream_match(spark: SparkSession, sf_dir: str, templates: DataFrame) -> Data
     return _drain(q, f"{base}/out", spark).drop("batch")
 
 
-def _parts(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """The parts ``batch=0`` to ``batch=batch_id`` of a stored table; a missing part is an error."""
-    return spark.read.parquet(*[f"{path}/batch={i}" for i in range(batch_id + 1)])
-
-
 def stream_mine(spark: SparkSession, sf_dir: str, depth: int = 4, st: float = 0.4, max_child: int = 100) -> DataFrame:
-    """Streaming fixed-depth mining over the distinct messages seen so far."""
+    """Streaming fixed-depth mining; clusters and branches as of the last batch are carried on."""
     base = run_dir(spark, "mine")
     lines = split_format(stream_log_lines(event_stream(spark, sf_dir)), LOG_LINES_FORMAT, keep=("line_id",))
     toks = lines.select("line_id", tokenize(mask_types(F.col("Content"))).alias("tokens"))
 
     def process(batch: DataFrame, batch_id: int) -> DataFrame:
         s = batch.sparkSession
-        path = f"{base}/messages"
-        seen = batch.groupBy("tokens").agg(F.min("line_id").alias("first_line_id"))
-        if batch_id:
-            seen = seen.join(_parts(s, path, batch_id - 1), "tokens", "left_anti")
-        seen.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        known = _parts(s, path, batch_id)
-        touched = batch.select(F.size("tokens").alias("n")).distinct()
-        known = known.join(touched, F.size("tokens") == F.col("n"), "left_semi")
-        mined = cluster_messages(known, depth, st, max_child)
-        return batch.join(mined.select("tokens", "event_template"), "tokens").select("line_id", "event_template")
+        state = lambda name, i: f"{base}/{name}/v{i}"
+        known = {k: s.read.parquet(state(k, batch_id - 1)) for k in ("templates", "branches")} if batch_id else None
+        mined, after = mine_batch(batch, F.col("tokens"), "line_id", depth, st, max_child, known, batch_id)
+        for k, df in after.items():
+            df.write.mode("overwrite").parquet(state(k, batch_id))
+        return mined.select("line_id", "event_template")
 
     q = (toks.writeStream.foreachBatch(_batch_writer(base, process))
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
@@ -129,7 +120,8 @@ def stream_mine(spark: SparkSession, sf_dir: str, depth: int = 4, st: float = 0.
 
 
 def stream_ngram(spark: SparkSession, sf_dir: str, threshold: float = N.DEFAULT_THRESHOLD) -> DataFrame:
-    """Online n-gram — the batch's counts stored as a part, the batch scored against all parts."""
+    """Online n-gram — the batch's counts are added to the table of all grams so far (one row a
+    gram), and the batch is scored against it."""
     base = run_dir(spark, "ngram")
     lines = split_format(stream_log_lines(event_stream(spark, sf_dir)), LOG_LINES_FORMAT, keep=("line_id",))
     keys = {"uni": (["w"], "c1"), "bi": (["w1", "w2"], "c2"), "tri": (["w1", "w2", "w3"], "c3")}
@@ -141,8 +133,11 @@ def stream_ngram(spark: SparkSession, sf_dir: str, threshold: float = N.DEFAULT_
         ex = N.exploded_grams(msgs)
         sums = []
         for (name, (cols, count)), d in zip(keys.items(), N.gram_counts(ex), strict=True):
-            d.write.mode("overwrite").parquet(f"{base}/counts/{name}/batch={batch_id}")
-            sums.append(_parts(s, f"{base}/counts/{name}", batch_id).groupBy(*cols).agg(F.sum(count).alias(count)))
+            if batch_id:
+                before = s.read.parquet(f"{base}/counts/{name}/v{batch_id - 1}")
+                d = before.unionByName(d.select(*before.columns)).groupBy(*cols).agg(F.sum(count).alias(count))
+            d.write.mode("overwrite").parquet(f"{base}/counts/{name}/v{batch_id}")
+            sums.append(s.read.parquet(f"{base}/counts/{name}/v{batch_id}"))
         fbi, ftri = N.gram_ratios(*sums)
         flags = N.fold_dynamic(N.score_positions(ex, fbi, ftri), threshold)
         m = msgs.join(flags, "msg_key", "left").select(
