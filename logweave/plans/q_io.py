@@ -20,8 +20,8 @@ from logweave.plans.q_mine import TYPE_TOKS, _greedy_sql
 from logweave.plans.registry import register
 from logweave.session import checkpoint_dir
 from logweave.sources.files import read_csv_table, read_trace, write_table
-from logweave.sources.logformat import read_text_log, split_format
-from logweave.sources.registry import settings
+from logweave.sources.logformat import compile_format, read_text_log, split_format
+from logweave.sources.registry import layout_frame, settings, split_by_layout
 from logweave.sources.tables import LOG_LINES_FORMAT, log_lines
 from logweave.streaming import stream as G
 
@@ -79,6 +79,41 @@ def q_registry(spark, sf):
     return s.select("line_id", mask_user(F.col("Content"), HDFS.masks).alias("masked"))
 
 
+# the log's lines written in seven layouts: SQL that runs on both sides, over the header columns
+LAYOUTS = {
+    "HDFS": """ "Date" || ' ' || "Time" || ' ' || "Pid" || ' ' || "Level" || ' ' || "Component" || ': ' || "Content" """,
+    "Spark": """ "Date" || ' ' || "Time" || ' ' || "Level" || ' ' || "Component" || ': ' || "Content" """,
+    "HPC": """ 'L' || "Pid" || ' node ' || "Component" || ' up ' || "Time" || ' 1 ' || "Content" """,
+    "Apache": """ '[' || "Date" || ' ' || "Time" || '] [' || "Level" || '] ' || "Content" """,
+    "Proxifier": """ '[' || "Time" || '] ' || "Component" || ' - ' || "Content" """,
+    "Linux": """ 'Jan 12 ' || "Time" || ' ' || "Level" || ' ' || "Component" || CASE WHEN line_id % 2 = 0 THEN '[' || "Pid" || ']' ELSE '' END || ': ' || "Content" """,
+    "HealthApp": """ "Time" || '|' || "Component" || '|' || "Pid" || '|' || "Content" """,
+}
+
+
+def _layouts_sql():
+    ctes, picks = [S.log_lines_cte(), S.split_cte()], []
+    for i, (name, text) in enumerate(LAYOUTS.items()):
+        f = settings(name)
+        optional = [h for h, o in zip(compile_format(f.log_format).headers, compile_format(f.log_format).optional, strict=True) if o]
+        ctes += [f"v{i} AS (SELECT line_id, {text} AS value FROM split)", S.split_cte(f"s{i}", f"v{i}", f.log_format, keep=("line_id",))]
+        masked = '"Content"'
+        for m in f.masks:
+            masked = S.rx_replace(masked, m, "<*>")
+        extra = f'"{optional[0]}"' if optional else "CAST(NULL AS VARCHAR)"
+        picks.append(f"SELECT '{name}' AS dataset, line_id, \"Content\" AS content, {extra} AS optional, {masked} AS masked, {f.st} AS st FROM s{i}")
+    return S.with_(*ctes) + " UNION ALL ".join(picks)
+
+
+@register("multi_format_split", _layouts_sql())
+def q_multi_format(spark, sf):
+    """Lines of seven layouts, one with an optional group, split and masked in one plan by the registry's columns."""
+    s = split_log(spark, sf)
+    forms = F.array(*[F.struct(F.lit(k).alias("dataset"), F.expr(v.replace('"', "`")).alias("value")) for k, v in LAYOUTS.items()])
+    lines = s.select("line_id", F.explode(forms).alias("x")).select("line_id", "x.dataset", "x.value")
+    return split_by_layout(lines, layout_frame(spark)).select("dataset", "line_id", "content", "optional", "masked", "st")
+
+
 @register("trace_source", S.with_(*LOGM) + """
 , firsts AS (SELECT template, min(line_id) AS first_line FROM masked GROUP BY template)
 SELECT f.first_line AS iter, CAST(0 AS BIGINT) AS k, m.content AS log, f.template AS template

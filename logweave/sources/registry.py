@@ -10,6 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logweave.sources.logformat import compile_format, py_strip
 
 
 @dataclass(frozen=True)
@@ -67,3 +70,30 @@ def registry_frame(spark: SparkSession) -> DataFrame:
     rows = [(k, v.log_format, list(v.masks), float(v.st), int(v.depth)) for k, v in DATASETS.items()]
     return spark.createDataFrame(rows, "dataset string, log_format string, masks array<string>, st double, "
                                        "depth int")
+
+
+def layout_frame(spark: SparkSession) -> DataFrame:
+    """One row per dataset: the split pattern, the group of the content and of the optional header (0: none),
+    user masks and miner settings, as columns to join lines with."""
+    rows = []
+    for name, d in DATASETS.items():
+        f = compile_format(d.log_format)
+        optional = [g for g, o in zip(f.groups, f.optional, strict=True) if o]
+        rows.append((name, f.pattern, f.group_of("Content"), optional[0] if optional else 0, list(d.masks), float(d.st), int(d.depth)))
+    return spark.createDataFrame(rows, "dataset string, pattern string, content_group int, optional_group int, masks array<string>, st double, depth int")
+
+
+def split_by_layout(lines: DataFrame, layouts: DataFrame, value: str = "value", dataset: str = "dataset") -> DataFrame:
+    """Lines of many formats in one plan: adds ``content`` and ``optional`` (NULL where absent), ``masked``
+    by the dataset's masks in order, ``st`` and ``depth``; lines that do not match their format go.
+
+    The layouts are a table of a row per dataset, so the join is a broadcast by its size.
+    """
+    d = lines.join(layouts.withColumnRenamed("dataset", "_dataset"), F.col(dataset) == F.col("_dataset"))
+    line = py_strip(F.col(value))
+    d = d.where(F.regexp_like(line, F.col("pattern")))
+    d = d.withColumn("content", F.call_function("regexp_extract", line, F.col("pattern"), F.col("content_group")))
+    extra = F.call_function("regexp_extract", line, F.col("pattern"), F.col("optional_group"))
+    d = d.withColumn("optional", F.when((F.col("optional_group") > 0) & (extra != ""), extra))
+    masked = F.aggregate("masks", F.col("content"), lambda text, mask: F.regexp_replace(text, mask, F.lit("<*>")))
+    return d.withColumn("masked", masked).select(*lines.columns, "content", "optional", "masked", "st", "depth")
