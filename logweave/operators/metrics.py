@@ -20,13 +20,14 @@ Semantics kept from the reference:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.tokens import is_abstract, wildcard_equal
 from logweave.operators.matching import dense_index
+from logweave.session import written
 
 R = 6  # decimals of the reported metrics
 
@@ -109,6 +110,31 @@ def quality(cont: DataFrame, groups: Sequence[str] = (), filter_templates: DataF
         F.round(pta, R).alias("pta"), F.round(rta, R).alias("rta"), F.round(_f1(pta, rta), R).alias("fta"))
 
 
+def evaluate_miners(lines: DataFrame, miners: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame | None] | None]],
+                    key: str = "line_id", truth: str = "truth_template") -> DataFrame:
+    """A10: a row of ``quality`` per miner, NULLs for a miner without output.
+
+    A miner takes the lines without their truth and gives (lines with ``key`` and
+    ``event_template``, templates), or None.  A line that it leaves out counts as parsed to
+    the empty template; a miner that gives no line at all has no output.
+    """
+    known = lines.select(key, F.col(truth).alias("truth"))
+    parsed = None
+    for name, miner in miners.items():
+        found = miner(lines.drop(truth))
+        if found is None:
+            continue
+        out = written(found[0].select(key, F.coalesce("event_template", F.lit("")).alias("parsed")))
+        if out.limit(1).count() == 0:
+            continue
+        rows = known.join(out, key, "left").select(F.lit(name).alias("dataset"), key, "truth", F.coalesce("parsed", F.lit("")).alias("parsed"))
+        parsed = rows if parsed is None else parsed.unionByName(rows)
+    names = lines.sparkSession.createDataFrame([(m,) for m in miners], "dataset string")
+    if parsed is None:
+        return names
+    return names.join(quality(contingency(parsed, ["dataset"]), ["dataset"]), "dataset", "left")
+
+
 def wildcard_quality(cont: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """PA and FTA where wildcard-holding tokens count as ``<*>``."""
     g = list(groups)

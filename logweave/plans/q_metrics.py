@@ -79,6 +79,22 @@ def q_quality(spark, sf):
     return A.quality(contingency(spark, sf), G)
 
 
+@register("evaluate_miners", QUALITY + ", q AS (" + _quality_select().strip() + """)
+SELECT m.dataset, q.* EXCLUDE (dataset) FROM (SELECT unnest(['masked', 'ngram', 'silent', 'failed']) AS dataset) m LEFT JOIN q USING (dataset)""")
+def q_evaluate_miners(spark, sf):
+    """A10: four miners through one protocol, two of them without output."""
+    lines = cut_lineage(split_log(spark, sf).select("line_id", "truth_template", "Content"))
+    tokens = tokenize(mask_types(F.col("Content")))
+
+    def masked(df):
+        return df.select("line_id", F.array_join(tokens, " ").alias("event_template")), None
+
+    def ngram(df):
+        return N.ngram_parse(df, "Content", masker=lambda c: mask_types(c))
+
+    return A.evaluate_miners(lines, {"masked": masked, "ngram": ngram, "silent": lambda df: (masked(df)[0].limit(0), None), "failed": lambda df: None})
+
+
 @register("metric_summary", QUALITY + _quality_select(3))
 def q_summary(spark, sf):
     q = A.quality(contingency(spark, sf), G)
