@@ -18,7 +18,7 @@ from logweave.plans.q_ngram import GRAMS, LOG_TOK, SCORE, _flags_ctes
 from logweave.plans.q_sources import _estimate_sql
 from logweave.plans.q_mine import TYPE_TOKS, _greedy_sql
 from logweave.plans.registry import register
-from logweave.session import checkpoint_dir
+from logweave.session import checkpoint_dir, written
 from logweave.sources.files import read_csv_table, read_trace, write_table
 from logweave.sources.logformat import compile_format, read_text_log, split_format
 from logweave.sources.registry import layout_frame, settings, split_by_layout
@@ -67,6 +67,32 @@ def q_csv(spark, sf):
     return read_csv_table(spark, path)
 
 
+@register("csv_first_rows", S.with_(*LOGM) + """
+SELECT CAST(line_id AS VARCHAR) AS "LineId", '"' || template AS "EventTemplate" FROM masked ORDER BY line_id LIMIT 2000""")
+def q_csv_first(spark, sf):
+    """A structured log in CSV parts by line range, read without quoting, the first 2,000 rows."""
+    path = _scratch(spark, "structured-csv")
+    m = masked_log(spark, sf).select("line_id", F.concat(F.col("line_id").cast("string"), F.lit(',"'), F.col("template")).alias("value"))
+    parts = m.repartitionByRange("line_id").sortWithinPartitions("line_id").withColumn("part", F.spark_partition_id())
+    head = parts.select("part").distinct().select("part", F.lit(-1).cast("long").alias("line_id"), F.lit("LineId,EventTemplate").alias("value"))
+    rows = written(parts).unionByName(head, allowMissingColumns=True)
+    rows.repartition("part").sortWithinPartitions("part", "line_id").select("part", "value").write.partitionBy("part").text(path)
+    return read_csv_table(spark, path, quoting=False, n_rows=2000).select("LineId", "EventTemplate")
+
+
+@register("append_partitioned", S.with_(*LOGM) + """
+, r AS (SELECT 'parsed' AS run, template AS t FROM masked UNION ALL SELECT 'truth', truth_template FROM masked)
+SELECT run, t AS event_template, count(*) AS occurrences FROM r GROUP BY ALL""")
+def q_append(spark, sf):
+    """Two summaries appended to one table partitioned by run, read back."""
+    path = _scratch(spark, "summaries")
+    m = written(masked_log(spark, sf))
+    for run, col in (("parsed", "template"), ("truth", "truth_template")):
+        counts = m.groupBy(F.col(col).alias("event_template")).agg(F.count(F.lit(1)).alias("occurrences"))
+        write_table(counts.withColumn("run", F.lit(run)), path, mode="append", partition_by=("run",))
+    return spark.read.parquet(path).select("run", "event_template", "occurrences")
+
+
 HDFS = settings("HDFS")
 
 

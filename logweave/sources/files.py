@@ -34,24 +34,23 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 def read_csv_table(spark: SparkSession, path: str, quoting: bool = True, header_row: int = 1,
                    n_rows: int | None = None) -> DataFrame:
     """CSV with a header, all columns as strings (``dtype=str``), optional no-quoting
-    and row limit.  ``header_row=2`` skips one leading line before the header."""
-    r = spark.read.option("header", True).option("multiLine", quoting).option("escape", '"')
-    if not quoting:
-        r = r.option("quote", "\u0000")
-    if header_row == 2:
-        # the first physical line of every file goes; the next one is the header
-        lines = numbered_lines(spark, path).where((F.col("block") > 0) | (F.col("nth") > 0))
-        head = lines.where((F.col("block") == 0) & (F.col("nth") == 1)).select("value").first()
-        if head is None:
-            return spark.createDataFrame([], "value string")
-        names = next(csv.reader([head[0]], quoting=csv.QUOTE_MINIMAL if quoting else csv.QUOTE_NONE))
-        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-        body = lines.where((F.col("block") > 0) | (F.col("nth") > 1))
-        df = body.select(F.from_csv("value", F.lit(schema), {"escape": '"'} if quoting else {"quote": "\u0000"}).alias("r")).select("r.*")
-    else:
-        df = r.csv(path)
-    df = df.select(*[F.col(c).cast("string") for c in df.columns])
-    return df.limit(n_rows) if n_rows is not None else df
+    and row limit.  ``header_row=2`` skips one leading line before the header; ``n_rows``
+    keeps the first rows in order of file and line.  In both cases a row is one line."""
+    quotes = {"escape": '"'} if quoting else {"quote": "\u0000"}
+    if header_row == 1 and n_rows is None:
+        df = spark.read.option("header", True).option("multiLine", quoting).options(**quotes).csv(path)
+        return df.select(*[F.col(c).cast("string") for c in df.columns])
+    # the first ``header_row`` physical lines of every file go, the last of them names the columns
+    lines = numbered_lines(spark, path)
+    head = lines.where((F.col("block") == 0) & (F.col("nth") == header_row - 1)).select("value").first()
+    if head is None:
+        return spark.createDataFrame([], "value string")
+    names = next(csv.reader([head[0]], quoting=csv.QUOTE_MINIMAL if quoting else csv.QUOTE_NONE))
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    body = lines.where((F.col("block") > 0) | (F.col("nth") >= header_row))
+    if n_rows is not None:
+        body = body.orderBy("file", "block", "nth").limit(n_rows)
+    return body.select(F.from_csv("value", F.lit(schema), quotes).alias("r")).select("r.*")
 
 
 def read_trace(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:

@@ -20,3 +20,12 @@ def test_line_ids_follow_file_order(spark, tmp_path):
     assert got == ["a0", "a1", *[f"b{i}" for i in range(5000)]]
     ids = sorted(r.raw_line_id for r in read_text_log(spark, str(tmp_path)).collect())
     assert ids == list(range(5002))
+
+
+def test_first_rows_without_quoting(spark, tmp_path):
+    """Quotes are text, and rows come in order of file and line."""
+    (tmp_path / "a.csv").write_text('Id,"Text\n1,"x\n2,y"\n')
+    (tmp_path / "b.csv").write_text('Id,"Text\n3,z\n4,w\n')
+    got = read_csv_table(spark, str(tmp_path), quoting=False, n_rows=3)
+    assert got.columns == ["Id", '"Text'] and sorted(map(tuple, got.collect())) == [("1", '"x'), ("2", 'y"'), ("3", "z")]
+    assert read_csv_table(spark, str(tmp_path), quoting=False).count() == 4
