@@ -199,14 +199,20 @@ def q_jaccard(spark, sf):
 
 
 def _same_len_pairs_sql() -> str:
-    return TEXT_PAIRS + f""", tl AS (SELECT line_id, {S.tokens_sql('t1')} AS a, {S.tokens_sql('t2')} AS b FROM tp),
+    return TEXT_PAIRS + f""", {S.log_lines_cte()}, {S.split_cte()}, {S.masked_log_cte()},
+tl AS (SELECT line_id, {S.tokens_sql('t1')} AS a, {S.tokens_sql('t2')} AS b FROM tp
+  UNION ALL SELECT -1 - line_id, {S.tokens_sql('truth_template')}, {S.tokens_sql('content')} FROM masked),
 sl AS (SELECT * FROM tl WHERE len(a) = len(b) AND len(a) > 0)
 """
 
 
 def _same_len_pairs(spark, sf):
+    """Neighbouring text templates, and every log line with its template (ids below 0), of equal token counts."""
     p = text_pairs(spark, sf).select("line_id", T.tokenize(F.col("t1")).alias("a"),
                                      T.tokenize(F.col("t2")).alias("b"))
+    m = masked_log(spark, sf)
+    p = p.unionByName(m.select((-1 - F.col("line_id")).alias("line_id"), T.tokenize(F.col("truth_template")).alias("a"),
+                               T.tokenize(F.col("content")).alias("b")))
     return p.where((F.size("a") == F.size("b")) & (F.size("a") > 0))
 
 

@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 from logweave.functions.masks import mask_types
 from logweave.functions.tokens import tokenize
 from logweave.operators import greedy
-from logweave.operators.greedy import mine_in_order, needed
+from logweave.operators.greedy import mine_batch, mine_in_order, needed
 from logweave.plans.common import masked_text
 
 W = "<*>"
@@ -97,6 +97,18 @@ def test_a_message_may_change_its_cluster(spark):
     assert result(mine_in_order(table(spark, rows), F.col("tokens"), st=0.6)) == one_pass(rows, 0.6)
 
 
+def test_batches_carry_what_is_known(spark):
+    """Three batches, the last with lower line numbers: as one pass in order of arrival."""
+    rows = random_rows(5, 150, 6)
+    parts = [rows[60:100], rows[100:], rows[:60]]
+    known, seen = None, []
+    for i, part in enumerate(parts):
+        df, known = mine_batch(table(spark, part), F.col("tokens"), max_child=3, known=known, batch=i)
+        seen += part
+        exp = one_pass(seen, max_child=3)
+        assert result(df) == {line: exp[line] for line, _ in part}
+
+
 def test_edge_tables(spark):
     empty = table(spark, []).select("line_id", "tokens")
     assert mine_in_order(empty, F.col("tokens")).collect() == []

@@ -8,7 +8,8 @@ from logweave.functions.tokens import tokenize
 from logweave.plans.common import masked_log, split_log
 from logweave.plans.q_ngram import q_ngram_templates
 from logweave.streaming import stream as G
-from test_miners import _naive_ngram, mined
+from test_greedy import one_pass
+from test_miners import _naive_ngram
 
 
 def test_stream_mask_equals_batch(spark):
@@ -40,16 +41,16 @@ def batches(spark, folder):
     return [{r[0] for r in spark.read.parquet(f).select("event_id").collect()} for f in files]
 
 
-def test_stream_mine_is_the_batch_miner_as_of_each_batch(spark, tmp_path):
+def test_stream_mine_is_a_pass_over_all_batches_so_far(spark, tmp_path):
     d = str(tmp_path)
     three_files(spark, d)
     got = {r.line_id: r.event_template for r in G.stream_mine(spark, d).collect()}
-    rows = [(r.line_id, tuple(r.tokens)) for r in split_log(spark, SF_SMALL).select(
-        "line_id", tokenize(mask_types(F.col("Content"))).alias("tokens")).collect()]
-    seen, exp = set(), {}
+    rows = {r.line_id: tuple(r.tokens) for r in split_log(spark, SF_SMALL).select(
+        "line_id", tokenize(mask_types(F.col("Content"))).alias("tokens")).collect()}
+    seen, exp = [], {}
     for ids in batches(spark, d):
-        seen |= ids
-        known = mined([r for r in rows if r[0] in seen])
+        seen += [(i, rows[i]) for i in sorted(ids)]
+        known = one_pass(seen)
         exp.update({i: known[i] for i in ids})
     assert got == exp
 
