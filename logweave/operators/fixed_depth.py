@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from logweave.functions.masks import mask_user
 from logweave.functions.tokens import WILDCARD, pad_for_rotation, rotate, tokenize, unrotate_template
+from logweave.operators.greedy import mine_batch
+from logweave.operators.matching import dense_index
 from logweave.operators.position_split import SEP, cluster_groups
-from logweave.session import cut_lineage
+from logweave.session import cut_lineage, written
 
 
 def message_id():
@@ -88,3 +90,49 @@ def mine_rotated(df: DataFrame, content: str = "content", masks=(), rotations=(0
                                          F.array_join(F.slice(back, 1, F.greatest(F.size("tok"), F.lit(1))), " ").alias("event_template"))
         votes = t if votes is None else votes.unionByName(t)
     return vote(votes, key)
+
+
+def first_of_two(templates):
+    """Of a line's templates in order of rotation: the most frequent one; if the second is as frequent
+    (of more, the earliest two count), the one with more wildcards, then the earlier."""
+    kinds = F.array_distinct(templates)
+    counted = F.transform(kinds, lambda t, i: F.struct((-F.size(F.filter(templates, lambda x: x == t))).alias("less"), i.alias("i"), t.alias("t")))
+    two = F.slice(F.array_sort(counted), 1, 2)
+    wild = lambda x: F.size(F.split(x["t"], r"<\*>"))
+    a, b = F.get(two, 0), F.get(two, 1)
+    return F.when((F.size(two) > 1) & (a["less"] == b["less"]) & (wild(b) > wild(a)), b["t"]).otherwise(a["t"])
+
+
+def mine_rotated_in_order(df: DataFrame, content: str = "content", masks=(), rotations: int = 3, batch_size: int = 2000,
+                          depth: int = 4, st: float = 0.4, max_child: int = 100, key: str = "line_id") -> DataFrame:
+    """C4 as a pass finds it: (key, event_template).
+
+    Rotation by rotation and batch by batch of ``batch_size`` lines, the distinct messages of a batch in
+    an order seeded by the rotation (here of a hash) join one set of clusters, which is carried on over all
+    batches and rotations.  A line's template in a rotation is that, at its end, of the youngest cluster
+    that the line has joined so far, rotated back; padding tokens stay.  Of the rotations' templates
+    ``first_of_two`` is taken.  All of it is one ordered clustering of (rotation, batch, message) rows.
+    """
+    lines = written(dense_index(df.select(F.col(key), tokenize(mask_user(F.col(content), masks)).alias("tok")), [F.col(key)], "nth"))
+    rows = None
+    for k in range(rotations):
+        r = lines.select(key, F.floor((F.col("nth") - 1) / batch_size).alias("batch"), F.lit(k).alias("rotation"),
+                         rotate(pad_for_rotation(F.col("tok"), rotations), k).alias("tokens"))
+        rows = r if rows is None else rows.unionByName(r)
+    msgs = rows.select("rotation", "batch", "tokens").distinct()
+    seeded = Window.partitionBy("rotation", "batch").orderBy(F.md5(F.concat_ws(" ", F.col("rotation").cast("string"), F.array_join("tokens", " "))))
+    at = F.shiftleft(F.col("rotation").cast("long"), 54) + F.col("batch") * F.lit(2 * batch_size) + F.row_number().over(seeded)  # at most a batch's messages
+    msgs = written(msgs.withColumn("at", at).withColumn("id", F.md5(F.to_json("tokens"))))
+    found, after = mine_batch(msgs, F.col("tokens"), "at", depth, st, max_child)
+    joined = rows.withColumn("id", F.md5(F.to_json("tokens"))).drop("tokens").join(msgs.select("rotation", "batch", "id", "at"), ["rotation", "batch", "id"]) \
+                 .join(found.select("at", "cluster"), "at").select(key, "rotation", "cluster")
+    picks = written(joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rotation", "cluster"))).alias("j")))  # one per rotation
+    picks = picks.select(key, F.posexplode(F.transform("j", lambda x, i: F.array_max(F.transform(F.slice("j", 1, i + 1), lambda y: y["cluster"])))).alias("rotation", "cluster"))
+    ends = after["versions"].withColumn("rotation", F.explode(F.sequence(F.shiftright("since", 54).cast("int"), F.lit(rotations - 1))))
+    ends = ends.groupBy("cluster", "rotation").agg(F.max_by("template", "since").alias("template"))
+    t = picks.join(ends, ["cluster", "rotation"])
+    last = F.slice("template", F.size("template") - F.col("rotation") + 1, F.col("rotation"))
+    back = F.concat(last, F.slice("template", 1, F.size("template") - F.col("rotation")))
+    t = t.select(key, "rotation", F.array_join(F.when(F.col("rotation") == 0, F.col("template")).otherwise(back), " ").alias("t"))
+    listed = t.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rotation", "t"))), lambda x: x["t"]).alias("ts"))
+    return listed.select(key, first_of_two(F.col("ts")).alias("event_template"))

@@ -110,6 +110,48 @@ def q_mine_rotated(spark, sf):
     return FD.mine_rotated(_content(spark, sf), "content", LOG_MASKS, rotations=(0, 1, 2))
 
 
+def _batched_sql():
+    """The pass over (rotation, batch, message) rows, one of every token count per step; a cluster holds its
+    template as of the end of each rotation, a step changes those of its rotation and the later ones."""
+    padded = "list_concat(toks, CASE WHEN len(toks) < 3 THEN list_transform(range(3 - len(toks) + 1), lambda i: '_') ELSE CAST([] AS VARCHAR[]) END)"
+    rot = " UNION ALL ".join(f"SELECT line_id, {k} AS rot, batch, list_concat(p[{k} + 1:], p[1:{k}]) AS toks FROM pad" for k in range(3))
+    known = "list_contains(list_transform(w.state, lambda c: c.leaf), l.toks[1])"
+    now = "CASE l.rot WHEN 0 THEN c.t0 WHEN 1 THEN c.t1 ELSE c.t2 END"
+    merge = lambda r: f"CASE WHEN rot <= {r} THEN list_transform(c.t{r}, lambda x, j: CASE WHEN x = toks[j] THEN x ELSE '<*>' END) ELSE c.t{r} END"
+    return S.recursive(S.with_(*LOG_TOKS,
+        f"pad AS (SELECT line_id, (row_number() OVER (ORDER BY line_id) - 1) // 2000 AS batch, {padded} AS p FROM lt)",
+        f"rw AS ({rot})",
+        "ms AS (SELECT rot, batch, toks, len(toks) AS n, row_number() OVER (PARTITION BY len(toks) ORDER BY rot, batch, md5(rot || ' ' || array_to_string(toks, ' '))) AS k "
+        "FROM (SELECT DISTINCT rot, batch, toks FROM rw))",
+        f"""bg(n, k, state, hits) USING KEY (n) AS (
+  SELECT DISTINCT n, CAST(0 AS BIGINT), CAST([] AS STRUCT(leaf VARCHAR, t0 VARCHAR[], t1 VARCHAR[], t2 VARCHAR[])[]), CAST([] AS BIGINT[]) FROM ms
+  UNION
+  SELECT n, k, CASE WHEN hit = len(state) + 1 THEN list_append(state, {{'leaf': CASE WHEN known THEN toks[1]
+        WHEN regexp_matches(toks[1], '[0-9]') OR toks[1] = '<*>' OR others >= 99 THEN '<*>' ELSE toks[1] END, 't0': toks, 't1': toks, 't2': toks}})
+      ELSE list_transform(state, lambda c, i: CASE WHEN i = hit THEN {{'leaf': c.leaf, 't0': {merge(0)}, 't1': {merge(1)}, 't2': {merge(2)}}} ELSE c END) END,
+    list_append(hits, hit)
+  FROM (SELECT *, CASE WHEN best.eq / n >= 0.4 THEN best.i ELSE len(state) + 1 END AS hit
+    FROM (SELECT w.n, l.k, l.rot, w.state, w.hits, l.toks, {known} AS known,
+        len(list_filter(list_distinct(list_transform(w.state, lambda c: c.leaf)), lambda x: x <> '<*>')) AS others,
+        list_max(list_filter(list_transform(w.state, lambda c, i: {{
+          'eq': CASE WHEN c.leaf = CASE WHEN {known} THEN l.toks[1] ELSE '<*>' END THEN len(list_filter({now}, lambda x, j: x <> '<*>' AND x = l.toks[j])) ELSE -1 END,
+          'par': len(list_filter({now}, lambda x: x = '<*>')), 'o': -i, 'i': i}}), lambda r: r.eq >= 0)) AS best
+      FROM bg w JOIN ms l ON l.n = w.n AND l.k = w.k + 1)))""",
+        "u AS (SELECT m.rot, m.batch, m.toks, x.n, x.hit FROM (SELECT n, unnest(hits) AS hit, generate_subscripts(hits, 1) AS k FROM bg) x JOIN ms m ON m.n = x.n AND m.k = x.k)",
+        "pk AS (SELECT r.line_id, r.rot, u.n, max(u.hit) OVER (PARTITION BY r.line_id ORDER BY r.rot) AS hit FROM rw r JOIN u ON u.rot = r.rot AND u.batch = r.batch AND u.toks = r.toks)",
+        "tp AS (SELECT line_id, rot, CASE rot WHEN 0 THEN c.t0 WHEN 1 THEN c.t1 ELSE c.t2 END AS t FROM (SELECT pk.*, bg.state[pk.hit] AS c FROM pk JOIN bg USING (n)))",
+        "tt AS (SELECT line_id, rot, array_to_string(CASE WHEN rot = 0 THEN t ELSE list_concat(t[len(t) - rot + 1:], t[1:len(t) - rot]) END, ' ') AS t FROM tp)",
+        "v AS (SELECT line_id, t, count(*) AS c, min(rot) AS r, row_number() OVER (PARTITION BY line_id ORDER BY count(*) DESC, min(rot)) AS o FROM tt GROUP BY line_id, t)",
+        "w AS (SELECT *, max(c) OVER (PARTITION BY line_id) AS most FROM v WHERE o <= 2)")
+        + "SELECT line_id, arg_max(t, {'w': length(t) - length(replace(t, '<*>', '')), 'o': -o}) AS event_template FROM w WHERE c = most GROUP BY line_id")
+
+
+@register("mine_rotated_batches", _batched_sql())
+def q_mine_rotated_batches(spark, sf):
+    """C4 with batches of 2,000 lines, seeded order and clusters carried over all rotations."""
+    return FD.mine_rotated_in_order(_content(spark, sf), "content", LOG_MASKS)
+
+
 DYN = S.threshold_sql("n")
 PASS1 = ("dm AS (SELECT toks, min(line_id) AS first_line, count(*) AS hits, CAST(len(toks) AS VARCHAR) AS grp FROM lt GROUP BY toks)",
          S.split_ctes("dm", DYN, "one"),

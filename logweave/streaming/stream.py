@@ -110,8 +110,8 @@ def stream_mine(spark: SparkSession, sf_dir: str, depth: int = 4, st: float = 0.
         state = lambda name, i: f"{base}/{name}/v{i}"
         known = {k: s.read.parquet(state(k, batch_id - 1)) for k in ("templates", "branches")} if batch_id else None
         mined, after = mine_batch(batch, F.col("tokens"), "line_id", depth, st, max_child, known, batch_id)
-        for k, df in after.items():
-            df.write.mode("overwrite").parquet(state(k, batch_id))
+        for k in ("templates", "branches"):
+            after[k].write.mode("overwrite").parquet(state(k, batch_id))
         return mined.select("line_id", "event_template")
 
     q = (toks.writeStream.foreachBatch(_batch_writer(base, process))
