@@ -190,7 +190,7 @@ def folded(df: DataFrame, fill, rows: int, size: int, level=None) -> np.ndarray:
 
     out = np.zeros((rows * per, BLOCK // 8 if bits else BLOCK), np.uint8)
     merged = df.mapInArrow(partial, "block int, data binary").repartition(F.col("block")).mapInArrow(merge, "block int, data binary")
-    for i, data in merged.toLocalIterator():
+    for i, data in merged.collect():  # one job; compressed, at most ``rows * size`` bytes whatever the input
         out[i] = np.frombuffer(zlib.decompress(bytes(data)), np.uint8)
     return out.reshape(rows, -1)
 
