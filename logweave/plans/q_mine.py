@@ -121,7 +121,7 @@ def _batched_sql():
     return S.recursive(S.with_(*LOG_TOKS,
         f"pad AS (SELECT line_id, (row_number() OVER (ORDER BY line_id) - 1) // 2000 AS batch, {padded} AS p FROM lt)",
         f"rw AS ({rot})",
-        "ms AS (SELECT rot, batch, toks, len(toks) AS n, row_number() OVER (PARTITION BY len(toks) ORDER BY rot, batch, md5(rot || ' ' || array_to_string(toks, ' '))) AS k "
+        "ms AS MATERIALIZED (SELECT rot, batch, toks, len(toks) AS n, row_number() OVER (PARTITION BY len(toks) ORDER BY rot, batch, md5(rot || ' ' || array_to_string(toks, ' '))) AS k "
         "FROM (SELECT DISTINCT rot, batch, toks FROM rw))",
         f"""bg(n, k, state, hits) USING KEY (n) AS (
   SELECT DISTINCT n, CAST(0 AS BIGINT), CAST([] AS STRUCT(leaf VARCHAR, t0 VARCHAR[], t1 VARCHAR[], t2 VARCHAR[])[]), CAST([] AS BIGINT[]) FROM ms
@@ -177,7 +177,7 @@ def _parameter(x):
 
 
 # the pass over all lines, one per step: constants with their line, and the clusters of none with their lines so far
-IN_ORDER = f"""cl AS (SELECT line_id, toks, len(toks) AS n, row_number() OVER (ORDER BY line_id) AS k FROM lt WHERE len(toks) > 0),
+IN_ORDER = f"""cl AS MATERIALIZED (SELECT line_id, toks, len(toks) AS n, row_number() OVER (ORDER BY line_id) AS k FROM lt WHERE len(toks) > 0),
 cg(one, k, known, none) USING KEY (one) AS (
   SELECT 1, CAST(0 AS BIGINT), CAST([] AS STRUCT(c VARCHAR, line BIGINT)[]), CAST([] AS STRUCT(t VARCHAR[], hits BIGINT)[])
   UNION
@@ -248,7 +248,7 @@ def _like(a, b):
     return f"len(list_filter({a}, lambda x, j: x = {b}[j] OR contains(x, '<*>')))"
 
 
-PATHS = f"""pl AS (SELECT l.line_id, l.toks, min(l.line_id) OVER (PARTITION BY t.grp) AS cluster,
+PATHS = f"""pl AS MATERIALIZED (SELECT l.line_id, l.toks, min(l.line_id) OVER (PARTITION BY t.grp) AS cluster,
     row_number() OVER (PARTITION BY t.grp ORDER BY l.line_id) AS k FROM lt l JOIN two t ON l.toks = t.toks),
 pg(cluster, k, paths) USING KEY (cluster) AS (
   SELECT cluster, k, [toks] FROM pl WHERE k = 1

@@ -182,7 +182,7 @@ def greedy_ctes(lines: str, st: str, name: str = "mined") -> str:
     """The sequential pass over ``lines(line_id, toks)``, one line of every token count per step (depth 4, at most
     100 children): the clusters of a count so far are its state, in the order of their opening."""
     leaf_of = f"list_contains(list_transform(w.state, lambda c: c.leaf), l.toks[1])"
-    return f"""{name}_l AS (SELECT line_id, toks, len(toks) AS n, row_number() OVER (PARTITION BY len(toks) ORDER BY line_id) AS k
+    return f"""{name}_l AS MATERIALIZED (SELECT line_id, toks, len(toks) AS n, row_number() OVER (PARTITION BY len(toks) ORDER BY line_id) AS k
   FROM {lines} WHERE len(toks) >= 2),
 {name}_g(n, k, state, hits) USING KEY (n) AS (
   SELECT DISTINCT n, CAST(0 AS BIGINT), CAST([] AS STRUCT(leaf VARCHAR, tpl VARCHAR[])[]), CAST([] AS BIGINT[]) FROM {name}_l
