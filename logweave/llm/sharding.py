@@ -1,7 +1,7 @@
 """Hilbert-curve ordering and equal runs (operator 4), as DataFrame expressions.
 
-Several metadata columns are quantised to cells of about equal row counts (a
-quantile sketch over all rows; text columns by their leading bytes), the cell
+Several metadata columns are quantised to cells of about equal row counts (numbers
+by a quantile sketch over all rows, texts by counts of whole values), the cell
 coordinates give the index on a Hilbert curve, and the rows in curve order are cut
 into runs of equal row counts, at most one apart.  Rows near in all dimensions land
 in the same shard, so files written by shard carry narrow value ranges and readers
@@ -23,7 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.common import let, ranked
+from logweave.llm.common import cut, let, ranked
+from logweave.operators.matching import running_total
 
 BITS = 4
 
@@ -72,25 +73,42 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.floor(at / room).cast("long")
 
 
-def number(df: DataFrame, col: str) -> Column:
-    """A number that keeps the column's order: its value, or its seven leading bytes."""
-    if isinstance(df.schema[col].dataType, T.NumericType):
-        return F.col(col).cast("double")
-    head = F.hex(F.substring(F.encode(F.col(col).cast("string"), "UTF-8"), 1, 7))
-    return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("double")
+def value_marks(df: DataFrame, col: str, cells: int) -> list[tuple[str, int]]:
+    """(least value, cell) of a text column's cells, of about equal row counts, ascending.
+
+    Whole values in string order: a value's cell follows from the rows of all lesser
+    values, a running total over the counts of distinct values.  At most ``cells`` values
+    reach the driver; a frequent value leaves cells empty.
+    """
+    counts = cut(df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n").alias("t")).first().t
+    if not total:
+        return []
+    upto = running_total(counts, [F.col("v")], F.col("n"), "upto")
+    cell = F.floor((F.col("upto") - F.col("n")) * cells / total).cast("int")
+    rows = upto.groupBy(cell.alias("cell")).agg(F.min("v").alias("v")).orderBy("cell").collect()
+    return [(r.v, r.cell) for r in rows]
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
     """Cell numbers 0 to 2 ** bits - 1 of each dimension, of about equal row counts."""
     share = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = df.agg(*[F.percentile_approx(number(df, c), share, 10_000).alias(f"q{k}") for k, c in enumerate(dims)]).first()
+    numeric = [c for c in dims if isinstance(df.schema[c].dataType, T.NumericType)]
+    found = df.agg(*[F.percentile_approx(F.col(c).cast("double"), share, 10_000).alias(f"q{k}") for k, c in enumerate(numeric)]).first() if numeric else ()
 
-    def cell(col: str, quantiles: list | None) -> Column:
+    def below(col: str, quantiles: list | None) -> Column:
         marks = F.lit([float(q) for q in quantiles or []]).cast("array<double>")
-        below = let(number(df, col), lambda v: F.size(F.filter(marks, lambda q: q < v)))
-        return F.when(F.col(col).isNull(), F.lit(0)).otherwise(below)
+        return let(F.col(col).cast("double"), lambda v: F.size(F.filter(marks, lambda q: q < v)))
+
+    def within(col: str) -> Column:
+        marks = value_marks(df, col, 1 << bits)
+        if not marks:
+            return F.lit(0)
+        known = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(c).alias("c")) for v, c in marks])
+        return let(F.col(col).cast("string"), lambda v: F.array_max(F.transform(F.filter(known, lambda m: m["v"] <= v), lambda m: m["c"])))
 
-    return [cell(c, found[k]) for k, c in enumerate(dims)]
+    cells = [below(c, found[numeric.index(c)]) if c in numeric else within(c) for c in dims]
+    return [F.when(F.col(c).isNull(), F.lit(0)).otherwise(at) for c, at in zip(dims, cells, strict=True)]
 
 
 def curve_shards(df: DataFrame, dims: list[str], shards: int, order: list[str], bits: int = BITS) -> DataFrame:

@@ -19,7 +19,7 @@ from logweave.llm.ngramjoin import jaccard_components, one_of_each
 from logweave.llm.pii import permuted_number, permuted_text, pseudonym_report, pseudonymise, reveal
 from logweave.llm.quality import assess, keep_clean
 from logweave.llm.queries import LLM_QUERIES
-from logweave.llm.sharding import curve_shards, hilbert_index, write_shards
+from logweave.llm.sharding import curve_shards, hilbert_index, quantised, write_shards
 
 KEY = "test key"
 
@@ -120,6 +120,19 @@ def test_shards_edge_rows(spark, edge_docs, no_docs, tmp_path):
     assert min(r.k for r in spans) < docs.select("lang").distinct().count()  # a reader by language prunes files
 
 
+def test_text_cells_follow_whole_values(spark):
+    """Values with a long common start, one of them a third of all rows, nulls: cells keep the order of strings."""
+    rows = [(f"https://site{k:02d}.example/a",) for k in range(50) for _ in range(4)] + [("https://site07.example/a",)] * 100 + [(None,)] * 5
+    d = spark.createDataFrame(rows, "source string").repartition(3)
+    got = {r.source: r.c for r in d.select("source", quantised(d, ["source"], 4)[0].alias("c")).distinct().collect()}
+    total, below, exp = 300, 0, {}
+    for v, n in sorted(Counter(r[0] for r in rows if r[0]).items()):
+        exp[v] = below * 16 // total
+        below += n
+    assert got == {**exp, None: 0} and len(set(exp.values())) >= 8
+    assert quantised(d.limit(0), ["source"], 4) is not None and d.limit(0).select(quantised(d.limit(0), ["source"], 4)[0]).collect() == []
+
+
 def test_op4_query(spark, small_rows):
     rows = LLM_QUERIES["op4_hilbert_shards"](spark, SF_SMALL).collect()
     check_shards(rows, 16)
