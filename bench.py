@@ -21,8 +21,8 @@ HEADLINE = [
     "grouping_accuracy",      # two parses scored against truth (GA/PA/FGA/FTA)
     "correct_truth",          # ground-truth correction rules on distinct templates
     "template_match",         # line × template regex match join
-    "mine_fixed",             # fixed-depth clustering by position splitting
-    "mine_dynamic",           # dynamic-threshold clustering
+    "mine_fixed",             # fixed-depth clustering in line order
+    "mine_dynamic",           # dynamic-threshold clustering, constants and paths in line order
     "ngram_online",           # online n-gram (running dictionaries)
 ]
 
