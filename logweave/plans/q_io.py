@@ -73,9 +73,11 @@ def q_csv_first(spark, sf):
     """A structured log in CSV parts by line range, read without quoting, the first 2,000 rows."""
     path = _scratch(spark, "structured-csv")
     m = masked_log(spark, sf).select("line_id", F.concat(F.col("line_id").cast("string"), F.lit(',"'), F.col("template")).alias("value"))
-    parts = m.repartitionByRange("line_id").sortWithinPartitions("line_id").withColumn("part", F.spark_partition_id())
+    parts = m.repartitionByRange("line_id").sortWithinPartitions("line_id").withColumn("part", F.format_string("%08d", F.spark_partition_id()))
+    # parts are numbered once, in the table written: a second evaluation may be cut into other ranges
+    parts = written(parts)
     head = parts.select("part").distinct().select("part", F.lit(-1).cast("long").alias("line_id"), F.lit("LineId,EventTemplate").alias("value"))
-    rows = written(parts).unionByName(head, allowMissingColumns=True)
+    rows = parts.unionByName(head)
     rows.repartition("part").sortWithinPartitions("part", "line_id").select("part", "value").write.partitionBy("part").text(path)
     return read_csv_table(spark, path, quoting=False, n_rows=2000).select("LineId", "EventTemplate")
 

@@ -1,5 +1,6 @@
 """Text and CSV sources over several files."""
 
+from logweave.plans import all_queries
 from logweave.sources.files import read_csv_table
 from logweave.sources.logformat import read_text_log
 
@@ -29,3 +30,22 @@ def test_first_rows_without_quoting(spark, tmp_path):
     got = read_csv_table(spark, str(tmp_path), quoting=False, n_rows=3)
     assert got.columns == ["Id", '"Text'] and sorted(map(tuple, got.collect())) == [("1", '"x'), ("2", 'y"'), ("3", "z")]
     assert read_csv_table(spark, str(tmp_path), quoting=False).count() == 4
+
+
+def test_first_rows_of_parts_cut_by_size(spark, tmp_path):
+    """Every part has its header, however the ranges are cut, and parts come in order of their number."""
+    events = spark.range(6000).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + id) AS ts", "id % 97 AS user_id",
+                                          "CASE WHEN id % 2 = 0 THEN 'error' ELSE 'view' END AS event_type")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    small = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "6000"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        got = all_queries()[0]["csv_first_rows"](spark, str(tmp_path))
+        assert got.columns == ["LineId", "EventTemplate"]
+        assert sorted(int(r.LineId) for r in got.collect()) == list(range(2000))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
