@@ -215,3 +215,11 @@ def test_ngram_closed_form_equals_sequential(spark):
     exp = _naive_ngram([list(r["t"]) for r in tok])
     for r, e in zip(tok, exp):
         assert got[r["line_id"]] == e
+
+
+def test_token_lines_are_kept_for_all_passes(spark):
+    """The masks run once: what the passes over the lines read is a table of tokens."""
+    from conftest import SF_SMALL
+    from logweave.plans.q_mine import _type_tokens
+    lines, msgs = _type_tokens(spark, SF_SMALL)
+    assert not any("events.parquet" in f for d in (lines, msgs) for f in d.inputFiles())
