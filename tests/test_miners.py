@@ -223,3 +223,24 @@ def test_token_lines_are_kept_for_all_passes(spark):
     from logweave.plans.q_mine import _type_tokens
     lines, msgs = _type_tokens(spark, SF_SMALL)
     assert not any("events.parquet" in f for d in (lines, msgs) for f in d.inputFiles())
+
+
+def test_ngram_steps_are_tables(spark):
+    """No step of the n-gram miner keeps the shuffle files of the one before: messages come from a table of their own."""
+    rows = [(i, t) for i, t in enumerate(["a b c", "a b d", "a b c", "x", "", "a b c d e f"] * 3)]
+    lines, m = N.ngram_parse(spark.createDataFrame(rows, "line_id long, Content string"), "Content")
+    assert m.inputFiles() and all("/parsed-" in f for f in m.inputFiles())
+    assert lines.count() == len(rows) and m.agg({"mult": "sum"}).first()[0] == len(rows)
+
+
+def test_running_line_counts(spark):
+    """One row per line and word: the word's occurrences up to and with that line, over buckets of lines."""
+    texts = {3: "a a b", 5: "b", 70_000: "a c a", 70_001: "a", 1 << 33: "c b b a"}
+    occ = spark.createDataFrame([(i, w) for i, t in texts.items() for w in t.split()], "line_id long, w string")
+    got = sorted(map(tuple, N.running_line_counts(occ, ["w"]).select("line_id", "w", "c").collect()))
+    seen, want = {}, []
+    for i, t in sorted(texts.items()):
+        for w in t.split():
+            seen[w] = seen.get(w, 0) + 1
+        want += [(i, w, seen[w]) for w in set(t.split())]
+    assert got == sorted(want)
