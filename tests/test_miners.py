@@ -244,3 +244,10 @@ def test_running_line_counts(spark):
             seen[w] = seen.get(w, 0) + 1
         want += [(i, w, seen[w]) for w in set(t.split())]
     assert got == sorted(want)
+
+
+def test_split_lines_are_kept_for_both_passes(spark):
+    """The masks run once: lines and their messages come from one table of tokens."""
+    df = spark.createDataFrame([(i, f"job {i} done" if i % 2 else "idle since noon") for i in range(20)], "line_id long, content string")
+    got = FD.mine_fixed(df, "content", LOG_MASKS)
+    assert got.inputFiles() and {r.event_template for r in got.collect()} == {"job <*> done", "idle since noon"}
