@@ -9,6 +9,7 @@ from logweave.functions.correct import correct_truth
 from logweave.functions.tokens import valid_value
 from logweave.operators.matching import dense_index, literal_length, match_templates, restrict_lines, \
     wildcard_occurrences
+from logweave.session import written
 
 
 def label_templates(labels: DataFrame, label_col: str | None = None, correct=correct_truth) -> DataFrame:
@@ -49,7 +50,8 @@ def rematch_clean_log(lines: DataFrame, templates: DataFrame, content: str = "co
     templates → (key, content, event_id, event_template); also the final template table."""
     first = match_templates(lines, templates, content, key)
     structured = lines.select(key, content).join(first, key)
-    cleaned = clean_structured(structured, content)
+    # read by the templates and by the restriction, each read twice: the first match runs once
+    cleaned = written(clean_structured(structured, content).select(key, "event_id", "event_template"))
     kept_templates = clean_templates(template_occurrences(cleaned))
     relog = restrict_lines(lines, cleaned, key)
     second = match_templates(relog, kept_templates, content, key)

@@ -13,7 +13,7 @@ from logweave.functions.masks import mask_user
 from logweave.operators.events import event_table
 from logweave.plans import sqlgen as S
 from logweave.plans.common import masked_log, split_log
-from logweave.plans.q_match import TPL, _match_ctes, log_templates
+from logweave.plans.q_match import TPL, _match_ctes, log_templates, parsed_log
 from logweave.plans.q_ngram import GRAMS, LOG_TOK, SCORE, _flags_ctes
 from logweave.plans.q_sources import _estimate_sql
 from logweave.plans.q_mine import TYPE_TOKS, _greedy_sql
@@ -171,7 +171,7 @@ def q_stream_mask(spark, sf):
 @register("stream_match", S.with_(*LOGM, TPL, *_match_ctes("masked", "tpl", "m1")) + """
 SELECT line_id, event_id, event_template FROM m1""")
 def q_stream_match(spark, sf):
-    return G.stream_match(spark, sf, log_templates(spark, sf)).select("line_id", "event_id", "event_template")
+    return G.stream_match(spark, sf, log_templates(parsed_log(spark, sf))).select("line_id", "event_id", "event_template")
 
 
 @register("stream_mine", _greedy_sql(TYPE_TOKS, "lt"))

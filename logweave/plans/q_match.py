@@ -14,21 +14,26 @@ from logweave.plans.common import masked_log
 from logweave.plans.q_correct import TRUTH_PROGRAM
 from logweave.plans.q_tokens import _params_sql, sql_possim, sql_threshold
 from logweave.plans.registry import register
+from logweave.session import written
 from logweave.sources.tables import read_table
 
 LOGM = (S.log_lines_cte(), S.split_cte(), S.masked_log_cte())
 
 
-def log_templates(spark, sf):
+def parsed_log(spark, sf):
+    """The masked parse as a table: read by the lines and by the templates, so that the regex chains run once."""
+    return written(masked_log(spark, sf))
+
+
+def log_templates(m):
     """Template table derived from the data: truth templates ∪ masked-parse templates."""
-    m = masked_log(spark, sf)
     t = m.select(F.col("truth_template").alias("event_template")).unionByName(
         m.select(F.col("template").alias("event_template"))).distinct()
     return t.select(event_id(F.col("event_template")).alias("event_id"), "event_template")
 
 
-def log_content(spark, sf):
-    return masked_log(spark, sf).select("line_id", "content")
+def log_content(m):
+    return m.select("line_id", "content")
 
 
 TPL = ("tpl AS (SELECT DISTINCT substr(md5(t), 1, 8) AS event_id, t AS event_template FROM "
@@ -51,7 +56,8 @@ def _match_ctes(lines: str, tpl: str, name: str) -> tuple[str, ...]:
 @register("template_match", S.with_(*LOGM, TPL, *_match_ctes("masked", "tpl", "m1")) + """
 SELECT line_id, event_id, event_template FROM m1""")
 def q_template_match(spark, sf):
-    return MT.match_templates(log_content(spark, sf), log_templates(spark, sf))
+    m = parsed_log(spark, sf)
+    return MT.match_templates(log_content(m), log_templates(m))
 
 
 @register("template_match_dotall", S.with_(*LOGM, TPL) + """
@@ -63,7 +69,8 @@ c AS (SELECT l.line_id, p.event_id, p.event_template, row_number() OVER (PARTITI
 SELECT l.line_id, c.event_id, c.event_template FROM masked l LEFT JOIN c ON c.line_id = l.line_id AND c.r = 1""")
 def q_template_match_dotall(spark, sf):
     """C3d-style matching: DOTALL full match of the escaped template, wildcard → ``.*?``."""
-    return MT.match_templates(log_content(spark, sf), log_templates(spark, sf), kind="describe")
+    m = parsed_log(spark, sf)
+    return MT.match_templates(log_content(m), log_templates(m), kind="describe")
 
 
 _FS, _FP = sql_possim("t.tt", "m.tokens", "fixed")
@@ -127,10 +134,9 @@ def q_label_templates(spark, sf):
     return L.label_templates(labels, correct=correct_truth).select("event_id", "event_template")
 
 
-def _structured(spark, sf):
-    lines = log_content(spark, sf)
-    m = MT.match_templates(lines, log_templates(spark, sf))
-    return lines.join(m, "line_id")
+def _structured(m):
+    lines = log_content(m)
+    return lines.join(MT.match_templates(lines, log_templates(m)), "line_id")
 
 
 STRUCT = S.with_(*LOGM, TPL, *_match_ctes("masked", "tpl", "m1"))
@@ -140,13 +146,13 @@ CLEAN_WHERE = ("content IS NOT NULL AND content <> 'NONE' AND event_id IS NOT NU
 
 @register("clean_structured", STRUCT + f"SELECT line_id, content, event_id, event_template FROM m1 WHERE {CLEAN_WHERE}")
 def q_clean_structured(spark, sf):
-    return L.clean_structured(_structured(spark, sf)).select("line_id", "content", "event_id", "event_template")
+    return L.clean_structured(_structured(parsed_log(spark, sf))).select("line_id", "content", "event_id", "event_template")
 
 
 @register("clean_templates", STRUCT + f"""
 SELECT event_id, event_template, count(*) AS occurrences FROM m1 WHERE {CLEAN_WHERE} GROUP BY ALL""")
 def q_clean_templates(spark, sf):
-    c = L.clean_structured(_structured(spark, sf))
+    c = L.clean_structured(_structured(parsed_log(spark, sf)))
     return L.clean_templates(L.template_occurrences(c))
 
 
@@ -160,21 +166,24 @@ REMATCH = S.with_(
 
 @register("rematch_clean_log", REMATCH + "SELECT line_id, content, event_id, event_template FROM m2")
 def q_rematch(spark, sf):
-    out, _ = L.rematch_clean_log(log_content(spark, sf), log_templates(spark, sf))
+    m = parsed_log(spark, sf)
+    out, _ = L.rematch_clean_log(log_content(m), log_templates(m))
     return out
 
 
 @register("line_restrict", REMATCH + "SELECT line_id FROM relog")
 def q_line_restrict(spark, sf):
-    c = L.clean_structured(_structured(spark, sf))
-    return MT.restrict_lines(log_content(spark, sf), c).select("line_id")
+    m = parsed_log(spark, sf)
+    c = L.clean_structured(_structured(m))
+    return MT.restrict_lines(log_content(m), c).select("line_id")
 
 
 @register("template_diff", REMATCH + """
 SELECT event_template FROM tpl EXCEPT SELECT event_template FROM m2 WHERE event_template IS NOT NULL""")
 def q_template_diff(spark, sf):
-    _, final = L.rematch_clean_log(log_content(spark, sf), log_templates(spark, sf))
-    return L.template_diff(log_templates(spark, sf), final)
+    m = parsed_log(spark, sf)
+    _, final = L.rematch_clean_log(log_content(m), log_templates(m))
+    return L.template_diff(log_templates(m), final)
 
 
 @register("parameters_matched", STRUCT + """
@@ -187,6 +196,6 @@ FROM pp WHERE event_template IS NOT NULL""")
 def q_params_matched(spark, sf):
     """T5 on the structured output of the match join (the ``keep_para`` column)."""
     from logweave.functions.tokens import extract_parameters
-    s = _structured(spark, sf).where(F.col("event_template").isNotNull())
+    s = _structured(parsed_log(spark, sf)).where(F.col("event_template").isNotNull())
     return s.select("line_id", F.array_join(extract_parameters(F.col("content"), F.col("event_template")), "|")
                     .alias("params"))
