@@ -11,3 +11,9 @@ def test_events_are_read_once(spark, name):
     """What is left to run reads the parsed log, not the events again."""
     files = all_queries()[0][name](spark, SF_SMALL).inputFiles()
     assert files and not any(f.rstrip("/").endswith("events.parquet") for f in files)
+
+
+@pytest.mark.parametrize("name", ["token_jaccard", "abstract_pairs", "unify_ids"])
+def test_documents_are_masked_once(spark, name):
+    files = all_queries()[0][name](spark, SF_SMALL).inputFiles()
+    assert files and not any(f.rstrip("/").endswith("documents.parquet") for f in files)
