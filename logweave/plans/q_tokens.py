@@ -155,8 +155,8 @@ SELECT line_id, CAST((length(template) - length(replace(template, '<*>', ''))) /
        """ + f"list_filter({S.tokens_sql('template')}, lambda x: NOT contains(x, '<*>'))[1]" + """ AS first_constant
 FROM mt""")
 def q_template_features(spark, sf):
-    m = masked_text(spark, sf)
-    tk = T.tokenize(F.col("template"))
+    m = masked_text(spark, sf).select("line_id", "template", T.tokenize(F.col("template")).alias("tokens"))  # read three times below
+    tk = F.col("tokens")
     return m.select("line_id", T.wildcard_count(F.col("template")).cast("long").alias("n_wildcards"),
                     F.size(tk).cast("long").alias("n_tokens"),
                     T.template_length(F.col("template")).cast("long").alias("literal_length"),

@@ -26,6 +26,46 @@ def test_mask_chain_equals_python_re(spark):
         assert r["t"] == py_chain(r["value"], typed=True)
 
 
+HELD = {
+    "url": ["http://a.bc", "see https://www.x-y.org:8/z?q ."],
+    "IPv4_port": ["1.2.3.4", "/10.0.0.1:5 x", "1.2.3"],
+    "host_port": ["a.b:1", "-._:9", "a.b: 1"],
+    "package_host": ["a.b.c", "x-.-.y$z$q@w", "a.b. c", "End. a.b.c"],
+    "IPv6": ["::", "::1", "a::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:", "f:e::d:c", "1:2:3"],
+    "Mac_address": ["0A:1b:2c:3D:4e:5f", "0A-1b-2c-3D-4e-5f"],
+    "time": ["12:34", "12:34:56", "12:34,7", "1:2"],
+    "path": ["a/b", "/a", "<*>/<*>", "a/", "/"],
+    "block": ["blk_1", "blk_-22", "blk-1"],
+    "date": ["2020-01-02", "2020/01/02", "2020-1"],
+    "duration": ["5ms", "5 sec", "5\ts", "<5s", "5 m"],
+    "size": ["5K", "5.", "5. B", "5.1 kb", "5\nG", "12 TB", "5 x"],
+    "numerical": ["-5", "0xff", "0X", "dead", "a1b2", "face", "fac", "+1.5.", "cafebabe"],
+    "weekday_months": ["Mon", "Sunday", "May", "Sept", "Sep", "December", "Maybe", "on Wed, Tue"],
+}
+
+
+def test_a_mask_finds_its_matches_in_every_line_that_is_searched(spark):
+    """Lines are searched by a mask only where they hold what it needs: none that matches may be left out."""
+    lines = [x for xs in HELD.values() for x in xs]
+    lines += [a + sep + b for a in lines for b in lines[::5] for sep in (" ", "", "\n")] + ["", "<*> <*>", "<*><*> <*>", "<*>\n<*>", "plain words"]
+    for t, needs in M.MASK_NEEDS.items():
+        for s in lines:
+            assert re.search(needs, s) or not re.search(M.MASK_PATTERNS[t], s), (t, s)
+    assert set(M.MASK_ORDER) - set(M.MASK_NEEDS) == {"Mac_address"}
+    df = spark.createDataFrame([(x,) for x in [*lines, None]], "s string")
+    one = {t: M.mask_types(F.col("s"), [t], collapse=False) for t in M.MASK_ORDER}
+    for t in M.MASK_ORDER:
+        want = F.regexp_replace("s", M.MASK_PATTERNS[t], "<*>")
+        assert df.where(~one[t].eqNullSafe(want)).count() == 0, t
+    assert df.where(~M.collapse_wildcards(F.col("s")).eqNullSafe(F.regexp_replace("s", M.WILDCARD_RUN, "<*>"))).count() == 0
+    plain = typed = F.col("s")
+    for t in M.MASK_ORDER:
+        plain, typed = F.regexp_replace(plain, M.MASK_PATTERNS[t], "<*>"), F.regexp_replace(typed, M.MASK_PATTERNS[t], M.MASK_TAGS[t])
+    plain, typed = (F.regexp_replace(c, M.WILDCARD_RUN, "<*>") for c in (plain, typed))
+    assert df.where(~M.mask_types(F.col("s")).eqNullSafe(plain)).count() == 0
+    assert df.where(~M.mask_types(F.col("s"), typed=True).eqNullSafe(typed)).count() == 0
+
+
 def test_general_masks_with_lookbehind(spark):
     """The n-gram parser's number mask needs look-behind (no SQL oracle): Java vs Python."""
     rows = split_log(spark, SF_SMALL).select("Content", M.mask_general(F.col("Content")).alias("m")).collect()
