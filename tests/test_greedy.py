@@ -120,3 +120,25 @@ def test_needed_counts(spark):
     for st in (0.1, 0.3, 0.4, 0.5, 2 / 3, 0.7, 0.9):
         got = spark.range(1, 400).select("id", needed(F.col("id"), F.lit(st)).alias("m")).collect()
         assert all(r.m / r.id >= st > (r.m - 1) / r.id for r in got)
+
+
+def test_a_later_line_is_taken_up_where_it_stands(spark, monkeypatch):
+    """A repeated line that changes a cluster leaves what comes before it, and other token counts, as they were."""
+    rows = [(1, tuple("kabcd")), (2, tuple("kaxyz")), (3, tuple("kqbcr")), (4, tuple("kabcd")), (6, tuple("kqbcs")), (7, tuple("kaxyz"))]
+    rows += [(10 + i, tuple(f"{w}{i}" for w in "abcdefghi")) for i in range(5)]
+    runs, cluster, way = [], greedy.cluster_in_order, greedy.way
+
+    def counted(*args, **kwargs):
+        runs.append([])
+        return cluster(*args, **kwargs)
+
+    def seen(undecided, *args):
+        runs[-1].append({(r.line, r.n) for r in undecided.select("line", "n").collect()})
+        return way(undecided, *args)
+
+    monkeypatch.setattr(greedy, "cluster_in_order", counted)
+    monkeypatch.setattr(greedy, "way", seen)
+    assert result(mine_in_order(table(spark, rows), F.col("tokens"))) == one_pass(rows)
+    assert len(runs) > 1
+    assert {n for _, n in runs[0][0]} == {5, 9}
+    assert runs[1][0] == {(4, 5), (6, 5)}
