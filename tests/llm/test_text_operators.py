@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -165,6 +166,16 @@ def test_chains_and_hot_lists(spark):
         assert Counter(tuple(r) for r in jaccard_components(d, 3, percent).collect()) == components(rows, 3, percent)
 
 
+def test_sets_are_let_go(spark, edge_docs, edge_rows, tmp_path, monkeypatch):
+    """The tables of prefixes and sets are gone when the components are there, and these can still be read."""
+    monkeypatch.setattr(ngramjoin, "shared_folder", lambda _, name: str(tmp_path / f"{name}-{uuid.uuid4().hex}"))
+    made, features = [], ngramjoin.features
+    monkeypatch.setattr(ngramjoin, "features", lambda *a, **k: made.append(1) or features(*a, **k))
+    out = jaccard_components(edge_docs, 3, 90)
+    assert made and list(tmp_path.iterdir()) == []
+    assert Counter(tuple(r) for r in out.collect()) == components([r[:2] for r in edge_rows], 3, 90)
+
+
 def test_words_are_hashed_alike_across_blocks(monkeypatch):
     text = "The QUICK brown\tfox \x1c jumps over é " * 300 + "x" * 5000 + " end"
     whole = ngramjoin.Hasher().shingles(text, 3)
