@@ -20,11 +20,16 @@ from logweave.session import cut_lineage
 G = ["dataset"]
 
 
-def parses(spark, sf):
-    """(dataset, line_id, truth, parsed) for both parsers; the masked tokens are
-    computed once (lineage cut) and shared by both."""
+def split_tokens(spark, sf):
+    """(line_id, truth_template, component, tokens): lines split and masked once (lineage cut)."""
     s = split_log(spark, sf)
-    base = cut_lineage(s.select("line_id", "truth_template", tokenize(mask_types(F.col("Content"))).alias("tokens")))
+    return cut_lineage(s.select("line_id", "truth_template", F.col("Component").alias("component"),
+                                tokenize(mask_types(F.col("Content"))).alias("tokens")))
+
+
+def parses(spark, sf, base=None):
+    """(dataset, line_id, truth, parsed) for both parsers, which share the masked tokens (of ``base``, if given)."""
+    base = split_tokens(spark, sf) if base is None else base
     a = base.select(F.lit("masked").alias("dataset"), "line_id", F.col("truth_template").alias("truth"),
                     F.array_join("tokens", " ").alias("parsed"))
     lines, _ = N.ngram_parse(base, tokens_col="tokens", keep=("truth_template",))
